@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
-from corpusflow.functions.text import _col, strip_text
+from corpusflow.functions.text import SPACE, _col, strip_text
 
 # Port 22 and the established state as the TCP table spells them.
 SSH_PORT = "0016"
@@ -35,7 +37,7 @@ def tcp_fields(line) -> Column:
 
     All null when the line has fewer than four fields or no port in the second.
     """
-    parts = F.split(strip_text(line), r"(?U)[\s\x1c-\x1f]+")
+    parts = F.split(strip_text(line), rf"(?U){SPACE}+")
     usable = (F.size(parts) >= 4) & F.contains(F.get(parts, 1), F.lit(":"))
     port = F.upper(F.get(F.split(F.get(parts, 1), ":"), 1))
     return F.struct(
@@ -46,6 +48,13 @@ def tcp_fields(line) -> Column:
 
 
 def is_session(line, port: str = SSH_PORT, state: str = ESTABLISHED) -> Column:
-    """True for an established connection on ``port``; both compare as hex text."""
-    fields = tcp_fields(line)
-    return F.coalesce((fields["port"] == port) & (fields["state"] == state), F.lit(False))
+    """True for an established connection on ``port``; both compare as hex text.
+
+    One pattern instead of :func:`tcp_fields`, so a line is scanned once at most.
+    """
+    word, colonless = r"[^\s\x1c-\x1f]", r"[^\s\x1c-\x1f:]"
+    pattern = (
+        rf"(?U)\A{SPACE}*{word}+{SPACE}+{colonless}*:(?i:{re.escape(port)})(?::{word}*)?{SPACE}+"
+        rf"{word}+{SPACE}+{re.escape(state)}(?:{SPACE}|\z)"
+    )
+    return F.coalesce(F.rlike(_col(line), F.lit(pattern)), F.lit(False))

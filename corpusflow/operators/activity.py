@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusflow.functions import activity as A, state as S
-from corpusflow.operators.ordinal import cut_points, with_bucket
+from corpusflow.operators.ordinal import cut_points, in_buckets, with_bucket
 
 IDLE_THRESHOLD = 1800
 
@@ -65,7 +65,7 @@ def idle_episodes(
     at = F.struct(S.micros(ts).alias("us"), F.col(tie).alias("tie"))
     cuts = cut_points(samples, order, buckets)
     base = (
-        with_bucket(samples, order, cuts)
+        in_buckets(with_bucket(samples, order, cuts), cuts)
         .withColumn("_on", F.coalesce(F.col(active), F.lit(False)))
         .withColumn("_at", at)
     )

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from corpusflow.operators.layout import spread
+
 CALL_FIELDS = "ok boolean, error string, traceback string, stdout string"
 
 
@@ -71,7 +73,7 @@ def safe_map(
             columns = {n: pd.Series([c[i] for c in calls], index=pdf.index, dtype=object) for i, n in enumerate(names)}
             yield pdf[keep].assign(**columns)
 
-    return df.select(*wanted).mapInPandas(run, T.StructType([*kept, *extra]))
+    return spread(df.select(*wanted)).mapInPandas(run, T.StructType([*kept, *extra]))
 
 
 def map_batches(
@@ -98,4 +100,4 @@ def map_batches(
                 new = fn(part)
                 yield part[names].assign(**{c: new[c] for c in new.columns})
 
-    return df.mapInPandas(run, T.StructType([*kept, *added]))
+    return spread(df).mapInPandas(run, T.StructType([*kept, *added]))

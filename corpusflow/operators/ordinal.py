@@ -41,18 +41,27 @@ def _sort_key(df: DataFrame, keys: Sequence[str]) -> Column:
     return F.struct(*[_comparable(df, k).alias(f"k{i}") for i, k in enumerate(keys)])
 
 
+def _width(df: DataFrame, total: int, buckets: int | None) -> int:
+    if buckets is None:
+        parallel = df.sparkSession.sparkContext.defaultParallelism
+        buckets = max(parallel, math.ceil(total / ROWS_PER_BUCKET))
+    return min(buckets, MAX_BUCKETS)
+
+
+def _driver_order(key: dict) -> tuple:
+    """Nulls first, then by value: the order Spark sorts these types in."""
+    return tuple((v is not None, v) for v in key.values())
+
+
 def cut_points(df: DataFrame, keys: Sequence[str], buckets: int | None = None) -> list[dict]:
     """About evenly spaced sort keys, ``buckets - 1`` of them at most.
 
     Chooses rows by a hash of the key, so the same table gives the same cuts. Only
-    the sample reaches the driver: ``SAMPLES_PER_BUCKET`` rows per bucket.
+    the sample reaches the driver: about ``SAMPLES_PER_BUCKET`` keys per bucket.
     """
     key = df.select(_sort_key(df, keys).alias("key"))
     total = key.count()
-    if buckets is None:
-        parallel = df.sparkSession.sparkContext.defaultParallelism
-        buckets = max(parallel, math.ceil(total / ROWS_PER_BUCKET))
-    buckets = min(buckets, MAX_BUCKETS)
+    buckets = _width(df, total, buckets)
     if total == 0 or buckets < 2:
         return []
     wanted = buckets * SAMPLES_PER_BUCKET
@@ -60,7 +69,7 @@ def cut_points(df: DataFrame, keys: Sequence[str], buckets: int | None = None) -
         span = 1 << 62
         limit = int(span * (wanted / total))
         key = key.where(F.xxhash64("key").bitwiseAND(F.lit(span - 1)) < F.lit(limit))
-    sample = [r["key"].asDict() for r in key.orderBy("key").collect()]
+    sample = sorted((r["key"].asDict() for r in key.collect()), key=_driver_order)
     picks = [sample[i * len(sample) // buckets] for i in range(1, buckets)] if sample else []
     return [p for i, p in enumerate(picks) if i == 0 or p != picks[i - 1]]
 
@@ -109,6 +118,14 @@ def with_bucket(
     return df.withColumn(name, F.get(F.transform(F.array(key), locate), 0))
 
 
+def in_buckets(bucketed: DataFrame, cuts: list[dict]) -> DataFrame:
+    """Shuffle every bucket to a task of its own.
+
+    Windows and groups that partition by ``_bucket`` first need no further shuffle.
+    """
+    return bucketed.repartitionById(len(cuts) + 1, F.col("_bucket"))
+
+
 def _offsets(counts: DataFrame, bucket: str) -> DataFrame:
     """Rows before each bucket. ``counts`` holds one row per bucket."""
     before = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
@@ -126,17 +143,44 @@ def global_ordinal(
     (key columns only) and once more for the result; hand in a stored table rather
     than an expensive plan.
     """
-    bucketed = with_bucket(df, keys, cut_points(df, keys, buckets))
+    cuts = cut_points(df, keys, buckets)
+    bucketed = with_bucket(df, keys, cuts)
     counts = _offsets(bucketed.groupBy("_bucket").count(), "_bucket").drop("count")
     within = F.row_number().over(Window.partitionBy("_bucket").orderBy(*keys))
     return (
-        bucketed.withColumn("_rank", within)
+        in_buckets(bucketed, cuts)
+        .withColumn("_rank", within)
         .join(F.broadcast(counts), "_bucket")
         .withColumn(name, F.col("_before") + F.col("_rank") - 1)
         .drop("_bucket", "_before", "_rank")
     )
 
 
+def aligned_ordinal(
+    df: DataFrame,
+    keys: Sequence[str],
+    unit: int,
+    name: str = "ord",
+    buckets: int | None = None,
+) -> DataFrame:
+    """As :func:`global_ordinal`, cut only between runs of ``unit`` rows.
+
+    The keys alone are ranked first, which gives the exact key at which every bucket
+    begins (at most ``MAX_BUCKETS``); whole rows are then shuffled once. The result
+    keeps ``_bucket``: it is partitioned by it, and a run never crosses one, so work
+    per run that also partitions by ``_bucket`` needs no second shuffle.
+    """
+    ranked = global_ordinal(df.select(*keys), keys, "_at", buckets)
+    total = df.count()
+    step = unit * max(1, math.ceil(total / (unit * _width(df, total, buckets))))
+    begins = ranked.where((F.col("_at") % step == 0) & (F.col("_at") > 0))
+    found = begins.select("_at", _sort_key(begins, keys).alias("key")).collect()
+    cuts = [r["key"].asDict() for r in sorted(found, key=lambda r: r["_at"])]
+    within = F.row_number().over(Window.partitionBy("_bucket").orderBy(*keys))
+    position = F.col("_bucket").cast("long") * step + within - 1
+    return in_buckets(with_bucket(df, keys, cuts), cuts).withColumn(name, position)
+
+
 def group_ordinal(
     df: DataFrame,
     group: Sequence[str],
@@ -150,7 +194,8 @@ def group_ordinal(
     an offset, at most one per cut point, so the broadcast stays bounded.
     """
     order = [*group, *keys]
-    bucketed = with_bucket(df, order, cut_points(df, order, buckets))
+    cuts = cut_points(df, order, buckets)
+    bucketed = with_bucket(df, order, cuts)
     part = ["_bucket", *group]
     before = (
         Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -164,7 +209,8 @@ def group_ordinal(
     same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in part]
     within = F.row_number().over(Window.partitionBy(*part).orderBy(*keys))
     return (
-        bucketed.withColumn("_rank", within)
+        in_buckets(bucketed, cuts)
+        .withColumn("_rank", within)
         .alias("a")
         .join(F.broadcast(carried.alias("b")), same, "left")
         .select(

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.functions import pandas_udf
 
 from corpusflow.functions import text as X
-from corpusflow.operators.ordinal import global_ordinal, rank_slice, tail_where
+from corpusflow.operators.ordinal import aligned_ordinal, rank_slice, tail_where
+from corpusflow.operators.layout import spread
 
 # Payload limit in base64 characters, rejection code and wording.
 PAYLOAD_LIMIT = 900_000
@@ -221,7 +222,7 @@ def encode_text(
 
     Labels are padded with the pad id here; batching pads them with -100.
     """
-    ids = df.withColumn("_source", encoder_udf(load, source_length)(source)).withColumn(
+    ids = spread(df).withColumn("_source", encoder_udf(load, source_length)(source)).withColumn(
         "_target", encoder_udf(load, target_length)(target)
     )
     return ids.select(
@@ -242,11 +243,10 @@ def collate_batches(
 
     ``pads`` maps array columns to their padding value, -100 for labels.
     """
-    placed = global_ordinal(df, keys, "_ord").withColumn(
+    placed = aligned_ordinal(df, keys, size, "_ord").withColumn(
         "batch", F.floor(F.col("_ord") / size).cast("long")
     )
-    batch = Window.partitionBy("batch")  # at most ``size`` rows
-    for column, pad in pads.items():
-        placed = placed.withColumn(f"_{column}", F.max(F.size(column)).over(batch))
+    batch = Window.partitionBy("_bucket", "batch")  # at most ``size`` rows
+    widths = {f"_{c}": F.max(F.size(c)).over(batch) for c in pads}
     padded = {c: pad_truncate(c, F.col(f"_{c}"), pad) for c, pad in pads.items()}
-    return placed.withColumns(padded).select("batch", *df.columns)
+    return placed.withColumns(widths).withColumns(padded).select("batch", *df.columns)

@@ -12,6 +12,7 @@ from pyspark.sql.functions import pandas_udf
 
 from corpusflow.functions import text as X
 from corpusflow.operators.ordinal import head
+from corpusflow.operators.layout import spread
 
 INFERENCE_BATCH = 16
 SCORED_ROWS = 500
@@ -52,7 +53,7 @@ def predict_batch(
     batch: int = INFERENCE_BATCH,
 ) -> DataFrame:
     """Add the generated text for every prompt."""
-    return df.withColumn(output, predictor_udf(load, batch)(prompt))
+    return spread(df).withColumn(output, predictor_udf(load, batch)(prompt))
 
 
 def score_requests(
@@ -203,7 +204,7 @@ def execution_match(
                 verdicts.append(one is not None and two is not None and one == two)
             yield pd.Series(verdicts, index=left.index, dtype=bool)
 
-    return df.withColumn(output, matches(X.ddl_statements(context), F.col(predicted), F.col(gold)))
+    return spread(df).withColumn(output, matches(X.ddl_statements(context), F.col(predicted), F.col(gold)))
 
 
 def accuracy(flag: str | Column) -> Column:

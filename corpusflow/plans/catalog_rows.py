@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions import state as S, text as X
 from corpusflow.operators import ordinal, prepare
+from corpusflow.operators.layout import spread
 from corpusflow.plans.inputs import DIALOGUES, dialogues, sql_normalize, sql_strip
 from corpusflow.plans.registry import query
 from corpusflow.session import scratch_path
@@ -138,7 +139,7 @@ SELECT doc_id, encoded_length, encoded_length <= 4000 AS accepted
 FROM (SELECT doc_id, CAST(ceil(octet_length(encode(text)) / 3.0) * 4 AS BIGINT) AS encoded_length
       FROM documents)""")
 def payload_guard(spark, sf):
-    good, over = prepare.payload_guard(read_table(spark, sf, "documents"), "text", 4000)
+    good, over = prepare.payload_guard(spread(read_table(spark, sf, "documents")), "text", 4000)
     return prepare.concat_tables(
         [good.withColumn("accepted", F.lit(True)), over.withColumn("accepted", F.lit(False))]
     ).select("doc_id", "encoded_length", "accepted")
@@ -163,7 +164,7 @@ def concat_tables(spark, sf):
 
 @query(f"SELECT doc_id, {sql_normalize('text')} AS normalized FROM documents")
 def normalize_text(spark, sf):
-    docs = read_table(spark, sf, "documents")
+    docs = spread(read_table(spark, sf, "documents"))
     return docs.select("doc_id", X.normalize_text("text").alias("normalized"))
 
 
@@ -171,7 +172,7 @@ def normalize_text(spark, sf):
 SELECT doc_id, {sql_strip("chr(160) || text || chr(10) || chr(28)")} AS stripped FROM documents""")
 def strip_text(spark, sf):
     padded = F.concat(F.lit(" "), F.col("text"), F.lit("\n\x1c"))
-    docs = read_table(spark, sf, "documents")
+    docs = spread(read_table(spark, sf, "documents"))
     return docs.select("doc_id", X.strip_text(padded).alias("stripped"))
 
 
@@ -180,9 +181,9 @@ SELECT doc_id, {sql_normalize('text')} = {sql_normalize("replace(text, ' ', chr(
        AND lang <> 'de' AS matched
 FROM documents""")
 def exact_match(spark, sf):
-    spread = F.replace(F.col("text"), F.lit(" "), F.lit("  "))
-    other = F.when(F.col("lang") == "de", F.concat(F.col("text"), F.lit("!"))).otherwise(spread)
-    docs = read_table(spark, sf, "documents")
+    wide = F.replace(F.col("text"), F.lit(" "), F.lit("  "))
+    other = F.when(F.col("lang") == "de", F.concat(F.col("text"), F.lit("!"))).otherwise(wide)
+    docs = spread(read_table(spark, sf, "documents"))
     return docs.select("doc_id", X.exact_match(other, "text").alias("matched"))
 
 
@@ -219,7 +220,7 @@ def marked_payload(spark, sf):
     plain = F.regexp_replace(F.base64(F.encode("text", "UTF-8")), r"\s", "")
     end = F.when(F.col("lang") == "de", "__RESULT_STOP__").otherwise("__RESULT_END__")
     log = F.concat(F.lit("started\n__RESULT_START__\n"), plain, F.lit("\n"), end, F.lit("\ndone"))
-    docs = read_table(spark, sf, "documents")
+    docs = spread(read_table(spark, sf, "documents"))
     return docs.select("doc_id", F.decode(X.marked_payload(log), "UTF-8").alias("payload"))
 
 
@@ -278,7 +279,7 @@ def encode_text(spark, sf):
 
 def _word_lengths(spark, sf):
     words = F.transform(F.split("text", " "), F.length)
-    return read_table(spark, sf, "documents").select("doc_id", words.alias("lengths"))
+    return spread(read_table(spark, sf, "documents")).select("doc_id", words.alias("lengths"))
 
 
 _WORD_LENGTHS = """(

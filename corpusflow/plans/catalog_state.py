@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions import activity as A, state as S
 from corpusflow.operators import activity, pool
+from corpusflow.operators.layout import spread
 from corpusflow.plans.catalog_scoring import echo_question
 from corpusflow.plans.inputs import (
     DIALOGUES,
@@ -175,7 +176,7 @@ def _tcp_lines(spark, sf):
     address = F.when(F.col("l_tax") == 0, "0100007F").otherwise(
         F.concat(F.lit("0100007F:"), port)
     )
-    return read_table(spark, sf, "lineitem").select(
+    return spread(read_table(spark, sf, "lineitem")).select(
         "l_suppkey",
         "l_returnflag",
         F.concat(

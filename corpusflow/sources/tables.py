@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from corpusflow.functions.text import last_segment
-from corpusflow.operators.ordinal import global_ordinal
+from corpusflow.operators.ordinal import aligned_ordinal, global_ordinal
 
 EXAMPLES = T.StructType(
     [
@@ -58,15 +58,15 @@ def write_shards(
 
     Folders are ``shard_id=0, 1, ...``; the last may be short and an empty table gives
     none. The path is replaced as a whole, so no shard of an earlier, longer table
-    stays behind.
+    stays behind. Buckets are cut between shards, so rows are shuffled once and each
+    shard is one file.
     """
-    placed = global_ordinal(df, keys, "_ord").withColumn(
+    placed = aligned_ordinal(df, keys, size, "_ord").withColumn(
         "shard_id", F.floor(F.col("_ord") / size).cast("long")
     )
     (
-        placed.repartition("shard_id")
-        .sortWithinPartitions("shard_id", "_ord")
-        .drop("_ord")
+        placed.sortWithinPartitions("shard_id", "_ord")
+        .drop("_ord", "_bucket")
         .write.mode("overwrite")
         .option("maxRecordsPerFile", 0)
         .partitionBy("shard_id")
