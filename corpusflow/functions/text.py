@@ -89,14 +89,19 @@ def model_uri(name, version) -> Column:
     )
 
 
+def _spelled(values: pd.Series, form: str) -> pd.Series:
+    texts = [None if pd.isna(v) else form.format(v) for v in values]
+    return pd.Series(texts, index=values.index, dtype=object)
+
+
 @pandas_udf(StringType())
 def _percent(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: f"{v * 100:.1f}%", na_action="ignore")
+    return _spelled(values * 100, "{:.1f}%")
 
 
 @pandas_udf(StringType())
 def _four_digits(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: f"{v:.4f}", na_action="ignore")
+    return _spelled(values, "{:.4f}")
 
 
 def percent(value) -> Column:
