@@ -12,17 +12,18 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 ROWS_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 16_384
 SAMPLES_PER_BUCKET = 32
+SAMPLED_TEXT = 256  # characters of a text key that reach the driver
 FLAT_SEARCH = 64
 
-# Up to this many rows, a sorted limit keeps all candidates in task memory.
-TOP_ROWS = 10_000
+# Up to this many rows a sorted limit is used, whose candidates meet in one task.
+TOP_ROWS = 1_000
 
 
 def _comparable(df: DataFrame, name: str) -> Column:
@@ -53,14 +54,17 @@ def _driver_order(key: dict) -> tuple:
     return tuple((v is not None, v) for v in key.values())
 
 
-def cut_points(df: DataFrame, keys: Sequence[str], buckets: int | None = None) -> list[dict]:
+def cut_points(
+    df: DataFrame, keys: Sequence[str], buckets: int | None = None, total: int | None = None
+) -> list[dict]:
     """About evenly spaced sort keys, ``buckets - 1`` of them at most.
 
     Chooses rows by a hash of the key, so the same table gives the same cuts. Only
-    the sample reaches the driver: about ``SAMPLES_PER_BUCKET`` keys per bucket.
+    the sample reaches the driver: about ``SAMPLES_PER_BUCKET`` keys per bucket, text
+    cut to ``SAMPLED_TEXT`` characters (a cut point need not be a key that occurs).
     """
     key = df.select(_sort_key(df, keys).alias("key"))
-    total = key.count()
+    total = key.count() if total is None else total
     buckets = _width(df, total, buckets)
     if total == 0 or buckets < 2:
         return []
@@ -69,7 +73,14 @@ def cut_points(df: DataFrame, keys: Sequence[str], buckets: int | None = None) -
         span = 1 << 62
         limit = int(span * (wanted / total))
         key = key.where(F.xxhash64("key").bitwiseAND(F.lit(span - 1)) < F.lit(limit))
-    sample = sorted((r["key"].asDict() for r in key.collect()), key=_driver_order)
+    fields = key.schema["key"].dataType.fields
+    short = [
+        F.substring(f"key.{f.name}", 1, SAMPLED_TEXT).alias(f.name)
+        if isinstance(f.dataType, T.StringType)
+        else F.col(f"key.{f.name}")
+        for f in fields
+    ]
+    sample = sorted((r.asDict() for r in key.select(*short).collect()), key=_driver_order)
     picks = [sample[i * len(sample) // buckets] for i in range(1, buckets)] if sample else []
     return [p for i, p in enumerate(picks) if i == 0 or p != picks[i - 1]]
 
@@ -143,7 +154,10 @@ def global_ordinal(
     (key columns only) and once more for the result; hand in a stored table rather
     than an expensive plan.
     """
-    cuts = cut_points(df, keys, buckets)
+    return _placed(df, keys, name, cut_points(df, keys, buckets))
+
+
+def _placed(df: DataFrame, keys: Sequence[str], name: str, cuts: list[dict]) -> DataFrame:
     bucketed = with_bucket(df, keys, cuts)
     counts = _offsets(bucketed.groupBy("_bucket").count(), "_bucket").drop("count")
     within = F.row_number().over(Window.partitionBy("_bucket").orderBy(*keys))
@@ -170,8 +184,9 @@ def aligned_ordinal(
     keeps ``_bucket``: it is partitioned by it, and a run never crosses one, so work
     per run that also partitions by ``_bucket`` needs no second shuffle.
     """
-    ranked = global_ordinal(df.select(*keys), keys, "_at", buckets)
-    total = df.count()
+    narrow = df.select(*keys)
+    total = narrow.count()
+    ranked = _placed(narrow, keys, "_at", cut_points(narrow, keys, buckets, total))
     step = unit * max(1, math.ceil(total / (unit * _width(df, total, buckets))))
     begins = ranked.where((F.col("_at") % step == 0) & (F.col("_at") > 0))
     found = begins.select("_at", _sort_key(begins, keys).alias("key")).collect()
@@ -220,48 +235,60 @@ def group_ordinal(
     )
 
 
-def rank_slice(
-    df: DataFrame,
-    bucket: Column,
-    keys: Sequence[str | Column],
-    start: Column,
-    stop: Column,
-    label: str | None = None,
-) -> DataFrame:
-    """Rows whose position lies in ``[start, stop)``, without ranking the others.
+def keys_at(
+    df: DataFrame, bucket: Column, keys: Sequence[str], positions: Mapping[str, Column]
+) -> dict[str, Column]:
+    """The sort keys found at some positions, each as a scalar struct; null past the end.
 
-    ``bucket`` must grow with ``keys`` and take a bounded number of values; ``start``
-    and ``stop`` may use ``total``, the row count. Buckets wholly inside pass as they
-    are; only the one or two that a bound cuts through are ranked.
+    ``bucket`` must grow with ``keys`` and take a bounded number of values; positions
+    may use ``total``, the row count. Only keys are read, and only the buckets that
+    hold a position are ranked: callers compare whole rows with the result instead of
+    shuffling them.
     """
-    tagged = df.withColumn("_bucket", bucket)
+    tagged = df.select(F.struct(*keys).alias("_key"), bucket.alias("_bucket"))
     offsets = _offsets(tagged.groupBy("_bucket").count(), "_bucket").withColumn(
-        "_after", F.col("_before") + F.col("count")
+        "total", F.sum("count").over(Window.partitionBy(F.lit(1)))
+    )
+    asked = F.array(
+        *[F.struct(F.lit(n).alias("_name"), p.cast("long").alias("_at")) for n, p in positions.items()]
     )
-    total = F.sum("count").over(Window.partitionBy(F.lit(1)))
-    ranges = (
-        offsets.withColumn("total", total)
-        .withColumn("_start", start.cast("long"))
-        .withColumn("_stop", stop.cast("long"))
-        .where("_before < _stop and _after > _start")
-        .withColumn("_whole", F.expr("_before >= _start and _after <= _stop"))
-        .select("_bucket", "_before", "_start", "_stop", "_whole")
+    wanted = (
+        offsets.withColumn("_asked", asked)
+        .select("_bucket", "_before", "count", F.inline("_asked"))
+        .where("_at >= _before and _at < _before + count")
+    )  # one row per position
+    rank = F.row_number().over(Window.partitionBy("_name").orderBy("_key"))
+    hits = (
+        tagged.join(F.broadcast(wanted), "_bucket")
+        .withColumn("_rank", rank)
+        .where("_before + _rank - 1 = _at")
     )
-    whole = tagged.join(F.broadcast(ranges.where("_whole").select("_bucket")), "_bucket")
-    cut = tagged.join(F.broadcast(ranges.where("not _whole").drop("_whole")), "_bucket")
-    at = F.col("_before") - 1 + F.row_number().over(Window.partitionBy("_bucket").orderBy(*keys))
-    cut = cut.withColumn("_at", at).where("_at >= _start and _at < _stop")
-    columns = df.columns
-    return whole.select(*columns).unionAll(cut.select(*columns))
+    found = hits.agg(
+        F.struct(
+            *[F.max(F.when(F.col("_name") == n, F.col("_key"))).alias(n) for n in positions]
+        ).alias("_found")
+    ).scalar()
+    return {n: found.getField(n) for n in positions}
+
+
+def rank_slice(
+    df: DataFrame, bucket: Column, keys: Sequence[str], start: Column, stop: Column
+) -> DataFrame:
+    """Rows whose position lies in ``[start, stop)``; whole rows are not shuffled.
+
+    See :func:`keys_at` for ``bucket`` and the expressions.
+    """
+    bounds = keys_at(df, bucket, keys, {"start": start, "stop": stop})
+    key = F.struct(*keys)
+    inside = (key >= bounds["start"]) & F.coalesce(key < bounds["stop"], F.lit(True))
+    return df.where(F.coalesce(inside, F.lit(False)))
 
 
 def head(df: DataFrame, n: int, keys: Sequence[str]) -> DataFrame:
     """First ``n`` rows in the order of ``keys``."""
     if n <= TOP_ROWS:
         return df.orderBy(*keys).limit(n)
-    cuts = cut_points(df, keys)
-    spot = with_bucket(df, keys, cuts, "_spot")
-    return rank_slice(spot, F.col("_spot"), keys, F.lit(0), F.lit(n)).drop("_spot")
+    return _between(df, keys, F.lit(0), F.lit(n))
 
 
 def tail(df: DataFrame, n: int, keys: Sequence[str]) -> DataFrame:
@@ -273,9 +300,13 @@ def tail(df: DataFrame, n: int, keys: Sequence[str]) -> DataFrame:
 
 def tail_where(df: DataFrame, n: Column, keys: Sequence[str]) -> DataFrame:
     """Last ``n`` rows, ``n`` being an expression over ``total``, the row count."""
-    spot = with_bucket(df, keys, cut_points(df, keys), "_spot")
     start = F.greatest(F.col("total") - n, F.lit(0))
-    return rank_slice(spot, F.col("_spot"), keys, start, F.col("total")).drop("_spot")
+    return _between(df, keys, start, F.col("total"))
+
+
+def _between(df: DataFrame, keys: Sequence[str], start: Column, stop: Column) -> DataFrame:
+    spot = with_bucket(df, keys, cut_points(df, keys), "_spot")
+    return rank_slice(spot, F.col("_spot"), keys, start, stop).drop("_spot")
 
 
 def zip_columns(left: DataFrame, right: DataFrame, ordinal: str = "ord") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.functions import pandas_udf
 
 from corpusflow.functions import text as X
-from corpusflow.operators.ordinal import aligned_ordinal, rank_slice, tail_where
+from corpusflow.operators.ordinal import aligned_ordinal, keys_at, rank_slice, tail_where
 from corpusflow.operators.layout import spread
 
 # Payload limit in base64 characters, rejection code and wording.
@@ -81,17 +81,6 @@ def _seeded(df: DataFrame, key: str, seed: int) -> tuple[DataFrame, Column]:
     return hashed, bucket
 
 
-def _split_part(df, key, name, test, val_share, seed) -> DataFrame:
-    hashed, bucket = _seeded(df, key, seed)
-    val_from, test_from = _split_sizes(test, val_share)
-    bounds = {
-        "train": (F.lit(0), val_from),
-        "val": (val_from, test_from),
-        "test": (test_from, F.col("total")),
-    }
-    return rank_slice(hashed, bucket, ["_digest", key], *bounds[name]).drop("_digest")
-
-
 def split_rows(
     df: DataFrame,
     key: str,
@@ -102,49 +91,16 @@ def split_rows(
     """Add ``split`` (train, val, test) with exact sizes, in a seeded order.
 
     Rows are ordered by a seeded hash of the unique ``key``. The counts per hash
-    prefix fix where each split begins, so a row outside the two prefixes that are
-    cut through is assigned where it is read, with no shuffle. Membership does not
-    depend on partitioning or file order.
+    prefix and a ranking inside the prefixes that a cut falls into give the exact hash
+    at which each split begins; every row is then compared with those two where it is
+    read, with no shuffle. Membership does not depend on partitioning or file order.
     """
     hashed, bucket = _seeded(df, key, seed)
-    tagged = hashed.withColumn("_bucket", bucket)
-    running = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     val_from, test_from = _split_sizes(test, val_share)
-    limits = (
-        tagged.groupBy("_bucket")
-        .count()  # at most 65,536 rows from here on
-        .withColumn("_after", F.sum("count").over(running))
-        .withColumn("total", F.sum("count").over(Window.partitionBy(F.lit(1))))
-        .select(
-            "_bucket",
-            (F.col("_after") - F.col("count")).alias("_before"),
-            "_after",
-            val_from.alias("_val"),
-            test_from.alias("_test"),
-        )
-    )
-
-    def cut_by(at: str) -> Column:
-        return (F.col("_before") < F.col(at)) & (F.col(at) < F.col("_after"))
-
-    limits = limits.withColumn("_cut", cut_by("_val") | cut_by("_test"))
-
-    def name_at(position: Column) -> Column:
-        return (
-            F.when(position < F.col("_val"), "train")
-            .when(position < F.col("_test"), "val")
-            .otherwise("test")
-        )
-
-    whole = tagged.join(F.broadcast(limits.where("not _cut")), "_bucket").withColumn(
-        "split", name_at(F.col("_before"))
-    )
-    rank = F.row_number().over(Window.partitionBy("_bucket").orderBy("_digest", key))
-    cut = tagged.join(F.broadcast(limits.where("_cut")), "_bucket").withColumn(
-        "split", name_at(F.col("_before") + rank - 1)
-    )
-    columns = [*df.columns, "split"]
-    return whole.select(*columns).unionAll(cut.select(*columns))
+    begins = keys_at(hashed, bucket, ["_digest", key], {"val": val_from, "test": test_from})
+    place = F.struct("_digest", key)
+    split = F.when(place >= begins["test"], "test").when(place >= begins["val"], "val")
+    return hashed.withColumn("split", split.otherwise("train")).drop("_digest")
 
 
 def raw_holdout(
@@ -163,7 +119,10 @@ def raw_holdout(
     and the mode exists only to reproduce scores computed that way.
     """
     if mode == "split":
-        return _split_part(df, key, "test", test, val_share, seed)
+        hashed, bucket = _seeded(df, key, seed)
+        _, test_from = _split_sizes(test, val_share)
+        rows = rank_slice(hashed, bucket, ["_digest", key], test_from, F.col("total"))
+        return rows.drop("_digest")
     if mode == "tail":
         held = F.ceil(F.col("total") * F.lit(test))
         return tail_where(df, F.ceil(held * F.lit(val_share)), order or [key])

@@ -249,8 +249,14 @@ def example_report(
     )
 
 
-def _row_hash_input(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
+def _groupable(df: DataFrame, columns: Sequence[str]) -> list[Column]:
+    """Columns in a form that can be grouped by: a map becomes its sorted entries."""
+    return [
+        F.array_sort(F.map_entries(c)).alias(c)
+        if isinstance(df.schema[c].dataType, T.MapType)
+        else F.col(c)
+        for c in columns
+    ]
 
 
 def same_result(
@@ -266,14 +272,14 @@ def same_result(
         return spark.range(1).select(F.lit(False).alias("same"))
     if ordinal:
         values = [c for c in a.columns if c != ordinal]
-        left = a.select(ordinal, F.struct(*values).alias("_l"))
-        right = b.select(ordinal, F.struct(*values).alias("_r"))
+        left = a.select(ordinal, F.struct(*_groupable(a, values)).alias("_l"))
+        right = b.select(ordinal, F.struct(*_groupable(b, values)).alias("_r"))
         paired = left.join(right, ordinal, "full")
         differs = paired.where(~F.col("_l").eqNullSafe(F.col("_r")))
     else:
-        columns = _row_hash_input(a)
-        both = a.select(*columns, F.lit(1).alias("_n")).unionByName(
-            b.select(*columns, F.lit(-1).alias("_n"))
+        columns = a.columns
+        both = a.select(*_groupable(a, columns), F.lit(1).alias("_n")).unionByName(
+            b.select(*_groupable(b, columns), F.lit(-1).alias("_n"))
         )
         differs = both.groupBy(*columns).agg(F.sum("_n").alias("_n")).where("_n <> 0")
     return differs.agg((F.count("*") == 0).alias("same"))

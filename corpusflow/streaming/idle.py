@@ -13,21 +13,24 @@ from corpusflow.functions.state import micros
 from corpusflow.operators.activity import IDLE_THRESHOLD
 
 
-class _Ordered(StatefulProcessor):
+HELD_ROWS = 65_536  # rows per stored block
+OUTPUT_ROWS = 100_000
+
+
+class OrderedState(StatefulProcessor):
     """Holds rows back until the watermark has passed them, then handles them in order.
 
-    Subclasses set ``rows`` (the held row as DDL, first two fields ``us`` and ``tie``)
-    and implement ``step``. One timer per key stands at the earliest held row.
+    A held row is an instant ``us``, a tie-break ``tie`` and a small number ``tag``;
+    they are kept as packed blocks, 17 bytes a row. One timer per key stands at the
+    earliest of them. Subclasses implement ``step`` on arrays.
     """
 
-    rows = ""
-
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", self.rows)
+        self.held = handle.getListState("held", "us binary, tie binary, tag binary")
         self.wake = handle.getValueState("wake", "ms long")
 
-    def _wake_at(self, ms: int) -> None:
+    def wake_at(self, ms: int) -> None:
         if self.wake.exists():
             if self.wake.get()[0] <= ms:
                 return
@@ -35,42 +38,64 @@ class _Ordered(StatefulProcessor):
         self.handle.registerTimer(ms)
         self.wake.update((ms,))
 
+    @staticmethod
+    def _blocks(us, tie, tag) -> list[tuple]:
+        return [
+            tuple(a[i : i + HELD_ROWS].tobytes() for a in (us, tie, tag))
+            for i in range(0, len(us), HELD_ROWS)
+        ]
+
+    def _rows(self):
+        blocks = list(self.held.get())
+        return (
+            np.concatenate([np.frombuffer(b[i], dtype=t) for b in blocks])
+            if blocks
+            else np.empty(0, dtype=t)
+            for i, t in enumerate(("int64", "int64", "int8"))
+        )
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         first = None
-        names = [f.split()[0] for f in self.rows.split(", ")]
         for pdf in rows:
             if len(pdf):
-                self.held.appendList(list(pdf[names].itertuples(index=False, name=None)))
-                low = int(pdf["us"].min())
+                arrays = (
+                    pdf["us"].to_numpy("int64"),
+                    pdf["tie"].to_numpy("int64"),
+                    pdf["tag"].to_numpy("int8"),
+                )
+                self.held.appendList(self._blocks(*arrays))
+                low = int(arrays[0].min())
                 first = low if first is None else min(first, low)
         if first is not None:
-            self._wake_at(first // 1000 + 1)
+            self.wake_at(first // 1000 + 1)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.wake.clear()
         mark = timerValues.getCurrentWatermarkInMs() * 1000
-        held = [tuple(r) for r in self.held.get()]
-        due = sorted((r for r in held if r[0] < mark), key=lambda r: (r[0], r[1]))
-        later = [r for r in held if r[0] >= mark]
-        if later:
-            self.held.put(later)
-            self._wake_at(min(r[0] for r in later) // 1000 + 1)
+        us, tie, tag = self._rows()
+        later = us >= mark
+        if later.any():
+            self.held.put(self._blocks(us[later], tie[later], tag[later]))
+            self.wake_at(int(us[later].min()) // 1000 + 1)
         else:
             self.held.clear()
-        out = self.step(key, due, mark)
-        if out is not None and len(out):
-            yield out
-
-    def step(self, key, due: list[tuple], mark: int) -> pd.DataFrame | None:
+        us, tie, tag = us[~later], tie[~later], tag[~later]
+        order = np.lexsort((tie, us))
+        out = self.step(key, us[order], tie[order], tag[order], mark)
+        for i in range(0, len(out), OUTPUT_ROWS):
+            yield out.iloc[i : i + OUTPUT_ROWS]
+
+    def step(self, key, us, tie, tag, mark: int) -> pd.DataFrame:
+        """Rows to emit for the released rows, which are in order; may be none of either."""
         raise NotImplementedError
 
     def close(self) -> None:
         pass
 
 
-class _IdleTimer(_Ordered):
-    rows = "us long, tie long, active boolean"
+class _IdleTimer(OrderedState):
+    """Tag 1 is an active sample. Keeps the instant the running timer started at."""
 
     def __init__(self, threshold: int):
         self.threshold = threshold * 1_000_000
@@ -79,32 +104,24 @@ class _IdleTimer(_Ordered):
         super().init(handle)
         self.since = handle.getValueState("since", "us long")
 
-    def step(self, key, due, mark):
-        if not due:
-            return None
-        us = np.array([r[0] for r in due], dtype="int64")
-        on = np.array([bool(r[2]) for r in due])
-        carried = self.since.get()[0] if self.since.exists() else None
-        # Position of the sample that started the running timer, -1 for a carried one.
-        place = np.arange(len(us))
-        before_on = np.concatenate([[carried is None], on[:-1]])
-        begun = np.maximum.accumulate(np.where(~on & before_on, place, -1))
-        since = np.where(begun >= 0, us[begun], carried if carried is not None else 0)
-        elapsed = us - since
-        if on[-1]:
-            self.since.clear()
-        else:
-            self.since.update((int(since[-1]),))
-        alert = ~on & (place != begun) & (elapsed >= self.threshold)
+    def step(self, key, us, tie, tag, mark):
+        on = tag == 1
+        since = np.zeros_like(us)
+        alert = np.zeros(len(us), dtype=bool)
+        if len(us):
+            carried = self.since.get()[0] if self.since.exists() else None
+            place = np.arange(len(us))
+            resumes = np.concatenate([[carried is None], on[:-1]])
+            # Sample that started the running timer; -1 while a carried one runs.
+            begun = np.maximum.accumulate(np.where(~on & resumes, place, -1))
+            since = np.where(begun >= 0, us[begun], 0 if carried is None else carried)
+            alert = ~on & (place != begun) & (us - since >= self.threshold)
+            if on[-1]:
+                self.since.clear()
+            else:
+                self.since.update((int(since[-1]),))
         return pd.DataFrame(
-            {
-                "entity": key[0],
-                "us": us,
-                "tie": [r[1] for r in due],
-                "active": on,
-                "since_us": pd.array(np.where(on, 0, since), dtype="Int64").astype(object),
-                "alert": alert,
-            }
+            {"entity": key[0], "us": us, "tie": tie, "active": on, "since_us": since, "alert": alert}
         )
 
 
@@ -128,7 +145,7 @@ def idle_alerts_stream(
         F.col(ts),
         micros(ts).alias("us"),
         F.col(tie).cast("long").alias("tie"),
-        F.coalesce(F.col(active), F.lit(False)).alias("active"),
+        F.coalesce(F.col(active), F.lit(False)).cast("byte").alias("tag"),
     )
     timed = rows.groupBy("entity").transformWithStateInPandas(
         statefulProcessor=_IdleTimer(threshold),

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import posixpath
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from corpusflow.functions.state import micros
 from corpusflow.operators.pool import POOL_TTL, STATUS_AFTER, TOUCHING, latest_state, status_after
-from corpusflow.streaming.idle import _Ordered
+from corpusflow.streaming.idle import OrderedState
 
 
 def pool_state_stream(log: DataFrame, key="pod_name", event="event", ts="ts", tie="seq") -> DataFrame:
@@ -46,34 +47,44 @@ def keep_state(state: DataFrame, root: str, key: str = "pod_name") -> DataFrame:
     return spark.read.parquet(out).groupBy(key).agg(last).select(key, "_last.*")
 
 
-class _Expiry(_Ordered):
-    rows = "us long, tie long, status string, touches boolean"
+# What a transition does, as the tag of a held row.
+BUSY, IDLE, IDLE_UNUSED = 0, 1, 2
+
+
+class _Expiry(OrderedState):
+    """Keeps whether the resource is idle, its last use, and whether that was reported."""
 
     def __init__(self, ttl: int):
         self.ttl = ttl * 1_000_000
 
     def init(self, handle):
         super().init(handle)
-        self.state = handle.getValueState("state", "status string, used long, told boolean")
-
-    def step(self, key, due, mark):
-        status, used, told = (
-            tuple(self.state.get()) if self.state.exists() else (None, None, False)
-        )
-        expired = []
-        for us, _, after, touches in [*due, (mark, 0, None, False)]:
-            if status == "idle" and used is not None and not told and us - used > self.ttl:
-                expired.append(used)
-                told = True
-            if after is not None:
-                status = after
-                if touches:
-                    used, told = us, False
-        if status is not None:
-            self.state.update((status, used, told))
-            if status == "idle" and used is not None and not told:
-                self._wake_at((used + self.ttl) // 1000 + 1)
-        return pd.DataFrame({"pod_name": key[0], "used_us": pd.Series(expired, dtype="int64")})
+        self.state = handle.getValueState("state", "idle boolean, used long, told boolean")
+
+    def step(self, key, us, tie, tag, mark):
+        idle, touches, told = tag != BUSY, tag != IDLE_UNUSED, False
+        if self.state.exists():
+            # The carried state goes ahead of the released rows as their row zero.
+            was_idle, used, told = self.state.get()
+            unused = used is None
+            us = np.concatenate([[0 if unused else used], us]).astype("int64")
+            idle = np.concatenate([[was_idle], idle])
+            touches = np.concatenate([[not unused], touches])
+        if not len(us):
+            return pd.DataFrame({"pod_name": [], "used_us": []})
+        place = np.arange(len(us))
+        use = np.maximum.accumulate(np.where(touches, place, -1))
+        until = np.append(us[1:], mark)
+        late = idle & (use >= 0) & (until - us[use] > self.ttl)
+        if told:
+            late &= use != 0
+        expired = np.unique(use[late])
+        last = use[-1]
+        told = bool(last in expired or (told and last == 0))
+        self.state.update((bool(idle[-1]), None if last < 0 else int(us[last]), told))
+        if idle[-1] and last >= 0 and not told:
+            self.wake_at((int(us[last]) + self.ttl) // 1000 + 1)
+        return pd.DataFrame({"pod_name": key[0], "used_us": us[expired]})
 
 
 def expire_idle_stream(
@@ -90,8 +101,11 @@ def expire_idle_stream(
         F.col(ts),
         micros(ts).alias("us"),
         F.col(tie).cast("long").alias("tie"),
-        status_after(event).alias("status"),
-        F.col(event).isin(*TOUCHING).alias("touches"),
+        F.when(status_after(event) == "busy", BUSY)
+        .when(F.col(event).isin(*TOUCHING), IDLE)
+        .otherwise(IDLE_UNUSED)
+        .cast("byte")
+        .alias("tag"),
     )
     found = moves.groupBy("pod_name").transformWithStateInPandas(
         statefulProcessor=_Expiry(ttl),
