@@ -20,7 +20,6 @@ ROWS_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 16_384
 SAMPLES_PER_BUCKET = 32
 SAMPLED_TEXT = 256  # characters of a text key that reach the driver
-FLAT_SEARCH = 64
 
 # Up to this many rows a sorted limit is used, whose candidates meet in one task.
 TOP_ROWS = 1_000
@@ -88,44 +87,23 @@ def cut_points(
 def with_bucket(
     df: DataFrame, keys: Sequence[str], cuts: list[dict], name: str = "_bucket"
 ) -> DataFrame:
-    """Add the number of cut points at or below the row's key.
-
-    More than ``FLAT_SEARCH`` cuts are searched in two levels, so a row costs about
-    twice the square root of the cut count in comparisons.
-    """
+    """Add the number of cut points at or below the row's key, by binary search."""
     if not cuts:
         return df.withColumn(name, F.lit(0))
     key = _sort_key(df, keys)
-    fields = T.StructType(
-        [T.StructField(f.name, f.dataType) for f in df.select(key.alias("k")).schema["k"].dataType]
-    )
-
-    def literal(value, dtype) -> Column:
-        return F.from_json(F.lit(json.dumps(value)), dtype)
-
-    def at_or_below(points: Column, k: Column) -> Column:
-        return F.size(F.filter(points, lambda p: p <= k))
-
-    if len(cuts) <= FLAT_SEARCH:
-        points = literal(cuts, T.ArrayType(fields))
-
-        def locate(k):
-            return at_or_below(points, k)
-
-    else:
-        step = math.isqrt(len(cuts)) + 1
-        chunks = [cuts[i : i + step] for i in range(0, len(cuts), step)]
-        heads = literal([c[0] for c in chunks], T.ArrayType(fields))
-        nested = literal(chunks, T.ArrayType(T.ArrayType(fields)))
+    dtype = df.select(key.alias("key")).schema["key"].dataType
+    fields = T.StructType([T.StructField(f.name, f.dataType) for f in dtype])
+    points = F.from_json(F.lit(json.dumps(cuts)), T.ArrayType(fields))
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))])
 
-        def locate(k):
-            def inside(group):
-                return (group - 1) * step + at_or_below(F.get(nested, group - 1), k)
+    def locate(k):
+        def go_on(at, step):
+            # Past the end the point is null, and the search stays where it is.
+            return F.when(F.get(points, at + step - 1) <= k, at + step).otherwise(at)
 
-            group = F.transform(F.array(at_or_below(heads, k)), lambda g: F.when(g > 0, inside(g)).otherwise(0))
-            return F.get(group, 0)
+        return F.aggregate(steps, F.lit(0), go_on)
 
-    # The one-element transform evaluates the key once per row, not once per cut.
+    # The one-element transform evaluates the key once per row, not once per step.
     return df.withColumn(name, F.get(F.transform(F.array(key), locate), 0))
 
 

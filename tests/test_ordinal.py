@@ -1,3 +1,4 @@
+import bisect
 import random
 
 import pytest
@@ -38,13 +39,13 @@ def test_hot_key_is_spread_over_buckets(skewed):
     assert max(sizes) < 6000 / 16 * 2
 
 
-def test_two_level_search_equals_flat(skewed, monkeypatch):
-    cuts = O.cut_points(skewed, ["k", "i"], 500)
-    assert len(cuts) > O.FLAT_SEARCH
-    nested = {r["i"]: r["_bucket"] for r in O.with_bucket(skewed, ["k", "i"], cuts).collect()}
-    monkeypatch.setattr(O, "FLAT_SEARCH", 10_000)
-    flat = {r["i"]: r["_bucket"] for r in O.with_bucket(skewed, ["k", "i"], cuts).collect()}
-    assert nested == flat
+@pytest.mark.parametrize("buckets", [2, 3, 8, 9, 500])
+def test_bucket_is_the_number_of_cuts_at_or_below(skewed, buckets):
+    cuts = O.cut_points(skewed, ["k", "i"], buckets)
+    assert len(cuts) == buckets - 1
+    bounds = [O._driver_order(c) for c in cuts]
+    for r in O.with_bucket(skewed, ["k", "i"], cuts).collect():
+        assert r["_bucket"] == bisect.bisect_right(bounds, O._driver_order({"k": r["k"], "i": r["i"]}))
 
 
 @pytest.mark.parametrize("parts, buckets", [(1, 5), (8, 100)])
