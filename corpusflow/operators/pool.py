@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusflow.functions import state as S
-from corpusflow.operators.ordinal import group_ordinal
+from corpusflow.operators.ordinal import cut_points, group_ordinal, in_buckets, with_bucket
 
 POOL_TTL = 600
 
@@ -72,6 +72,71 @@ def expire_idle(state: DataFrame, as_of, ttl: int = POOL_TTL) -> DataFrame:
     )
 
 
+def idle_expiries(
+    log: DataFrame,
+    until,
+    key="pod_name",
+    event="event",
+    ts="ts",
+    tie="seq",
+    ttl: int = POOL_TTL,
+    buckets: int | None = None,
+) -> DataFrame:
+    """Each use after which a resource stayed idle strictly longer than ``ttl`` seconds.
+
+    Looks at the whole log up to ``until`` rather than at its last state: a resource
+    is idle from a success or failure to its next use. Gives ``last_used`` and
+    ``expired_at``, one row per use. A log may belong to one resource for any part: it
+    is cut into buckets by (resource, time), and the use before and after each cut is
+    carried over, at most two rows per cut.
+    """
+    order = [key, ts, tie]
+    moves = log.where(F.col(event).isin(*STATUS_AFTER)).select(*order, event)
+    cuts = cut_points(moves, order, buckets)
+    used = F.when(F.col(event).isin(*TOUCHING), S.micros(ts))
+    base = in_buckets(with_bucket(moves, order, cuts), cuts).withColumn("_use", used)
+
+    part = Window.partitionBy("_bucket", key)
+    before = part.orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    after = part.orderBy(F.desc(ts), F.desc(tie)).rowsBetween(Window.unboundedPreceding, -1)
+    timed = base.withColumn("_last", F.last("_use", ignorenulls=True).over(before)).withColumn(
+        "_next", F.last("_use", ignorenulls=True).over(after)
+    )
+
+    by_key = Window.partitionBy(key)
+    earlier = by_key.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    later = by_key.orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    ends = with_bucket(moves, order, cuts).withColumn("_use", used)
+    carried = (
+        ends.groupBy("_bucket", key)
+        .agg(F.min("_use").alias("_first"), F.max("_use").alias("_final"))
+        .withColumn("_was", F.max("_final").over(earlier))
+        .withColumn("_will", F.min("_first").over(later))
+        .where("_was is not null or _will is not null")
+        .select("_bucket", key, "_was", "_will")
+    )
+
+    same = [F.col("a._bucket") == F.col("b._bucket"), F.col(f"a.{key}").eqNullSafe(F.col(f"b.{key}"))]
+    end = F.lit(until) if isinstance(until, int) else S.micros(F.lit(until))
+    idle = (
+        timed.where(status_after(event) == "idle")
+        .alias("a")
+        .join(F.broadcast(carried.alias("b")), same, "left")
+        .select(
+            F.col(f"a.{key}").alias(key),
+            F.coalesce("_last", "_was").alias("_used"),
+            F.coalesce(F.col("_next"), F.col("_will"), end).alias("_until"),
+        )
+    )
+    limit = ttl * 1_000_000
+    expired = idle.where(F.col("_until") - F.col("_used") > limit).select(key, "_used").distinct()
+    return expired.select(
+        key,
+        F.timestamp_micros("_used").alias("last_used"),
+        F.timestamp_micros(F.col("_used") + limit).alias("expired_at"),
+    )
+
+
 def resource_ready(
     pool: DataFrame, observed: DataFrame, key="pod_name", phase="phase", address="ip"
 ) -> DataFrame:

@@ -27,7 +27,7 @@ from corpusflow.plans.inputs import (
 from corpusflow.plans.registry import query
 from corpusflow.session import scratch_path
 from corpusflow.sources.tables import read_table
-from corpusflow.streaming import feeds, idle, pool as pool_streams
+from corpusflow.streaming import feeds, idle, ordered, pool as pool_streams
 
 AS_OF = "2024-01-31 00:00:00"
 FAR = "2100-01-01 00:00:00"
@@ -104,6 +104,22 @@ def match_warm(spark, sf):
     return matched.select("o_orderkey", "config_hash", "pod_name", "warm")
 
 
+_EXPIRIES = f"""
+WITH folded AS (
+  SELECT pod_name, ts, event, lead(ts) OVER w AS next_ts,
+         max(CASE WHEN event <> 'failed' THEN ts END) OVER w AS last_used
+  FROM {POOL_LOG} WINDOW w AS (PARTITION BY pod_name ORDER BY ts, seq))
+SELECT DISTINCT pod_name, last_used, last_used + INTERVAL 7200 SECOND AS expired_at
+FROM folded
+WHERE event IN ('succeeded', 'failed') AND last_used IS NOT NULL
+  AND epoch_us(coalesce(next_ts, TIMESTAMP '{FAR}')) - epoch_us(last_used) > 7200000000"""
+
+
+@query(_EXPIRIES)
+def idle_expiries(spark, sf):
+    return pool.idle_expiries(pool_log(spark, sf), FAR, ttl=7200)
+
+
 _READY = "(phase = 'Running' AND coalesce(ip, '') <> '')"
 
 
@@ -278,10 +294,10 @@ def answer_stream(spark, sf):
 
 @query(_EPISODES)
 def idle_alerts_stream(spark, sf):
-    feeds.use_state_store(spark)
-    feed = feeds.event_time(_feed(spark, _with_end(samples(spark, sf), "entity"), "samples"))
-    out = idle.idle_alerts_stream(feed, threshold=86400)
-    return feeds.run_available(out, scratch_path(spark, "alerts"))
+    feed = _feed(spark, _with_end(samples(spark, sf), "entity"), "samples")
+    root = scratch_path(spark, "alerts")
+    idle.idle_alerts_stream(feed, root, threshold=86400, availableNow=True).awaitTermination()
+    return ordered.released_rows(spark, root)
 
 
 @query(f"SELECT * FROM {LATEST_STATE}")
@@ -291,19 +307,10 @@ def pool_state_stream(spark, sf):
     return pool_streams.keep_state(state, scratch_path(spark, "state"))
 
 
-@query(f"""
-WITH folded AS (
-  SELECT pod_name, ts, event, lead(ts) OVER w AS next_ts,
-         max(CASE WHEN event <> 'failed' THEN ts END) OVER w AS last_used
-  FROM {POOL_LOG} WINDOW w AS (PARTITION BY pod_name ORDER BY ts, seq))
-SELECT DISTINCT pod_name, last_used, last_used + INTERVAL 7200 SECOND AS expired_at
-FROM folded
-WHERE event IN ('succeeded', 'failed') AND last_used IS NOT NULL
-  AND epoch_us(coalesce(next_ts, TIMESTAMP '{FAR}')) - epoch_us(last_used) > 7200000000""")
+@query(_EXPIRIES)
 def expire_idle_stream(spark, sf):
-    feeds.use_state_store(spark)
     log = pool_log(spark, sf).where("event <> 'seen'")
-    end = _with_end(log, "pod_name").fillna("created", ["event"])
-    feed = feeds.event_time(_feed(spark, end, "transitions"))
-    out = pool_streams.expire_idle_stream(feed, ttl=7200)
-    return feeds.run_available(out, scratch_path(spark, "expired"))
+    feed = _feed(spark, _with_end(log, "pod_name").fillna("created", ["event"]), "transitions")
+    root = scratch_path(spark, "expired")
+    pool_streams.expire_idle_stream(feed, root, ttl=7200, availableNow=True).awaitTermination()
+    return ordered.released_rows(spark, root)

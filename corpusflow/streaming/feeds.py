@@ -10,15 +10,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from corpusflow.operators.activity import activity_predicate
 from corpusflow.operators.scoring import score_requests
 
-STATE_STORE_KEY = "spark.sql.streaming.stateStore.providerClass"
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-def use_state_store(spark: SparkSession) -> None:
-    """Choose the RocksDB state store, which the stateful operators need."""
-    spark.conf.set(STATE_STORE_KEY, STATE_STORE)
-
-
 def read_stream(
     spark: SparkSession,
     path: str,
@@ -63,8 +54,3 @@ def activity_stream(samples: DataFrame, output: str = "active", **columns: str)
 def answer_stream(requests: DataFrame, load: Callable) -> DataFrame:
     """Answers to valid requests, as :func:`score_requests` gives them in batch."""
     return score_requests(requests, load)
-
-
-def event_time(df: DataFrame, ts: str = "ts", delay: str = "0 seconds") -> DataFrame:
-    """Cast ``ts`` to an instant and set the watermark on it."""
-    return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)

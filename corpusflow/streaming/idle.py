@@ -2,166 +2,54 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
-from corpusflow.functions.state import micros
-from corpusflow.operators.activity import IDLE_THRESHOLD
-
-
-HELD_ROWS = 65_536  # rows per stored block
-OUTPUT_ROWS = 100_000
-
-
-class OrderedState(StatefulProcessor):
-    """Holds rows back until the watermark has passed them, then handles them in order.
-
-    A held row is an instant ``us``, a tie-break ``tie`` and a small number ``tag``;
-    they are kept as packed blocks, 17 bytes a row. One timer per key stands at the
-    earliest of them. Subclasses implement ``step`` on arrays.
-    """
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.held = handle.getListState("held", "us binary, tie binary, tag binary")
-        self.wake = handle.getValueState("wake", "ms long")
-
-    def wake_at(self, ms: int) -> None:
-        if self.wake.exists():
-            if self.wake.get()[0] <= ms:
-                return
-            self.handle.deleteTimer(self.wake.get()[0])
-        self.handle.registerTimer(ms)
-        self.wake.update((ms,))
-
-    @staticmethod
-    def _blocks(us, tie, tag) -> list[tuple]:
-        return [
-            tuple(a[i : i + HELD_ROWS].tobytes() for a in (us, tie, tag))
-            for i in range(0, len(us), HELD_ROWS)
-        ]
-
-    def _rows(self):
-        blocks = list(self.held.get())
-        return (
-            np.concatenate([np.frombuffer(b[i], dtype=t) for b in blocks])
-            if blocks
-            else np.empty(0, dtype=t)
-            for i, t in enumerate(("int64", "int64", "int8"))
-        )
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        first = None
-        for pdf in rows:
-            if len(pdf):
-                arrays = (
-                    pdf["us"].to_numpy("int64"),
-                    pdf["tie"].to_numpy("int64"),
-                    pdf["tag"].to_numpy("int8"),
-                )
-                self.held.appendList(self._blocks(*arrays))
-                low = int(arrays[0].min())
-                first = low if first is None else min(first, low)
-        if first is not None:
-            self.wake_at(first // 1000 + 1)
-        return iter(())
+from pyspark.sql.streaming import StreamingQuery
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.wake.clear()
-        mark = timerValues.getCurrentWatermarkInMs() * 1000
-        us, tie, tag = self._rows()
-        later = us >= mark
-        if later.any():
-            self.held.put(self._blocks(us[later], tie[later], tag[later]))
-            self.wake_at(int(us[later].min()) // 1000 + 1)
-        else:
-            self.held.clear()
-        us, tie, tag = us[~later], tie[~later], tag[~later]
-        order = np.lexsort((tie, us))
-        out = self.step(key, us[order], tie[order], tag[order], mark)
-        for i in range(0, len(out), OUTPUT_ROWS):
-            yield out.iloc[i : i + OUTPUT_ROWS]
+from corpusflow.operators.activity import IDLE_THRESHOLD, idle_episodes
+from corpusflow.streaming.ordered import start_ordered
 
-    def step(self, key, us, tie, tag, mark: int) -> pd.DataFrame:
-        """Rows to emit for the released rows, which are in order; may be none of either."""
-        raise NotImplementedError
-
-    def close(self) -> None:
-        pass
-
-
-class _IdleTimer(OrderedState):
-    """Tag 1 is an active sample. Keeps the instant the running timer started at."""
-
-    def __init__(self, threshold: int):
-        self.threshold = threshold * 1_000_000
-
-    def init(self, handle):
-        super().init(handle)
-        self.since = handle.getValueState("since", "us long")
-
-    def step(self, key, us, tie, tag, mark):
-        on = tag == 1
-        since = np.zeros_like(us)
-        alert = np.zeros(len(us), dtype=bool)
-        if len(us):
-            carried = self.since.get()[0] if self.since.exists() else None
-            place = np.arange(len(us))
-            resumes = np.concatenate([[carried is None], on[:-1]])
-            # Sample that started the running timer; -1 while a carried one runs.
-            begun = np.maximum.accumulate(np.where(~on & resumes, place, -1))
-            since = np.where(begun >= 0, us[begun], 0 if carried is None else carried)
-            alert = ~on & (place != begun) & (us - since >= self.threshold)
-            if on[-1]:
-                self.since.clear()
-            else:
-                self.since.update((int(since[-1]),))
-        return pd.DataFrame(
-            {"entity": key[0], "us": us, "tie": tie, "active": on, "since_us": since, "alert": alert}
-        )
+# Sorts a carried timer ahead of every sample of its entity.
+FIRST = -(1 << 63)
 
 
 def idle_alerts_stream(
     samples: DataFrame,
-    key: str = "entity",
-    ts: str = "ts",
-    active: str = "active",
-    tie: str = "seq",
+    root: str,
+    delay_seconds: int = 0,
     threshold: int = IDLE_THRESHOLD,
-) -> DataFrame:
-    """Every sample with ``idle_since``, ``idle_seconds`` and ``alert``.
+    **trigger,
+) -> StreamingQuery:
+    """Write every sample with ``idle_since``, ``idle_seconds`` and ``alert``.
 
-    Same rule as the batch operator. ``samples`` carries a watermark on ``ts``; rows
-    are released in event-time order once it has passed them, later ones are dropped.
-    State per entity is its timer plus the rows not yet released, so the delay and the
-    rows admitted per trigger bound it. Needs the RocksDB state store.
+    The batch rule on the samples each trigger releases: ``entity``, ``ts``, ``seq``,
+    ``active``. What is carried is the start of each running timer, put in front of the
+    entity's next samples as one more inactive sample.
     """
+    columns = ["entity", "ts", "seq", "active"]
     rows = samples.select(
-        F.col(key).cast("string").alias("entity"),
-        F.col(ts),
-        micros(ts).alias("us"),
-        F.col(tie).cast("long").alias("tie"),
-        F.coalesce(F.col(active), F.lit(False)).cast("byte").alias("tag"),
-    )
-    timed = rows.groupBy("entity").transformWithStateInPandas(
-        statefulProcessor=_IdleTimer(threshold),
-        outputStructType=(
-            "entity string, us long, tie long, active boolean, since_us long, alert boolean"
-        ),
-        outputMode="Append",
-        timeMode="eventTime",
-    )
-    since = F.when(~F.col("active"), F.col("since_us"))
-    return timed.select(
-        "entity",
-        F.timestamp_micros("us").alias("ts"),
-        F.col("tie").alias("seq"),
+        F.col("entity").cast("string"),
+        F.col("ts").cast("timestamp").alias("ts"),
+        F.col("seq").cast("long"),
         "active",
-        F.timestamp_micros(since).alias("idle_since"),
-        ((F.col("us") - since) / F.lit(1_000_000.0)).alias("idle_seconds"),
-        "alert",
+    )
+
+    def release(due: DataFrame, carried: DataFrame, mark: int) -> DataFrame:
+        timers = carried.select(
+            "entity",
+            F.timestamp_micros("since_us").alias("ts"),
+            F.lit(FIRST).alias("seq"),
+            F.lit(False).alias("active"),
+            F.lit(True).alias("_timer"),
+        )
+        both = due.select(*columns, F.lit(False).alias("_timer")).unionByName(timers)
+        return idle_episodes(both, threshold=threshold).where("not _timer").drop("_timer")
+
+    def carry(out: DataFrame, due: DataFrame, carried: DataFrame) -> DataFrame:
+        since = F.max_by(F.unix_micros("idle_since"), F.struct("ts", "seq"))
+        last = out.groupBy("entity").agg(since.alias("since_us"))
+        kept = carried.join(last.select("entity"), "entity", "left_anti")
+        return last.where("since_us is not null").unionByName(kept)
+
+    return start_ordered(
+        rows, root, "ts", delay_seconds, release, carry, "entity string, since_us long", **trigger
     )

@@ -1,0 +1,102 @@
+"""Event-time order for streams whose rule depends on it.
+
+Each trigger adds its rows to those still held back, releases the ones the watermark
+has passed, and hands them to a batch operator together with what is carried from
+earlier triggers. So a key may own any share of a trigger: the batch operator splits
+it. Held rows, watermark and carried rows are tables per trigger in the shared folder.
+A trigger that is repeated after a failure reads the tables of the one before it and
+writes its own again, so nothing is lost or doubled.
+"""
+
+from __future__ import annotations
+
+import posixpath
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.streaming import StreamingQuery
+
+from corpusflow.functions.state import micros
+
+MARK = "mark long, late long"
+
+Release = Callable[[DataFrame, DataFrame, int], DataFrame]
+Carry = Callable[[DataFrame, DataFrame, DataFrame], DataFrame]
+
+
+def _drop_folder(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def start_ordered(
+    stream: DataFrame,
+    root: str,
+    ts: str,
+    delay_seconds: int,
+    release: Release,
+    carry: Carry,
+    carry_schema: str,
+    **trigger,
+) -> StreamingQuery:
+    """Start a query that writes ``release(due, carried, mark)`` below ``root``.
+
+    ``due`` are the rows older than the watermark ``mark`` (microseconds: the latest
+    ``ts`` seen less the delay) that were not released before, in no particular order.
+    ``carry(out, due, carried)`` gives the rows carried to the next trigger; ``out`` is
+    the stored output of this one. Rows older than the previous watermark are dropped
+    and counted. ``trigger`` is passed on, ``availableNow=True`` for what is there.
+    """
+
+    def folder(epoch: int, name: str = "") -> str:
+        return posixpath.join(root, "state", f"epoch={epoch}", name)
+
+    def handle(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        pending = batch.withColumn("_us", micros(ts))
+        past = None
+        carried = spark.createDataFrame([], carry_schema)
+        if epoch > 0:
+            past = spark.read.schema(MARK).parquet(folder(epoch - 1, "mark")).first()["mark"]
+            carried = spark.read.parquet(folder(epoch - 1, "carried"))
+        late = F.lit(False) if past is None else F.col("_us") < past
+        if epoch > 0:
+            held = spark.read.parquet(folder(epoch - 1, "pending")).where(F.col("_us") >= past)
+            pending = pending.where(~late).unionByName(held)
+        pending.write.mode("overwrite").parquet(folder(epoch, "pending"))
+        pending = spark.read.parquet(folder(epoch, "pending"))
+
+        newest = pending.agg(F.max("_us")).first()[0]
+        seen = [m for m in (past, None if newest is None else newest - delay_seconds * 1_000_000)]
+        mark = max((m for m in seen if m is not None), default=0)
+        dropped = 0 if past is None else batch.where(micros(ts) < past).count()
+        spark.createDataFrame([(mark, dropped)], MARK).coalesce(1).write.mode("overwrite").parquet(
+            folder(epoch, "mark")
+        )
+
+        due = pending.where(F.col("_us") < mark).drop("_us")
+        path = posixpath.join(root, "rows", f"epoch={epoch}")
+        release(due, carried, mark).write.mode("overwrite").parquet(path)
+        out = spark.read.parquet(path)
+        carry(out, due, carried).write.mode("overwrite").parquet(folder(epoch, "carried"))
+        if epoch > 1:
+            _drop_folder(spark, folder(epoch - 2))
+
+    return (
+        stream.writeStream.option("checkpointLocation", posixpath.join(root, "checkpoint"))
+        .trigger(**(trigger or {"processingTime": "60 seconds"}))
+        .foreachBatch(handle)
+        .start()
+    )
+
+
+def released_rows(spark: SparkSession, root: str) -> DataFrame:
+    """Everything a query of :func:`start_ordered` has written so far."""
+    return spark.read.parquet(posixpath.join(root, "rows")).drop("epoch")
+
+
+def late_rows(spark: SparkSession, root: str) -> DataFrame:
+    """Watermark and number of dropped rows of the latest triggers."""
+    return spark.read.schema(T._parse_datatype_string(MARK)).parquet(
+        posixpath.join(root, "state", "epoch=*", "mark")
+    )

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import posixpath
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
-from corpusflow.functions.state import micros
-from corpusflow.operators.pool import POOL_TTL, STATUS_AFTER, TOUCHING, latest_state, status_after
-from corpusflow.streaming.idle import OrderedState
+from corpusflow.operators.pool import POOL_TTL, STATUS_AFTER, idle_expiries, latest_state
+from corpusflow.streaming.idle import FIRST
+from corpusflow.streaming.ordered import start_ordered
 
 
 def pool_state_stream(log: DataFrame, key="pod_name", event="event", ts="ts", tie="seq") -> DataFrame:
@@ -47,74 +46,47 @@ def keep_state(state: DataFrame, root: str, key: str = "pod_name") -> DataFrame:
     return spark.read.parquet(out).groupBy(key).agg(last).select(key, "_last.*")
 
 
-# What a transition does, as the tag of a held row.
-BUSY, IDLE, IDLE_UNUSED = 0, 1, 2
-
-
-class _Expiry(OrderedState):
-    """Keeps whether the resource is idle, its last use, and whether that was reported."""
-
-    def __init__(self, ttl: int):
-        self.ttl = ttl * 1_000_000
-
-    def init(self, handle):
-        super().init(handle)
-        self.state = handle.getValueState("state", "idle boolean, used long, told boolean")
-
-    def step(self, key, us, tie, tag, mark):
-        idle, touches, told = tag != BUSY, tag != IDLE_UNUSED, False
-        if self.state.exists():
-            # The carried state goes ahead of the released rows as their row zero.
-            was_idle, used, told = self.state.get()
-            unused = used is None
-            us = np.concatenate([[0 if unused else used], us]).astype("int64")
-            idle = np.concatenate([[was_idle], idle])
-            touches = np.concatenate([[not unused], touches])
-        if not len(us):
-            return pd.DataFrame({"pod_name": [], "used_us": []})
-        place = np.arange(len(us))
-        use = np.maximum.accumulate(np.where(touches, place, -1))
-        until = np.append(us[1:], mark)
-        late = idle & (use >= 0) & (until - us[use] > self.ttl)
-        if told:
-            late &= use != 0
-        expired = np.unique(use[late])
-        last = use[-1]
-        told = bool(last in expired or (told and last == 0))
-        self.state.update((bool(idle[-1]), None if last < 0 else int(us[last]), told))
-        if idle[-1] and last >= 0 and not told:
-            self.wake_at((int(us[last]) + self.ttl) // 1000 + 1)
-        return pd.DataFrame({"pod_name": key[0], "used_us": us[expired]})
-
-
 def expire_idle_stream(
-    log: DataFrame, key="pod_name", event="event", ts="ts", tie="seq", ttl: int = POOL_TTL
-) -> DataFrame:
-    """One row whenever a resource stays idle strictly longer than ``ttl`` seconds.
-
-    Time is the event time of the watermark on ``ts``. Reports ``last_used`` and
-    ``expired_at``; a resource is reported again only after further use. Needs the
-    RocksDB state store.
+    log: DataFrame, root: str, delay_seconds: int = 0, ttl: int = POOL_TTL, **trigger
+) -> StreamingQuery:
+    """Write one row whenever a resource stays idle strictly longer than ``ttl`` seconds.
+
+    The batch rule of :func:`idle_expiries` on the transitions each trigger releases
+    (``pod_name``, ``event``, ``ts``, ``seq``), with the watermark as the present.
+    Carried per resource: the event its state amounts to, at the time of its last use,
+    and whether that use was reported.
     """
-    moves = log.where(F.col(event).isin(*STATUS_AFTER)).select(
-        F.col(key).cast("string").alias("pod_name"),
-        F.col(ts),
-        micros(ts).alias("us"),
-        F.col(tie).cast("long").alias("tie"),
-        F.when(status_after(event) == "busy", BUSY)
-        .when(F.col(event).isin(*TOUCHING), IDLE)
-        .otherwise(IDLE_UNUSED)
-        .cast("byte")
-        .alias("tag"),
-    )
-    found = moves.groupBy("pod_name").transformWithStateInPandas(
-        statefulProcessor=_Expiry(ttl),
-        outputStructType="pod_name string, used_us long",
-        outputMode="Append",
-        timeMode="eventTime",
-    )
-    return found.select(
-        "pod_name",
-        F.timestamp_micros("used_us").alias("last_used"),
-        F.timestamp_micros(F.col("used_us") + ttl * 1_000_000).alias("expired_at"),
+    columns = ["pod_name", "event", "ts", "seq"]
+    moves = log.where(F.col("event").isin(*STATUS_AFTER)).select(
+        F.col("pod_name").cast("string"),
+        "event",
+        F.col("ts").cast("timestamp").alias("ts"),
+        F.col("seq").cast("long"),
     )
+
+    def with_carried(due: DataFrame, carried: DataFrame) -> DataFrame:
+        return due.select(*columns).unionByName(
+            carried.select("pod_name", "event", "ts", F.lit(FIRST).alias("seq"))
+        )
+
+    def release(due: DataFrame, carried: DataFrame, mark: int) -> DataFrame:
+        told = carried.where("told").select("pod_name", F.col("ts").alias("last_used"))
+        found = idle_expiries(with_carried(due, carried), mark, ttl=ttl)
+        return found.join(told, ["pod_name", "last_used"], "left_anti")
+
+    def carry(out: DataFrame, due: DataFrame, carried: DataFrame) -> DataFrame:
+        state = latest_state(with_carried(due, carried)).where("last_used is not null")
+        told = (
+            out.select("pod_name", "last_used")
+            .unionByName(carried.where("told").select("pod_name", F.col("ts").alias("last_used")))
+            .withColumn("told", F.lit(True))
+        )
+        return state.join(told, ["pod_name", "last_used"], "left").select(
+            "pod_name",
+            F.when(F.col("status") == "idle", "succeeded").otherwise("assigned").alias("event"),
+            F.col("last_used").alias("ts"),
+            F.coalesce("told", F.lit(False)).alias("told"),
+        )
+
+    schema = "pod_name string, event string, ts timestamp, told boolean"
+    return start_ordered(moves, root, "ts", delay_seconds, release, carry, schema, **trigger)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusflow.operators import activity as A, pool as P
-from corpusflow.streaming import feeds, idle, pool as S
+from corpusflow.streaming import feeds, idle, ordered, pool as S
 
 T0 = datetime(2024, 1, 1)
 END = datetime(2030, 1, 1)
@@ -36,36 +36,57 @@ def test_idle_stream_equals_batch(spark, tmp_path, turns):
     path = str(tmp_path / "in")
     arrivals = late_order(rows, rng, 30_000) + [("end", END, -1, True)]
     write_in_turns(spark, path, arrivals, schema, turns)
-    feeds.use_state_store(spark)
-    feed = feeds.event_time(
-        feeds.read_stream(spark, path, schema, files_per_trigger=1), delay="10 hours"
-    )
-    got = feeds.run_available(idle.idle_alerts_stream(feed, threshold=1800), str(tmp_path / "run"))
-
-    def key(r):
-        return (r["entity"], r["seq"])
-
+    feed = feeds.read_stream(spark, path, schema, files_per_trigger=1)
+    root = str(tmp_path / "run")
+    idle.idle_alerts_stream(feed, root, 36_000, 1800, availableNow=True).awaitTermination()
+    got = ordered.released_rows(spark, root)
+    assert ordered.late_rows(spark, root).agg(F.sum("late")).first()[0] == 0
     names = ["entity", "ts", "seq", "active", "idle_since", "idle_seconds", "alert"]
     a = sorted((tuple(r[n] for n in names) for r in want.collect()), key=lambda r: (r[0], r[2]))
     b = sorted((tuple(r[n] for n in names) for r in got.collect()), key=lambda r: (r[0], r[2]))
     assert a == b and sum(r[6] for r in a) > 50
 
 
-def test_idle_stream_goes_on_after_a_restart(spark, tmp_path):
+def idle_step(spark, tmp_path, rows, delay=0):
+    """Add a file, process it, and return all alerts so far of entity ``a``."""
     schema = "entity string, ts timestamp, seq long, active boolean"
     path, root = str(tmp_path / "in"), str(tmp_path / "run")
-    feeds.use_state_store(spark)
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+    feed = feeds.read_stream(spark, path, schema)
+    idle.idle_alerts_stream(feed, root, delay, availableNow=True).awaitTermination()
+    out = ordered.released_rows(spark, root).where("entity = 'a'").collect()
+    return {r["seq"]: r["alert"] for r in out}
 
-    def step(rows):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
-        feed = feeds.event_time(feeds.read_stream(spark, path, schema))
-        out = feeds.run_available(idle.idle_alerts_stream(feed), root)
-        return {r["seq"]: r["alert"] for r in out.where("entity = 'a'").collect()}
 
-    first = step([("a", T0, 0, False), ("b", T0 + timedelta(seconds=100), 9, True)])
-    assert first == {0: False}
-    second = step([("a", T0 + timedelta(seconds=1800), 1, False), ("end", END, -1, True)])
-    assert second == {0: False, 1: True}
+def test_idle_stream_goes_on_after_a_restart(spark, tmp_path):
+    at = [T0 + timedelta(seconds=s) for s in (0, 100, 1800, 1900, 2000)]
+    assert idle_step(spark, tmp_path, [("a", at[0], 0, False), ("b", at[1], 9, True)]) == {0: False}
+    # Nothing of ``a`` is released here; its timer is carried all the same.
+    assert idle_step(spark, tmp_path, [("b", at[3], 10, True), ("a", at[2], 1, False)]) == {0: False, 1: True}
+    assert idle_step(spark, tmp_path, [("b", at[4], 11, True)]) == {0: False, 1: True}
+    last = idle_step(spark, tmp_path, [("a", at[4], 2, False), ("end", END, -1, True)])
+    assert last == {0: False, 1: True, 2: True}
+
+
+def test_late_rows_are_dropped_and_counted(spark, tmp_path):
+    at = [T0 + timedelta(seconds=s) for s in range(0, 500, 100)]
+    idle_step(spark, tmp_path, [("a", at[0], 0, False), ("a", at[4], 4, False)], delay=150)
+    got = idle_step(spark, tmp_path, [("a", at[2], 2, False), ("a", at[3], 3, True), ("end", END, -1, True)], delay=150)
+    assert sorted(got) == [0, 3, 4]
+    late = ordered.late_rows(spark, str(tmp_path / "run")).agg(F.sum("late")).first()[0]
+    assert late == 1
+
+
+def test_a_repeated_trigger_writes_the_same(spark, tmp_path):
+    at = [T0 + timedelta(seconds=s) for s in (0, 1800, 3600)]
+    idle_step(spark, tmp_path, [("a", at[0], 0, False), ("b", at[1], 9, True)])
+    idle_step(spark, tmp_path, [("a", at[1], 1, False), ("b", at[2], 10, True)])
+    commit = tmp_path / "run" / "checkpoint" / "commits" / "1"
+    commit.unlink()
+    (commit.parent / ".1.crc").unlink(missing_ok=True)
+    got = idle_step(spark, tmp_path, [("end", END, -1, True)])
+    assert got == {0: False, 1: True}
+    assert ordered.released_rows(spark, str(tmp_path / "run")).where("entity = 'b'").count() == 2
 
 
 def plain_expiry(log, ttl, end):
@@ -84,23 +105,38 @@ def plain_expiry(log, ttl, end):
     return found
 
 
+def make_log(rng, n, hot):
+    log = []
+    for i in range(n):
+        pod = "hot" if rng.random() < hot else f"p{rng.randrange(20)}"
+        event = rng.choice(["created", "assigned", "succeeded", "failed"])
+        log.append((pod, event, T0 + timedelta(seconds=rng.randrange(n * 110)), i))
+    return log
+
+
+@pytest.mark.parametrize("buckets, uses", [(1, True), (40, True), (40, False)])
+def test_batch_expiry_equals_a_loop_with_a_hot_resource(spark, buckets, uses):
+    log = make_log(random.Random(12), 2000, 0.7)
+    if not uses:  # long stretches without any use
+        log = [r if r[3] % 50 == 0 else (r[0], "failed", *r[2:]) for r in log]
+    df = spark.createDataFrame(log, "pod_name string, event string, ts timestamp, seq long")
+    got = P.idle_expiries(df.repartition(5), END, ttl=600, buckets=buckets).collect()
+    want = plain_expiry(log, 600, END)
+    assert len(got) == len(want) and {(r["pod_name"], r["last_used"]) for r in got} == want
+
+
 @pytest.mark.parametrize("turns", [1, 4])
 def test_expiry_stream_equals_a_loop(spark, tmp_path, turns):
     rng = random.Random(9)
-    log = []
-    for i in range(800):
-        pod = "hot" if rng.random() < 0.4 else f"p{rng.randrange(20)}"
-        event = rng.choice(["created", "assigned", "succeeded", "failed"])
-        log.append((pod, event, T0 + timedelta(seconds=rng.randrange(90_000)), i))
+    log = make_log(rng, 800, 0.4)
     schema = "pod_name string, event string, ts timestamp, seq long"
     path = str(tmp_path / "in")
     arrivals = late_order(log, rng, 9_000) + [("end", "created", END, -1)]
     write_in_turns(spark, path, arrivals, schema, turns)
-    feeds.use_state_store(spark)
-    feed = feeds.event_time(
-        feeds.read_stream(spark, path, schema, files_per_trigger=1), delay="3 hours"
-    )
-    got = feeds.run_available(S.expire_idle_stream(feed, ttl=600), str(tmp_path / "run")).collect()
+    feed = feeds.read_stream(spark, path, schema, files_per_trigger=1)
+    root = str(tmp_path / "run")
+    S.expire_idle_stream(feed, root, 10_800, 600, availableNow=True).awaitTermination()
+    got = ordered.released_rows(spark, root).collect()
     want = plain_expiry(log, 600, END)
     assert len(got) == len(want) and {(r["pod_name"], r["last_used"]) for r in got} == want
     assert all(r["expired_at"] == r["last_used"] + timedelta(seconds=600) for r in got)
