@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusflow.functions import activity as A, state as S
-from corpusflow.operators.ordinal import cut_points, in_buckets, with_bucket
+from corpusflow.operators.ordinal import cut_points, in_buckets, same_columns, with_bucket
 
 IDLE_THRESHOLD = 1800
 
@@ -99,8 +99,7 @@ def idle_episodes(
         .where("_carry is not null")
     )
 
-    same = [F.col("a._bucket") == F.col("b._bucket"), F.col(f"a.{key}").eqNullSafe(F.col(f"b.{key}"))]
-    joined = timed.alias("a").join(F.broadcast(carried.alias("b")), same, "left")
+    joined = timed.alias("a").join(F.broadcast(carried.alias("b")), same_columns("_bucket", key), "left")
     since = F.when(
         ~F.col("_on"),
         F.when(F.col("_seen"), F.col("_since")).otherwise(F.coalesce("_carry", "_since")),

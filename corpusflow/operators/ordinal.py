@@ -81,7 +81,20 @@ def cut_points(
     ]
     sample = sorted((r.asDict() for r in key.select(*short).collect()), key=_driver_order)
     picks = [sample[i * len(sample) // buckets] for i in range(1, buckets)] if sample else []
-    return [p for i, p in enumerate(picks) if i == 0 or p != picks[i - 1]]
+    picks = [p for i, p in enumerate(picks) if i == 0 or p != picks[i - 1]]
+    # Leading fields that tell all cuts apart are enough; a hot value needs more of them.
+    for width in range(1, len(fields)):
+        short = [dict(list(p.items())[:width]) for p in picks]
+        if all(a != b for a, b in zip(short, short[1:])):
+            return short
+    return picks
+
+
+def _plain(dtype: T.DataType) -> T.DataType:
+    """The type without what the schema says about nulls."""
+    if isinstance(dtype, T.StructType):
+        return T.StructType([T.StructField(f.name, f.dataType) for f in dtype])
+    return dtype
 
 
 def with_bucket(
@@ -90,10 +103,12 @@ def with_bucket(
     """Add the number of cut points at or below the row's key, by binary search."""
     if not cuts:
         return df.withColumn(name, F.lit(0))
-    key = _sort_key(df, keys)
-    dtype = df.select(key.alias("key")).schema["key"].dataType
-    fields = T.StructType([T.StructField(f.name, f.dataType) for f in dtype])
-    points = F.from_json(F.lit(json.dumps(cuts)), T.ArrayType(fields))
+    used = keys[: len(cuts[0])]
+    key, values = _sort_key(df, used), cuts
+    if len(used) == 1 and all(c["k0"] is not None for c in cuts):
+        key, values = _comparable(df, used[0]), [c["k0"] for c in cuts]
+    dtype = _plain(df.select(key.alias("key")).schema["key"].dataType)
+    points = F.from_json(F.lit(json.dumps(values)), T.ArrayType(dtype))
     steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))])
 
     def locate(k):
@@ -115,6 +130,15 @@ def in_buckets(bucketed: DataFrame, cuts: list[dict]) -> DataFrame:
     return bucketed.repartitionById(len(cuts) + 1, F.col("_bucket"))
 
 
+def same_columns(*names: str) -> list[Column]:
+    """Null-safe equality of columns of the sides aliased ``a`` and ``b``.
+
+    Also the way to join on a bucket: plain equality makes the optimizer test the
+    column for null at the scan, which runs the search one more time.
+    """
+    return [F.col(f"a.{n}").eqNullSafe(F.col(f"b.{n}")) for n in names]
+
+
 def _offsets(counts: DataFrame, bucket: str) -> DataFrame:
     """Rows before each bucket. ``counts`` holds one row per bucket."""
     before = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
@@ -139,12 +163,14 @@ def _placed(df: DataFrame, keys: Sequence[str], name: str, cuts: list[dict]) ->
     bucketed = with_bucket(df, keys, cuts)
     counts = _offsets(bucketed.groupBy("_bucket").count(), "_bucket").drop("count")
     within = F.row_number().over(Window.partitionBy("_bucket").orderBy(*keys))
+    ranked = in_buckets(bucketed, cuts).withColumn("_rank", within)
     return (
-        in_buckets(bucketed, cuts)
-        .withColumn("_rank", within)
-        .join(F.broadcast(counts), "_bucket")
-        .withColumn(name, F.col("_before") + F.col("_rank") - 1)
-        .drop("_bucket", "_before", "_rank")
+        ranked.alias("a")
+        .join(F.broadcast(counts.alias("b")), same_columns("_bucket"))
+        .select(
+            *[F.col(f"a.{c}") for c in df.columns],
+            (F.col("b._before") + F.col("_rank") - 1).alias(name),
+        )
     )
 
 
@@ -199,13 +225,12 @@ def group_ordinal(
         .select(*part, F.sum("count").over(before).alias("_before"))
         .where("_before > 0")
     )
-    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in part]
     within = F.row_number().over(Window.partitionBy(*part).orderBy(*keys))
     return (
         in_buckets(bucketed, cuts)
         .withColumn("_rank", within)
         .alias("a")
-        .join(F.broadcast(carried.alias("b")), same, "left")
+        .join(F.broadcast(carried.alias("b")), same_columns(*part), "left")
         .select(
             *[F.col(f"a.{c}") for c in df.columns],
             (F.coalesce("b._before", F.lit(0)) + F.col("_rank") - 1).alias(name),
@@ -237,7 +262,9 @@ def keys_at(
     )  # one row per position
     rank = F.row_number().over(Window.partitionBy("_name").orderBy("_key"))
     hits = (
-        tagged.join(F.broadcast(wanted), "_bucket")
+        tagged.alias("a")
+        .join(F.broadcast(wanted.alias("b")), same_columns("_bucket"))
+        .drop("_bucket")
         .withColumn("_rank", rank)
         .where("_before + _rank - 1 = _at")
     )

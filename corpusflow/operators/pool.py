@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusflow.functions import state as S
-from corpusflow.operators.ordinal import cut_points, group_ordinal, in_buckets, with_bucket
+from corpusflow.operators.ordinal import cut_points, group_ordinal, in_buckets, same_columns, with_bucket
 
 POOL_TTL = 600
 
@@ -116,12 +116,11 @@ def idle_expiries(
         .select("_bucket", key, "_was", "_will")
     )
 
-    same = [F.col("a._bucket") == F.col("b._bucket"), F.col(f"a.{key}").eqNullSafe(F.col(f"b.{key}"))]
     end = F.lit(until) if isinstance(until, int) else S.micros(F.lit(until))
     idle = (
         timed.where(status_after(event) == "idle")
         .alias("a")
-        .join(F.broadcast(carried.alias("b")), same, "left")
+        .join(F.broadcast(carried.alias("b")), same_columns("_bucket", key), "left")
         .select(
             F.col(f"a.{key}").alias(key),
             F.coalesce("_last", "_was").alias("_used"),
