@@ -88,9 +88,12 @@ def spark_task(app_name: str = "corpusflow", master: str | None = None, **settin
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Hand this package to the Python workers of the session, once."""
+    """Hand this package to the Python workers of a local session, once.
+
+    On a cluster the package is installed or named with ``--py-files``.
+    """
     context = spark.sparkContext
-    if getattr(context, "_corpusflow_shipped", False):
+    if not context.master.startswith("local") or getattr(context, "_corpusflow_shipped", False):
         return
     root = pathlib.Path(__file__).resolve().parent
     target = pathlib.Path(tempfile.mkdtemp(prefix="corpusflow-")) / "corpusflow.zip"

@@ -5,11 +5,12 @@ from __future__ import annotations
 import posixpath
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, types as T
 
 from corpusflow.operators.activity import activity_predicate
 from corpusflow.operators.scoring import score_requests
 
+
 def read_stream(
     spark: SparkSession,
     path: str,

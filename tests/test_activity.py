@@ -2,7 +2,6 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
-from pyspark.sql import functions as F
 
 from corpusflow.operators import activity as A
 
