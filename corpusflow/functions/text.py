@@ -11,6 +11,10 @@ from pyspark.sql.types import StringType
 PROMPT_HEAD = "translate English to SQL: "
 PROMPT_TABLES = " </s> Tables: "
 
+# The lines around an encoded result in a log.
+RESULT_START = "__RESULT_START__"
+RESULT_END = "__RESULT_END__"
+
 # Unicode white space plus the four ASCII separators the Java class leaves out.
 SPACE = r"[\s\x1c-\x1f]"
 
@@ -63,9 +67,7 @@ def last_segment(path) -> Column:
 
 def marked_payload(text) -> Column:
     """Bytes of the first base64 block between the result markers; null without one."""
-    block = F.regexp_extract(
-        _col(text), r"(?s)__RESULT_START__\n(.*?)\n__RESULT_END__", 1
-    )
+    block = F.regexp_extract(_col(text), rf"(?s){RESULT_START}\n(.*?)\n{RESULT_END}", 1)
     return F.unbase64(F.when(block != "", block))
 
 

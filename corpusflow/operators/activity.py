@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from corpusflow.functions import activity as A, state as S
 from corpusflow.operators.ordinal import cut_points, in_buckets, same_columns, with_bucket
 
+# Fixed value: seconds without activity before an alert.
 IDLE_THRESHOLD = 1800
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from corpusflow.functions import state as S
 from corpusflow.operators.ordinal import cut_points, group_ordinal, in_buckets, same_columns, with_bucket
 
+# Fixed value: seconds an unused resource is kept.
 POOL_TTL = 600
 
 # Transitions, the status each leaves, and which ones count as use.

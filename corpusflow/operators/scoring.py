@@ -14,6 +14,7 @@ from corpusflow.functions import text as X
 from corpusflow.operators.ordinal import head
 from corpusflow.operators.layout import spread
 
+# Prompts per model call, rows scored by default, rows reported.
 INFERENCE_BATCH = 16
 SCORED_ROWS = 500
 REPORT_ROWS = 20

@@ -17,7 +17,9 @@ EXAMPLES = T.StructType(
         T.StructField("answer", T.StringType()),
     ]
 )
+# Fixed value: rows per shard.
 SHARD_ROWS = 10_000
+
 FILE_COLUMN, ROW_COLUMN = "_file", "_row"
 
 
