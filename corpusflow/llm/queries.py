@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusflow.llm import chat, decontaminate, mixing, sharding, simhash
+from corpusflow.llm import chat, decontaminate, mixing, quality, sharding, simhash
 from corpusflow.llm.store import table
 
 
@@ -26,11 +26,15 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_digest(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded_documents(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    fn.__name__: fn for fn in (op3_chat_format, op4_mix_sources, op5_decontaminate, op6_simhash, op8_shard)
+    fn.__name__: fn for fn in (op3_chat_format, op4_mix_sources, op5_decontaminate, op6_simhash, op7_quality_rules, op8_shard)
 }
 SQL: dict[str, str] = {"op3_chat_format": chat.SQL}
