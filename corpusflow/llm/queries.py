@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusflow.llm import chat, decontaminate, mixing, quality, sharding, simhash
+from corpusflow.llm import chat, decontaminate, mixing, quality, secrets, sharding, simhash
 from corpusflow.llm.store import table
 
 
@@ -34,7 +34,11 @@ def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    fn.__name__: fn for fn in (op3_chat_format, op4_mix_sources, op5_decontaminate, op6_simhash, op7_quality_rules, op8_shard)
+    fn.__name__: fn for fn in (op3_chat_format, op4_mix_sources, op5_decontaminate, op6_simhash, op7_quality_rules, op8_shard, op9_secret_scan)
 }
-SQL: dict[str, str] = {"op3_chat_format": chat.SQL}
+SQL: dict[str, str] = {"op3_chat_format": chat.SQL, "op9_secret_scan": secrets.SQL}
