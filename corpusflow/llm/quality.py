@@ -42,7 +42,7 @@ MAX_REPEAT_PERCENT = 20
 THRESHOLDS = 24
 MAX_RULES = 8
 MAX_CONDITIONS = 4
-LEAST_PRECISION = 0.85
+LEAST_PRECISION = 0.8
 LEAST_COVER = 8
 Z = 1.28
 
