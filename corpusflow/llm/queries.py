@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusflow.llm import chat, decontaminate, mixing, quality, secrets, sharding, simhash
+from corpusflow.llm import chat, decontaminate, mixing, quality, secrets, sharding, simhash, suffixes
 from corpusflow.llm.store import table
 
 
@@ -38,7 +38,21 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.suffix_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    fn.__name__: fn for fn in (op3_chat_format, op4_mix_sources, op5_decontaminate, op6_simhash, op7_quality_rules, op8_shard, op9_secret_scan)
+    fn.__name__: fn
+    for fn in (
+        op3_chat_format,
+        op4_mix_sources,
+        op5_decontaminate,
+        op6_simhash,
+        op7_quality_rules,
+        op8_shard,
+        op9_secret_scan,
+        op10_suffix_dedup,
+    )
 }
 SQL: dict[str, str] = {"op3_chat_format": chat.SQL, "op9_secret_scan": secrets.SQL}
