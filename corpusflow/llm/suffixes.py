@@ -4,9 +4,9 @@
    owns the string; equal strings have equal owners at equal offsets. Consecutive strings
    of one owner are one run, about SPAN - GRAM bytes apart in running text. A run is known
    by its owner's hash and the hash of all its bytes.
-2. Runs meet by owner. Of equal runs all but the earliest are repeats as a whole; within an
-   Arrow batch this is decided before the shuffle, so a passage that stands in any share of
-   the documents comes from each batch once. An owner with one distinct run is done.
+2. Runs meet by owner. Of equal runs all but the earliest are repeats as a whole; within a
+   portion of a batch this is decided before the shuffle, so a passage that stands in any
+   share of the documents comes from each portion once. An owner with one distinct run is done.
 3. The bytes of the distinct runs of the other owners are sharded by owner, and the suffixes
    that begin a string are sorted by induction (see ``induced``). Neighbours with a common
    prefix of SPAN bytes are one class; all but its earliest member are repeats.
@@ -24,20 +24,21 @@ the same result. An empty table gives no rows. Only doc_id and text are used.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.llm import induced, wordbytes
+from corpusflow.llm.rows import beside, numbered
 from corpusflow.llm.store import stored
 
 SPAN = 100
 GRAM = 24
 SHARD_BYTES = 1 << 21
-BROADCAST_ENTRIES = 2_000_000
 EVERY = np.ones(256, bool)
 
 
@@ -94,10 +95,10 @@ RUN_NAMES = ["owner", "run", "key", "at", "first", "last", "repeat"]
 
 
 def _emit_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of each batch. Equal ones but the earliest are marked and dealt out by place."""
-    for batch in batches:
+    """Runs of each portion. Equal ones but the earliest are marked and dealt out by place."""
+    for texts, batch in itertools.chain.from_iterable(map(wordbytes.portions, batches)):
         keys = batch.column("key").to_numpy(zero_copy_only=False)
-        owner, run, key, at, first, last = runs_of(wordbytes.texts_of(batch.column("text")), keys)
+        owner, run, key, at, first, last = runs_of(texts, keys)
         order = np.lexsort((at, key, run, owner))
         owner, run, key, at, first, last = (x[order] for x in (owner, run, key, at, first, last))
         repeat = np.zeros(len(owner), bool)
@@ -215,39 +216,6 @@ def _sort_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield solved()
 
 
-def _numbered(documents: DataFrame) -> DataFrame:
-    """key, text and the rows' doc_id; keys are ids, or ranks where ids are null or repeated."""
-    texts = documents.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    ids = texts.select("doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    if ids.filter("doc_id IS NULL OR n > 1").isEmpty():
-        return texts.select(F.col("doc_id").cast("long").alias("key"), "doc_id", "text", F.lit(1).cast("long").alias("rows"))
-    mark = F.xxhash64("text")
-    each = texts.groupBy("doc_id", mark.alias("_mark")).agg(F.count(F.lit(1)).alias("rows"), F.first("text").alias("text"))
-    each = stored(each, "distinct-rows")
-    keyed = number_rows(each.select("doc_id", "_mark"))
-    same = F.col("e.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("e._mark") == F.col("k._mark"))
-    return each.alias("e").join(keyed.alias("k"), same).select("k.key", "e.doc_id", "e.text", "e.rows")
-
-
-def number_rows(rows: DataFrame) -> DataFrame:
-    """Add ``key``: 0, 1, ... by id (null last) and mark. Ranges of ids are numbered apart."""
-    null_last = F.col("doc_id").isNull()
-    ranged = rows.repartitionByRange(null_last, "doc_id", "_mark").withColumn("_part", F.spark_partition_id())
-    ranged = stored(ranged, "row-ranges")
-    inside = Window.partitionBy("_part").orderBy(null_last, "doc_id", "_mark")
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    sizes = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    numbered = ranged.withColumn("_in", F.row_number().over(inside) - 1).join(sizes, "_part")
-    return numbered.select("doc_id", "_mark", (F.col("_before") + F.col("_in")).alias("key"))
-
-
-def _beside(texts: DataFrame, lists: DataFrame, column: str, how: str) -> DataFrame:
-    """Join lists of a counted size per key: broadcast if they are few, else shuffled."""
-    entries = lists.agg(F.coalesce(F.sum(F.size(column)), F.lit(0))).first()[0]
-    return texts.join(F.broadcast(lists) if entries <= BROADCAST_ENTRIES else lists, "key", how)
-
-
 def repeated_spans(texts: DataFrame) -> DataFrame:
     """``key`` and ``spans`` (start, end; sorted, may overlap) from ``key`` and ``text``."""
     runs = texts.select("key", "text").mapInArrow(_emit_runs, RUN_SCHEMA)
@@ -255,7 +223,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     met = stored(runs.mapInArrow(_meet_runs, RUN_SCHEMA), "suffix-runs")
     lists = met.filter("NOT repeat").groupBy("key").agg(F.collect_list(F.struct("owner", "first", "last")).alias("runs"))
     lists = stored(lists, "suffix-lists")
-    pieces = _beside(texts.select("key", "text"), lists, "runs", "inner").mapInArrow(
+    pieces = beside(texts.select("key", "text"), lists, "runs", "inner").mapInArrow(
         _emit_bytes, "owner long, key long, first long, bytes binary"
     )
     sharded = pieces.repartition("owner").sortWithinPartitions("owner")
@@ -297,10 +265,10 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def suffix_digest(documents: DataFrame) -> DataFrame:
-    texts = _numbered(documents)
+    texts = numbered(documents)
     spans = stored(repeated_spans(texts), "suffix-spans")
     kind = dict(texts.dtypes)["doc_id"]
-    told = _beside(texts, spans, "spans", "left").mapInArrow(
+    told = beside(texts, spans, "spans", "left").mapInArrow(
         _digest, f"doc_id {kind}, rows long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     )
     return told.select("*", F.explode(F.sequence(F.lit(1), F.col("rows")))).drop("col", "rows")

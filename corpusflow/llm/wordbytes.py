@@ -103,3 +103,19 @@ def chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
         held += len(text) + 1
     if first < len(texts):
         yield first, len(texts)
+
+
+PORTION_BYTES = 1 << 24
+
+
+def portions(batch, column: str = "text") -> Iterator[tuple[list[bytes], object]]:
+    """A batch in slices of at most PORTION_BYTES of text, one row at least, with their texts."""
+    texts = texts_of(batch.column(column))
+    first, held = 0, 0
+    for k, text in enumerate(texts):
+        if k > first and held + len(text) > PORTION_BYTES:
+            yield texts[first:k], batch.slice(first, k - first)
+            first, held = k, 0
+        held += len(text)
+    if first < len(texts):
+        yield texts[first:], batch.slice(first)
