@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusflow.llm import chat, decontaminate, mixing, passages, quality, secrets, sharding, simhash, suffixes
+from corpusflow.llm import chat, decontaminate, lm, mixing, passages, quality, secrets, sharding, simhash, suffixes
 from corpusflow.llm.store import table
 
 
+def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.passage_classes(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     fn.__name__: fn
     for fn in (
+        op1_lm_scores,
         op2_compact_windows,
         op3_chat_format,
         op4_mix_sources,
