@@ -166,5 +166,5 @@ def drop_near_copies(documents: DataFrame) -> DataFrame:
         .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("_one"))
         .select("_one._row")
     )
-    rows = documents.withColumn("_row", identity).join(stays, "_row", "left_semi")
-    return rows.dropDuplicates(["_row"]).drop("_row")
+    rows = documents.select(F.struct(*documents.columns).alias("_document"), identity.alias("_row"))
+    return rows.join(stays, "_row", "left_semi").dropDuplicates(["_row"]).select("_document.*")
