@@ -91,12 +91,21 @@ def _parts(nodes) -> tuple[set[str] | None, Query]:
         if strings is not None and len(held) * len(strings) <= MAX_STRINGS:
             held = {a + b for a, b in itertools.product(held, strings)}
             continue
+        once = _once(node)
+        if once is not None and len(held) * len(once) <= MAX_STRINGS:
+            held = {a + b for a, b in itertools.product(held, once)}
         query = _both(_both(query, _of_strings(held)), implied)
-        held, exact = (strings, exact) if strings is not None else ({""}, False)
-        exact = False
+        held, exact = strings or {""}, False
     return (held if exact else None), _both(query, _of_strings(held))
 
 
+def _once(node) -> set[str] | None:
+    """The strings of a part that is repeated once at least."""
+    if str(node[0]) in ("MAX_REPEAT", "MIN_REPEAT") and node[1][0]:
+        return _parts(node[1][2])[0]
+    return None
+
+
 def _part(node) -> tuple[set[str] | None, Query]:
     kind, value = str(node[0]), node[1]
     if kind == "LITERAL":
