@@ -35,14 +35,17 @@ def responded(status) -> Column:
 def tcp_fields(line) -> Column:
     """``port`` (hex text), ``port_number`` and ``state`` of a TCP table line.
 
-    All null when the line has fewer than four fields or no port in the second.
+    All null when the line has fewer than four fields or no port in the second; the
+    number is null when the port is not hexadecimal or does not fit.
     """
     parts = F.split(strip_text(line), rf"(?U){SPACE}+")
     usable = (F.size(parts) >= 4) & F.contains(F.get(parts, 1), F.lit(":"))
     port = F.upper(F.get(F.split(F.get(parts, 1), ":"), 1))
     return F.struct(
         F.when(usable, port).alias("port"),
-        F.when(usable, F.conv(port, 16, 10).cast("long")).alias("port_number"),
+        F.when(usable & F.rlike(port, F.lit(r"\A[0-9A-F]{1,15}\z")), F.conv(port, 16, 10).cast("long")).alias(
+            "port_number"
+        ),
         F.when(usable, F.get(parts, 3)).alias("state"),
     )
 

@@ -10,7 +10,7 @@ from corpusflow.functions.text import _col
 def config_fingerprint(image, gpu, gpu_type, packages) -> Column:
     """First 16 hex digits of the SHA-256 of the parts that decide reuse.
 
-    Missing parts take their defaults; packages count as a set in code-point order.
+    Missing parts take their defaults; packages are sorted by code point, repeated ones stay.
     Separators are not escaped, so a package named ``a,b`` equals ``a`` plus ``b``.
     """
     names = F.coalesce(_col(packages), F.array().cast("array<string>"))

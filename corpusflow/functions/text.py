@@ -66,9 +66,19 @@ def last_segment(path) -> Column:
 
 
 def marked_payload(text) -> Column:
-    """Bytes of the first base64 block between the result markers; null without one."""
-    block = F.regexp_extract(_col(text), rf"(?s){RESULT_START}\n(.*?)\n{RESULT_END}", 1)
-    return F.unbase64(F.when(block != "", block))
+    """Bytes of the first base64 block between the result markers; null without a good one."""
+    block = _marked_block(text)
+    return F.try_to_binary(F.when(block != "", block), F.lit("base64"))
+
+
+def _marked_block(text) -> Column:
+    return F.regexp_extract(_col(text), rf"(?s){RESULT_START}\n(.*?)\n{RESULT_END}", 1)
+
+
+def payload_fault(text) -> Column:
+    """``broken`` when the markers hold a block that is not base64; else null."""
+    block = _marked_block(text)
+    return F.when((block != "") & marked_payload(text).isNull(), "broken")
 
 
 def encoded_length(payload) -> Column:

@@ -8,13 +8,11 @@ from pyspark.sql import DataFrame
 def spread(df: DataFrame) -> DataFrame:
     """Deal a small table out to all cores ahead of costly work per row.
 
-    A file with one row group is one task however many cores wait. Tables whose files
-    already give a quarter of the cores a split each, and streams, stay as they are.
+    A file with one row group is one task however many cores wait. For tables just read:
+    what already has a quarter of the cores in partitions, and streams, stay as they are.
+    No operator does this by itself, since it changes which rows lie together.
     """
     if df.isStreaming:
         return df
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if size < cores * split // 4 else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < max(1, cores // 4) else df

@@ -10,9 +10,7 @@ from contextlib import redirect_stderr, redirect_stdout
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
-from pyspark.sql.pandas.types import to_arrow_type
-
-from corpusflow.operators.layout import spread
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 CALL_FIELDS = "ok boolean, error string, traceback string, stdout string"
 
@@ -64,16 +62,16 @@ def safe_map(
     names = [f.name for f in extra]
     dtype = to_arrow_type(extra["return_value"].dataType)
     wanted = list(dict.fromkeys([*keep, *arguments]))
+    out = to_arrow_schema(extra)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = pdf[arguments].astype(object).where(pdf[arguments].notna(), None)
-            calls = [_call(fn, dict(zip(arguments, r))) for r in rows.itertuples(index=False)]
-            calls = _checked(calls, dtype)
-            columns = {n: pd.Series([c[i] for c in calls], index=pdf.index, dtype=object) for i, n in enumerate(names)}
-            yield pdf[keep].assign(**columns)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(a).to_pylist() for a in arguments)) if arguments else [()] * batch.num_rows
+            calls = _checked([_call(fn, dict(zip(arguments, r))) for r in rows], dtype)
+            told = [pa.array([c[i] for c in calls], type=out.field(i).type) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *told], [*keep, *names])
 
-    return spread(df.select(*wanted)).mapInPandas(run, T.StructType([*kept, *extra]))
+    return df.select(*wanted).mapInArrow(run, T.StructType([*kept, *extra]))
 
 
 def map_batches(
@@ -83,21 +81,26 @@ def map_batches(
     batch_size: int = 512,
     remove_columns: list[str] | None = None,
 ) -> DataFrame:
-    """Apply ``fn`` to batches of at most ``batch_size`` rows.
+    """Apply ``fn`` to batches of at most ``batch_size`` rows, as they lie in ``df``.
 
     ``schema`` describes what ``fn`` adds; the columns of ``df`` are kept except
-    ``remove_columns``.
+    ``remove_columns``, and are passed on as they are. If none is kept, ``fn`` may return
+    any number of rows; else it must return one row per row. ``fn`` sees whole numbers
+    with nulls among them as Python objects, not as floats.
     """
     gone = set(remove_columns or [])
     kept = [f for f in df.schema if f.name not in gone]
     added = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
-    names = [f.name for f in kept]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for start in range(0, len(pdf), batch_size):
-                part = pdf.iloc[start : start + batch_size].reset_index(drop=True)
-                new = fn(part)
-                yield part[names].assign(**{c: new[c] for c in new.columns})
-
-    return spread(df).mapInPandas(run, T.StructType([*kept, *added]))
+    names, out = [f.name for f in kept], to_arrow_schema(added)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, batch_size):
+                part = batch.slice(start, batch_size)
+                new = fn(part.to_pandas(integer_object_nulls=True))
+                if names and len(new) != part.num_rows:
+                    raise ValueError(f"{len(new)} rows for {part.num_rows}: remove all columns or keep the length")
+                told = [pa.Array.from_pandas(new[f.name], type=f.type) for f in out]
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *told], [*names, *out.names])
+
+    return df.mapInArrow(run, T.StructType([*kept, *added]))

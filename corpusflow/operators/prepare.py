@@ -11,7 +11,6 @@ from pyspark.sql.functions import pandas_udf
 
 from corpusflow.functions import text as X
 from corpusflow.operators.ordinal import aligned_ordinal, keys_at, rank_slice, tail_where
-from corpusflow.operators.layout import spread
 
 # Payload limit in base64 characters, rejection code and wording.
 PAYLOAD_LIMIT = 900_000
@@ -41,22 +40,38 @@ def request_fault(question="question", context="context") -> Column:
     return F.when(X.is_blank(question), NO_QUESTION).when(X.is_blank(context), NO_CONTEXT)
 
 
+def checked_requests(df: DataFrame, question="question", context="context") -> DataFrame:
+    """All requests in one pass: ``code`` and ``detail`` are null for good ones."""
+    checked = df.withColumn("detail", request_fault(question, context))
+    return checked.withColumn("code", F.when(F.col("detail").isNotNull(), REJECT_CODE))
+
+
 def validate_requests(
     df: DataFrame, question="question", context="context"
 ) -> tuple[DataFrame, DataFrame]:
-    """Good requests, and rejected ones with ``code`` and ``detail``."""
-    checked = df.withColumn("detail", request_fault(question, context))
-    good = checked.where("detail is null").drop("detail")
-    return good, checked.where("detail is not null").withColumn("code", F.lit(REJECT_CODE))
+    """Good requests, and rejected ones with ``code`` and ``detail``.
+
+    Each side reads the input; :func:`checked_requests` reads it once for both.
+    """
+    checked = checked_requests(df, question, context)
+    return checked.where("detail is null").drop("detail", "code"), checked.where("detail is not null")
+
+
+def sized_payloads(df: DataFrame, payload="payload", limit: int = PAYLOAD_LIMIT) -> DataFrame:
+    """All payloads in one pass, with ``encoded_length`` and whether they are ``accepted``."""
+    sized = df.withColumn("encoded_length", X.encoded_length(payload))
+    return sized.withColumn("accepted", F.coalesce(F.col("encoded_length") <= limit, F.lit(True)))
 
 
 def payload_guard(
     df: DataFrame, payload="payload", limit: int = PAYLOAD_LIMIT
 ) -> tuple[DataFrame, DataFrame]:
-    """Payloads within the limit, and those over it with ``encoded_length``."""
-    sized = df.withColumn("encoded_length", X.encoded_length(payload))
-    over = F.coalesce(F.col("encoded_length") > limit, F.lit(False))
-    return sized.where(~over), sized.where(over)
+    """Payloads within the limit, and those over it, with ``encoded_length``.
+
+    Each side reads the input; :func:`sized_payloads` reads it once for both.
+    """
+    sized = sized_payloads(df, payload, limit)
+    return sized.where("accepted").drop("accepted"), sized.where("not accepted").drop("accepted")
 
 
 def concat_tables(frames: Sequence[DataFrame]) -> DataFrame:
@@ -181,7 +196,7 @@ def encode_text(
 
     Labels are padded with the pad id here; batching pads them with -100.
     """
-    ids = spread(df).withColumn("_source", encoder_udf(load, source_length)(source)).withColumn(
+    ids = df.withColumn("_source", encoder_udf(load, source_length)(source)).withColumn(
         "_target", encoder_udf(load, target_length)(target)
     )
     return ids.select(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import sqlite3
 from collections import OrderedDict
 from collections.abc import Callable, Iterator, Sequence
@@ -12,16 +13,18 @@ from pyspark.sql.functions import pandas_udf
 
 from corpusflow.functions import text as X
 from corpusflow.operators.ordinal import head
-from corpusflow.operators.layout import spread
 
-# Prompts per model call, rows scored by default, rows reported.
+# Prompts per model call, rows reported.
 INFERENCE_BATCH = 16
-SCORED_ROWS = 500
 REPORT_ROWS = 20
 
 # Guards of the SQL sandbox: virtual machine steps and value size per statement.
 SQL_STEPS = 20_000_000
 SQL_VALUE_BYTES = 10_000_000
+VARYING_FUNCTIONS = {
+    "random", "randomblob", "changes", "total_changes", "last_insert_rowid", "date", "time", "datetime",
+    "julianday", "unixepoch", "strftime", "timediff", "current_date", "current_time", "current_timestamp",
+}
 CACHED_CONTEXTS = 64
 CACHED_RESULTS = 4_096
 
@@ -54,7 +57,7 @@ def predict_batch(
     batch: int = INFERENCE_BATCH,
 ) -> DataFrame:
     """Add the generated text for every prompt."""
-    return spread(df).withColumn(output, predictor_udf(load, batch)(prompt))
+    return df.withColumn(output, predictor_udf(load, batch)(prompt))
 
 
 def score_requests(
@@ -101,15 +104,15 @@ class _Sandbox:
     }
     FILE_PRAGMAS = {"temp_store_directory", "data_store_directory"}
 
-    def __init__(self, ddl: Sequence[str], steps: int):
+    def __init__(self, ddl: Sequence[str], steps: int, value_bytes: int):
         self.db = sqlite3.connect(":memory:")
-        self.changed = False
-        self.db.setlimit(sqlite3.SQLITE_LIMIT_LENGTH, SQL_VALUE_BYTES)
+        self.changed = self.varying = self.exhausted = False
+        self.db.setlimit(sqlite3.SQLITE_LIMIT_LENGTH, value_bytes)
         self.db.set_authorizer(self._allow)
         self.limit = steps
         try:
             for statement in ddl:
-                self._run(statement)
+                self.digest(statement)
             self.db.commit()
         except BaseException:
             self.db.close()
@@ -121,55 +124,71 @@ class _Sandbox:
             return sqlite3.SQLITE_DENY
         if action == sqlite3.SQLITE_PRAGMA and str(first).lower() in self.FILE_PRAGMAS:
             return sqlite3.SQLITE_DENY
+        if action == sqlite3.SQLITE_FUNCTION and str(second).lower() in VARYING_FUNCTIONS:
+            self.varying = True
         if action not in self.PLAIN:
             self.changed = True
         return sqlite3.SQLITE_OK
 
-    def _run(self, sql):
+    def digest(self, sql: str) -> bytes:
+        """A hash of the rows, read one by one: equal for equal lists of rows."""
         chunk = 10_000
         left = [max(1, self.limit // chunk)]
+        self.varying = self.exhausted = False
 
         def tick():
             left[0] -= 1
-            return left[0] < 0
+            self.exhausted = left[0] < 0
+            return self.exhausted
 
         self.db.set_progress_handler(tick, chunk)
-        return self.db.execute(sql).fetchall()
+        seen = hashlib.sha256()
+        for row in self.db.execute(sql):
+            seen.update(repr([_plain(v) for v in row]).encode("utf-8", "surrogatepass"))
+        return seen.digest()
+
+
+def _plain(value):
+    """Equal numbers look alike: a float that is whole becomes a whole number."""
+    return int(value) if isinstance(value, float) and value.is_integer() else value
 
-    def rows(self, sql):
-        return self._run(sql)
 
+def _fetcher(steps: int, value_bytes: int = SQL_VALUE_BYTES) -> Callable:
+    """``fetch(ddl, sql)`` -> status and digest of the rows; results are remembered.
 
-def _fetcher(steps: int) -> Callable:
-    """``fetch(ddl, sql)`` -> rows, or None on any error; results are remembered."""
+    The status is ``ok``, ``failed``, or ``limit`` for a statement that ran into a limit.
+    """
     databases, results = _Recent(CACHED_CONTEXTS), _Recent(CACHED_RESULTS)
 
-    def run(ddl: tuple, sql: str):
+    def run(ddl: tuple, sql: str) -> tuple[tuple[str, bytes | None], bool]:
         box = databases.recall(ddl) if ddl in databases else None
-        if box is None:
-            box = _Sandbox(ddl, steps)
-            dropped = databases.keep(ddl, box)
-            if dropped is not None:
-                dropped.db.close()
         try:
-            return box.rows(sql)
+            if box is None:
+                box = _Sandbox(ddl, steps, value_bytes)
+                dropped = databases.keep(ddl, box)
+                if dropped is not None:
+                    dropped.db.close()
+            return ("ok", box.digest(sql)), box.varying
+        except MemoryError:
+            return ("limit", None), False
+        except (sqlite3.Error, sqlite3.Warning, ValueError, OverflowError) as fault:
+            limited = (box is not None and box.exhausted) or "too big" in str(fault)
+            return ("limit" if limited else "failed", None), box is not None and box.varying
         finally:
             # A statement that may have changed the database does not share it.
-            if box.changed:
+            if box is not None and box.changed:
                 databases.pop(ddl, None)
                 box.db.close()
 
-    def fetch(ddl, sql):
+    def fetch(ddl, sql) -> tuple[str, bytes | None]:
         if ddl is None or sql is None:
-            return None
+            return "failed", None
         key = (tuple(ddl), sql)
         if key in results:
             return results.recall(key)
-        try:
-            found = run(*key)
-        except (sqlite3.Error, sqlite3.Warning, ValueError, OverflowError, MemoryError):
-            found = None
-        results.keep(key, found)
+        found, varying = run(*key)
+        if not varying:
+            results.keep(key, found)
         return found
 
     return fetch
@@ -182,30 +201,34 @@ def execution_match(
     gold: str = "answer",
     output: str = "exec_match",
     steps: int = SQL_STEPS,
+    value_bytes: int = SQL_VALUE_BYTES,
+    status: str = "exec_status",
 ) -> DataFrame:
     """Add whether both queries return the same rows on the context's empty tables.
 
     Rows are compared in order, duplicates count, and a query that fails on either
-    side is no match. There is no shuffle: each task remembers recent results, so a
-    context or query that fills a third of the table costs one run per task.
-    Statements may change their private database but cannot reach files, and one
-    that exceeds ``steps`` counts as failed.
+    side is no match. ``status`` tells why: ``ok``, ``failed``, or ``limit`` where a
+    statement took more than ``steps`` or a value over ``value_bytes``. Rows are read one
+    by one into a digest, so a large result takes no memory. There is no shuffle: each task
+    remembers recent results, so a context or query that fills a third of the table costs
+    one run per task; what depends on chance or time is run anew. Statements may change
+    their private database but cannot reach files.
     """
 
-    @pandas_udf("boolean")
-    def matches(
-        batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]],
-    ) -> Iterator[pd.Series]:
-        fetch = _fetcher(steps)
+    @pandas_udf("verdict boolean, status string")
+    def judge(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        fetch = _fetcher(steps, value_bytes)
         for ddl, left, right in batches:
-            verdicts = []
+            verdicts, told = [], []
             for tables, a, b in zip(ddl, left, right):
-                one = fetch(tables, a)
-                two = fetch(tables, b) if one is not None else None
-                verdicts.append(one is not None and two is not None and one == two)
-            yield pd.Series(verdicts, index=left.index, dtype=bool)
+                one, two = fetch(tables, a), fetch(tables, b)
+                both = {one[0], two[0]}
+                told.append("limit" if "limit" in both else "failed" if "failed" in both else "ok")
+                verdicts.append(both == {"ok"} and one[1] == two[1])
+            yield pd.DataFrame({"verdict": verdicts, "status": told}, index=left.index)
 
-    return spread(df).withColumn(output, matches(X.ddl_statements(context), F.col(predicted), F.col(gold)))
+    judged = df.withColumn("_judged", judge(X.ddl_statements(context), F.col(predicted), F.col(gold)))
+    return judged.withColumn(output, F.col("_judged.verdict")).withColumn(status, F.col("_judged.status")).drop("_judged")
 
 
 def accuracy(flag: str | Column) -> Column:
@@ -222,14 +245,19 @@ def execution_accuracy(df: DataFrame, flag="exec_match") -> DataFrame:
 
 
 def evaluation_summary(
-    df: DataFrame, exact="exact_match", executed="exec_match", run: str | None = "run_id"
+    df: DataFrame, exact="exact_match", executed="exec_match", run: str | None = "run_id", status="exec_status"
 ) -> DataFrame:
-    """Both accuracies and the row count, one row per run (``run=None``: one in all)."""
+    """Both accuracies, the row count and the rows ``limited`` by a limit of the sandbox.
+
+    One row per run (``run=None``: one in all). Without a ``status`` column none is limited.
+    """
+    told = F.count_if(F.col(status) == "limit") if status in df.columns else F.lit(0).cast("long")
     groups = [run] if run else []
     return df.groupBy(*groups).agg(
         accuracy(exact).alias("exact_match_accuracy"),
         accuracy(executed).alias("execution_accuracy"),
         F.count("*").alias("num_examples"),
+        told.alias("limited"),
     )
 
 
@@ -260,17 +288,26 @@ def _groupable(df: DataFrame, columns: Sequence[str]) -> list[Column]:
     ]
 
 
+def _by_place(df: DataFrame, ordinal: str | None) -> DataFrame:
+    """Columns named by their place, ``ordinal`` first and under its name."""
+    values = [F.col(f"`{c}`") for c in df.columns if c != ordinal]
+    named = [c.alias(f"c{i}") for i, c in enumerate(values)]
+    return df.select(*([ordinal] if ordinal else []), *named)
+
+
 def same_result(
     spark, a: DataFrame | None, b: DataFrame | None, ordinal: str | None = "ord"
 ) -> DataFrame:
     """One row, ``same``: whether two result sets are equal; a failed one (None) never is.
 
-    With ``ordinal`` rows are paired by position. Without, they are compared as bags:
+    Rows are tuples: columns pair by place, whatever their names; only ``ordinal`` goes by
+    name. With ``ordinal`` rows are paired by position. Without, they are compared as bags:
     both sides add up per distinct row before they meet, so repeated rows collapse
     ahead of the shuffle.
     """
-    if a is None or b is None or set(a.columns) != set(b.columns):
+    if a is None or b is None or len(a.columns) != len(b.columns):
         return spark.range(1).select(F.lit(False).alias("same"))
+    a, b = (_by_place(x, ordinal) for x in (a, b))
     if ordinal:
         values = [c for c in a.columns if c != ordinal]
         left = a.select(ordinal, F.struct(*_groupable(a, values)).alias("_l"))

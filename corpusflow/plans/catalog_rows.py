@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusflow.functions import state as S, text as X
 from corpusflow.operators import ordinal, prepare
 from corpusflow.operators.layout import spread
-from corpusflow.plans.inputs import DIALOGUES, dialogues, sql_normalize, sql_strip
+from corpusflow.plans.inputs import DIALOGUES, QUESTIONS, dialogues, questions, sql_normalize, sql_strip
 from corpusflow.plans.registry import query
 from corpusflow.session import scratch_path
 from corpusflow.sources import history, tables
@@ -99,9 +99,9 @@ def clean_rows(spark, sf):
 @query(f"""
 SELECT conv_id, turn, 'translate English to SQL: ' || question || ' </s> Tables: ' ||
        coalesce(context, 'None') AS prompt
-FROM {DIALOGUES}""")
+FROM {QUESTIONS}""")
 def format_prompt(spark, sf):
-    return dialogues(spark, sf).select(
+    return questions(spark, sf).select(
         "conv_id", "turn", X.format_prompt("question", "context").alias("prompt")
     )
 
@@ -115,7 +115,7 @@ def to_pairs(spark, sf):
 
 
 def _requests_to_check(spark, sf):
-    return dialogues(spark, sf).select(
+    return questions(spark, sf).select(
         "conv_id",
         "turn",
         F.when(F.col("turn") == 4, F.lit("  \n")).otherwise(F.col("question")).alias("question"),
@@ -128,10 +128,10 @@ SELECT conv_id, turn,
        CASE WHEN turn = 4 THEN 400 WHEN context IS NULL THEN 400 END AS code,
        CASE WHEN turn = 4 THEN 'question cannot be empty'
             WHEN context IS NULL THEN 'context (CREATE TABLE) cannot be empty' END AS detail
-FROM {DIALOGUES}""")
+FROM {QUESTIONS}""")
 def validate_requests(spark, sf):
-    good, rejected = prepare.validate_requests(_requests_to_check(spark, sf))
-    return prepare.concat_tables([good, rejected]).select("conv_id", "turn", "code", "detail")
+    checked = prepare.checked_requests(_requests_to_check(spark, sf))
+    return checked.select("conv_id", "turn", "code", "detail")
 
 
 @query("""
@@ -139,10 +139,8 @@ SELECT doc_id, encoded_length, encoded_length <= 4000 AS accepted
 FROM (SELECT doc_id, CAST(ceil(octet_length(encode(text)) / 3.0) * 4 AS BIGINT) AS encoded_length
       FROM documents)""")
 def payload_guard(spark, sf):
-    good, over = prepare.payload_guard(spread(read_table(spark, sf, "documents")), "text", 4000)
-    return prepare.concat_tables(
-        [good.withColumn("accepted", F.lit(True)), over.withColumn("accepted", F.lit(False))]
-    ).select("doc_id", "encoded_length", "accepted")
+    sized = prepare.sized_payloads(spread(read_table(spark, sf, "documents")), "text", 4000)
+    return sized.select("doc_id", "encoded_length", "accepted")
 
 
 @query("""

@@ -7,17 +7,21 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions import state as S, text as X
 from corpusflow.operators import mapping, prepare, runs, scoring
+from corpusflow.operators.layout import spread
 from corpusflow.operators.ordinal import global_ordinal
 from corpusflow.plans.inputs import (
     CHECKPOINTS,
     DIALOGUES,
+    QUESTIONS,
     PREDICTIONS,
     checkpoints,
     dialogues,
+    questions,
     predictions,
     sql_strip,
 )
 from corpusflow.plans.registry import query
+from corpusflow.session import scratch_path
 from corpusflow.sources.tables import read_table
 
 
@@ -33,9 +37,9 @@ def echo_question():
 
 @query(f"""
 SELECT conv_id, turn, {sql_strip("string_split(question, ' </s> Tables: ')[1]")} AS predicted
-FROM {DIALOGUES}""")
+FROM {QUESTIONS}""")
 def predict_batch(spark, sf):
-    prompts = dialogues(spark, sf).select(
+    prompts = questions(spark, sf).select(
         "conv_id", "turn", X.format_prompt("question", "context").alias("prompt")
     )
     return scoring.predict_batch(prompts, echo_question).select("conv_id", "turn", "predicted")
@@ -44,9 +48,9 @@ def predict_batch(spark, sf):
 @query(f"""
 SELECT conv_id, turn, {sql_strip('question')} AS sql,
        'translate English to SQL: ' || question || ' </s> Tables: ' || context AS prompt
-FROM {DIALOGUES} WHERE context IS NOT NULL""")
+FROM {QUESTIONS} WHERE context IS NOT NULL""")
 def score_requests(spark, sf):
-    answered = scoring.score_requests(dialogues(spark, sf), echo_question)
+    answered = scoring.score_requests(questions(spark, sf), echo_question)
     return answered.select("conv_id", "turn", "sql", "prompt")
 
 
@@ -55,7 +59,7 @@ def judged(spark, sf):
     rows = predictions(spark, sf).withColumn(
         "exact_match", X.exact_match("predicted", "answer")
     )
-    return scoring.execution_match(rows)
+    return scoring.execution_match(spread(rows))
 
 
 @query(f"SELECT p_partkey, exact_match, exec_match FROM {PREDICTIONS}")
@@ -75,7 +79,8 @@ def execution_accuracy(spark, sf):
 
 _SUMMARY = f"""(
   SELECT p_brand AS run_id, avg(CAST(exact_match AS INT)) AS exact_match_accuracy,
-         avg(CAST(exec_match AS INT)) AS execution_accuracy, count(*) AS num_examples
+         avg(CAST(exec_match AS INT)) AS execution_accuracy, count(*) AS num_examples,
+         CAST(0 AS BIGINT) AS limited
   FROM {PREDICTIONS} GROUP BY p_brand)"""
 
 
@@ -129,9 +134,12 @@ def example_report(spark, sf):
 def _result_pairs(spark, sf):
     """Orders in two orders, and with one column changed where a condition holds."""
     orders = read_table(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_custkey")
-    by_date = global_ordinal(orders, ["o_orderdate", "o_orderkey"])
-    by_key = global_ordinal(orders, ["o_orderkey"])
-    return by_date, by_key
+    stored = []
+    for keys in (["o_orderdate", "o_orderkey"], ["o_orderkey"]):
+        path = scratch_path(spark, "results")
+        global_ordinal(orders, keys).write.parquet(path)
+        stored.append(spark.read.parquet(path))
+    return stored
 
 
 @query("""
@@ -147,9 +155,16 @@ FROM (SELECT o_orderkey, o_orderdate, o_custkey FROM d EXCEPT ALL
 UNION ALL
 SELECT 'bag_of_customers', count(*) = 0
 FROM (SELECT o_custkey FROM orders EXCEPT ALL SELECT c_custkey FROM customer)
-UNION ALL SELECT 'failed_side', FALSE FROM (SELECT count(*) FROM orders)""")
+UNION ALL SELECT 'failed_side', FALSE FROM (SELECT count(*) FROM orders)
+UNION ALL SELECT 'other_names', TRUE FROM (SELECT count(*) FROM orders)
+UNION ALL
+SELECT 'swapped_columns', count(*) = 0
+FROM (SELECT ord, o_orderkey, o_orderdate, o_custkey FROM d EXCEPT ALL
+      SELECT ord, o_custkey, o_orderdate, o_orderkey FROM d)""")
 def same_result(spark, sf):
     by_date, by_key = _result_pairs(spark, sf)
+    named = by_date.withColumnsRenamed({"o_orderkey": "id", "o_custkey": "who"})
+    swapped = by_date.select("o_custkey", "o_orderdate", "o_orderkey", "ord")
     bought = read_table(spark, sf, "orders").select("o_custkey")
     listed = read_table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"))
     answers = {
@@ -159,6 +174,8 @@ def same_result(spark, sf):
         ),
         "bag_of_customers": scoring.same_result(spark, bought, listed, ordinal=None),
         "failed_side": scoring.same_result(spark, by_date, None),
+        "other_names": scoring.same_result(spark, by_date, named),
+        "swapped_columns": scoring.same_result(spark, by_date, swapped),
     }
     return prepare.concat_tables(
         [a.select(F.lit(name).alias("pair"), "same") for name, a in answers.items()]
@@ -170,11 +187,10 @@ def same_result(spark, sf):
 
 @query(f"""
 SELECT run_id, arg_min(name, (eval_loss, event_id)) AS best, min(eval_loss) AS best_loss
-FROM {CHECKPOINTS} WHERE name LIKE 'checkpoint-%' AND name <> 'checkpoint-best' GROUP BY run_id""")
+FROM {CHECKPOINTS} WHERE is_dir AND name LIKE 'checkpoint-%' AND name <> 'checkpoint-best'
+GROUP BY run_id""")
 def best_checkpoint(spark, sf):
-    numbered = checkpoints(spark, sf).where(
-        F.col("name").startswith("checkpoint-") & (F.col("name") != "checkpoint-best")
-    )
+    numbered, _ = runs.checkpoint_listing(checkpoints(spark, sf))
     return runs.best_checkpoint(numbered)
 
 
@@ -224,7 +240,7 @@ SELECT p_partkey, CASE WHEN p_size % 7 <> 0 THEN length(p_name) * p_size END AS
 FROM part""")
 def safe_map(spark, sf):
     called = mapping.safe_map(
-        read_table(spark, sf, "part"), inspect_part, ["p_name", "p_size"], "long", ["p_partkey"]
+        spread(read_table(spark, sf, "part")), inspect_part, ["p_name", "p_size"], "long", ["p_partkey"]
     )
     return called.select("p_partkey", "return_value", "ok", "error", "stdout")
 
@@ -235,5 +251,35 @@ def count_words(batch: pd.DataFrame) -> pd.DataFrame:
 
 @query("SELECT doc_id, len(string_split(text, ' ')) AS words FROM documents")
 def map_batches(spark, sf):
-    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    docs = spread(read_table(spark, sf, "documents").select("doc_id", "text"))
     return mapping.map_batches(docs, count_words, "words long", remove_columns=["text"])
+
+
+def three_lengths(batch: pd.DataFrame) -> pd.DataFrame:
+    """Three rows per row."""
+    return pd.DataFrame(
+        {"id": batch["doc_id"].repeat(3), "part": [0, 1, 2] * len(batch), "chars": batch["text"].str.len().repeat(3)}
+    )
+
+
+@query("SELECT doc_id AS id, part, length(text) AS chars FROM documents, range(3) t(part)")
+def map_batches_explode(spark, sf):
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    return mapping.map_batches(
+        docs, three_lengths, "id long, part long, chars long", remove_columns=["doc_id", "text"]
+    )
+
+
+def doubled(number):
+    return None if number is None else number * 2
+
+
+@query("""
+SELECT c_custkey + 9007199254740992 AS id, CASE WHEN c_nationkey % 3 > 0 THEN c_nationkey * 2 END AS return_value
+FROM customer""")
+def safe_map_nullable(spark, sf):
+    rows = read_table(spark, sf, "customer").select(
+        (F.col("c_custkey") + 9007199254740992).alias("id"),
+        F.when(F.col("c_nationkey") % 3 > 0, F.col("c_nationkey")).alias("number"),
+    )
+    return mapping.safe_map(rows, doubled, ["number"], "int", ["id"]).select("id", "return_value")

@@ -9,14 +9,14 @@ from corpusflow.operators import activity, pool
 from corpusflow.operators.layout import spread
 from corpusflow.plans.catalog_scoring import echo_question
 from corpusflow.plans.inputs import (
-    DIALOGUES,
+    QUESTIONS,
     LATEST_STATE,
     OBSERVED,
     POOL,
     POOL_LOG,
     REQUESTS,
     SAMPLES,
-    dialogues,
+    questions,
     observed,
     pool as pool_table,
     pool_log,
@@ -285,9 +285,9 @@ def activity_stream(spark, sf):
 @query(f"""
 SELECT conv_id, turn, {sql_strip('question')} AS sql,
        'translate English to SQL: ' || question || ' </s> Tables: ' || context AS prompt
-FROM {DIALOGUES} WHERE context IS NOT NULL""")
+FROM {QUESTIONS} WHERE context IS NOT NULL""")
 def answer_stream(spark, sf):
-    feed = _feed(spark, dialogues(spark, sf), "requests")
+    feed = _feed(spark, questions(spark, sf), "requests")
     out = feeds.answer_stream(feed, echo_question).select("conv_id", "turn", "sql", "prompt")
     return feeds.run_available(out, scratch_path(spark, "answers"))
 

@@ -87,7 +87,7 @@ def evaluate(
     checkpoint_path: str,
     load_model: Callable[[], Callable],
     history_path: str,
-    limit: int | None = scoring.SCORED_ROWS,
+    limit: int | None = None,
 ) -> DataFrame:
     """Score the held-out rows of a dataset and log metrics, summary and examples.
 
@@ -97,7 +97,7 @@ def evaluate(
     rows = spark.read.parquet(posixpath.join(processed, "test_raw"))
     if limit is not None:
         rows = head(rows, limit, ["ord"])
-    run_id = checkpoint_path.rstrip("/").split("/")[-1]
+    run_id = posixpath.basename(checkpoint_path.rstrip("/"))
     scored_path = posixpath.join(processed, "scored", run_id)
     tables.write_table(score(rows, load_model, run_id), scored_path)
     scored = spark.read.parquet(scored_path)

@@ -26,23 +26,29 @@ def sql_strip(text: str) -> str:
     return f"regexp_replace(regexp_replace({text}, '^{WS}', ''), '{WS}$', '')"
 
 
-def dialogues(spark: SparkSession, sf: str) -> DataFrame:
-    """User turns with the answer that follows and the conversation's system text."""
+def questions(spark: SparkSession, sf: str) -> DataFrame:
+    """User turns with the conversation's system text and the answer that follows, if any."""
     turns = read_table(spark, sf, "conversations")
     asked = turns.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
     answered = turns.where("role = 'assistant'").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer")
     )
     system = turns.where("role = 'system'").select("conv_id", F.col("text").alias("context"))
-    return asked.join(answered, ["conv_id", "turn"]).join(system, "conv_id", "left")
+    return asked.join(answered, ["conv_id", "turn"], "left").join(system, "conv_id", "left")
+
+
+def dialogues(spark: SparkSession, sf: str) -> DataFrame:
+    """The questions that were answered."""
+    return questions(spark, sf).where(F.col("answer").isNotNull())
 
 
-DIALOGUES = """(
+QUESTIONS = """(
   SELECT q.conv_id, q.turn, q.text AS question, s.text AS context, a.text AS answer
   FROM conversations q
-  JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 AND a.role = 'assistant'
+  LEFT JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 AND a.role = 'assistant'
   LEFT JOIN conversations s ON s.conv_id = q.conv_id AND s.role = 'system'
   WHERE q.role = 'user')"""
+DIALOGUES = f"(SELECT * FROM {QUESTIONS} WHERE answer IS NOT NULL)"
 
 
 def predictions(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,5 +1,4 @@
 import base64
-import hashlib
 import re
 
 import pytest
@@ -104,12 +103,7 @@ def test_summary_and_names(spark):
 def test_last_segment(spark):
     rows = [("s3://b/x/run1",), ("s3://b/x/run1//",), ("plain",), ("",)]
     got = values(spark, rows, "p string", X.last_segment("p"))
-    assert [g[0] for g in got] == [r[0].rstrip("/").split("/")[-1] for r in rows]
-
-
-def fingerprint(image="", gpu=0, gpu_type="any", packages=()):
-    text = f"{image}:{gpu}:{gpu_type}:{','.join(sorted(packages))}"
-    return hashlib.sha256(text.encode()).hexdigest()[:16]
+    assert [g[0] for g in got] == ["run1", "run1", "plain", ""]
 
 
 def test_config_fingerprint(spark):
@@ -126,13 +120,28 @@ def test_config_fingerprint(spark):
         "i string, g int, t string, p array<string>",
         S.config_fingerprint("i", "g", "t", "p"),
     )
-    first = fingerprint("img", 1, "a100", ["a", "b"])
-    assert [g[0] for g in got] == [
-        first,
-        first,
-        fingerprint(),
-        first,
-        fingerprint(packages=["é", "z", "Z"]),
+    # The first 16 digits of the SHA-256 of "img:1:a100:a,b", ":0:any:" and ":0:any:Z,z,é".
+    first = "811b51cb9d659e87"
+    assert [g[0] for g in got] == [first, first, "6287438fbc63ee18", first, "406656faeb9d2d7a"]
+
+
+def test_bad_ports_do_not_end_the_job(spark):
+    ports = ["F" * 16, "F" * 20, "xyz", "", "1F90", "f" * 15]
+    rows = [(f"0: 0100007F:{p} 00000000:0000 0A",) for p in ports]
+    got = values(spark, rows, "l string", A.tcp_fields("l").getField("port_number"))
+    assert [g[0] for g in got] == [None, None, None, None, 8080, 16**15 - 1]
+
+
+def test_bad_blocks_do_not_end_the_job(spark):
+    logs = [f"__RESULT_START__\n{b}\n__RESULT_END__" for b in ("A", "!!==", "YWJj", "YW\nJj")] + ["none", None]
+    got = values(spark, [(x,) for x in logs], "l string", X.marked_payload("l"), X.payload_fault("l"))
+    assert [(None if p is None else bytes(p), f) for p, f in got] == [
+        (None, "broken"),
+        (None, "broken"),
+        (b"abc", None),
+        (b"abc", None),
+        (None, None),
+        (None, None),
     ]
 
 

@@ -2,6 +2,7 @@ import base64
 import math
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,3 +162,32 @@ def test_map_batches_sees_at_most_batch_size(spark):
     got = M.map_batches(spark.range(1000).coalesce(1), width, "n long", 300, ["id"])
     assert got.columns == ["n"]
     assert got.count() == 1000 and got.agg(F.max("n")).first()[0] <= 300
+
+
+def test_map_batches_may_change_length_without_kept_columns(spark):
+    df = spark.range(40).coalesce(1)
+    thrice = M.map_batches(df, lambda pdf: pd.DataFrame({"n": pdf["id"].repeat(3)}), "n long", 10, ["id"])
+    assert sorted(r["n"] for r in thrice.collect()) == sorted(list(range(40)) * 3)
+    few = M.map_batches(df, lambda pdf: pd.DataFrame({"n": pdf["id"].head(2)}), "n long", 10, ["id"])
+    assert [r["n"] for r in few.collect()] == [0, 1, 10, 11, 20, 21, 30, 31]
+    kept = M.map_batches(df, lambda pdf: pd.DataFrame({"n": pdf["id"].head(2)}), "n long", 10)
+    with pytest.raises(Exception, match="2 rows for 10"):
+        kept.collect()
+
+
+def test_mapping_keeps_whole_numbers_with_nulls(spark):
+    big = 9007199254740993
+    df = spark.createDataFrame([(big, 1), (big + 2, None), (None, 3)], "id long, n int").coalesce(1)
+    called = M.safe_map(df, lambda n: type(n).__name__, ["n"], "string", ["id"]).collect()
+    assert [(r["id"], r["return_value"]) for r in called] == [(big, "int"), (big + 2, "NoneType"), (None, "int")]
+    mapped = M.map_batches(df, lambda pdf: pd.DataFrame({"t": [repr(x) for x in pdf["n"]]}), "t string").collect()
+    assert [r["id"] for r in mapped] == [big, big + 2, None] and [r["t"] for r in mapped] == ["1", "None", "3"]
+
+
+def test_one_pass_forms_agree_with_both_sides(spark):
+    asked = spark.createDataFrame([("q", "c"), (" ", "c"), ("q", None)], "question string, context string")
+    good, bad = P.validate_requests(asked)
+    checked = P.checked_requests(asked).collect()
+    assert good.count() == 1 and bad.count() == 2 and [r["code"] for r in checked] == [None, 400, 400]
+    sized = P.sized_payloads(spark.createDataFrame([("abc",), ("abcdef",), (None,)], "payload string"), limit=4)
+    assert [(r["encoded_length"], r["accepted"]) for r in sized.collect()] == [(4, True), (8, False), (None, True)]
