@@ -2,10 +2,10 @@
 
 Rows are cut into buckets by their full sort key, unique tie-break included, so a
 key value that holds a third of the table is spread over many buckets like any
-other rows. Cut points come from a bounded sample and enter the plan as literals:
-re-running a lost task always sees the same buckets, and positions are exact
-whatever the sample was. Per-bucket counts (one row per bucket, so at most
-``MAX_BUCKETS``) are the only thing broadcast.
+other rows. Cut points come from a bounded sample, ranked by Spark, and enter the plan as
+literals, whole keys: re-running a lost task always sees the same buckets, and positions
+are exact whatever the sample was. Buckets are sized by bytes, as one bucket is one task.
+Per-bucket counts (one row per bucket) are the only thing broadcast.
 """
 
 from __future__ import annotations
@@ -16,12 +16,10 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 16_384
+BUCKET_BYTES = 256 << 20
 SAMPLES_PER_BUCKET = 32
-SAMPLED_TEXT = 256  # characters of a text key that reach the driver
 
-# Up to this many rows a sorted limit is used, whose candidates meet in one task.
+# Up to this many rows a sorted limit finds its candidates by itself.
 TOP_ROWS = 1_000
 
 
@@ -41,46 +39,58 @@ def _sort_key(df: DataFrame, keys: Sequence[str]) -> Column:
     return F.struct(*[_comparable(df, k).alias(f"k{i}") for i, k in enumerate(keys)])
 
 
-def _width(df: DataFrame, total: int, buckets: int | None) -> int:
-    if buckets is None:
-        parallel = df.sparkSession.sparkContext.defaultParallelism
-        buckets = max(parallel, math.ceil(total / ROWS_PER_BUCKET))
-    return min(buckets, MAX_BUCKETS)
+def _row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes."""
+    size = F.lit(8 * len(df.columns)).cast("long")
+    for field in df.schema:
+        c = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            size = size + F.coalesce(F.octet_length(c), F.lit(0))
+        elif isinstance(field.dataType, (T.ArrayType, T.MapType)):
+            size = size + 16 * F.greatest(F.size(c), F.lit(0))
+    return size
 
 
-def _driver_order(key: dict) -> tuple:
-    """Nulls first, then by value: the order Spark sorts these types in."""
-    return tuple((v is not None, v) for v in key.values())
+def _measure(df: DataFrame) -> tuple[int, int]:
+    """Rows and bytes, in one pass."""
+    row = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(_row_bytes(df)), F.lit(0))).first()
+    return row[0], row[1]
+
+
+def _width(df: DataFrame, size: int, buckets: int | None) -> int:
+    parallel = df.sparkSession.sparkContext.defaultParallelism
+    return max(parallel, math.ceil(size / BUCKET_BYTES)) if buckets is None else buckets
 
 
 def cut_points(
     df: DataFrame, keys: Sequence[str], buckets: int | None = None, total: int | None = None
 ) -> list[dict]:
-    """About evenly spaced sort keys, ``buckets - 1`` of them at most.
+    """About evenly spaced sort keys that occur, ``buckets - 1`` of them at most.
 
-    Chooses rows by a hash of the key, so the same table gives the same cuts. Only
-    the sample reaches the driver: about ``SAMPLES_PER_BUCKET`` keys per bucket, text
-    cut to ``SAMPLED_TEXT`` characters (a cut point need not be a key that occurs).
+    Chooses rows by a hash of the key, so the same table gives the same cuts. The sample,
+    about ``SAMPLES_PER_BUCKET`` keys per bucket, is ranked in one task; only the chosen
+    keys reach the driver.
     """
-    key = df.select(_sort_key(df, keys).alias("key"))
-    total = key.count() if total is None else total
-    buckets = _width(df, total, buckets)
+    if total is None or buckets is None:
+        total, size = _measure(df)
+        buckets = _width(df, size, buckets)
     if total == 0 or buckets < 2:
         return []
+    key = df.select(_sort_key(df, keys).alias("key"))
+    fields = key.schema["key"].dataType.fields
     wanted = buckets * SAMPLES_PER_BUCKET
     if total > wanted:
         span = 1 << 62
         limit = int(span * (wanted / total))
         key = key.where(F.xxhash64("key").bitwiseAND(F.lit(span - 1)) < F.lit(limit))
-    fields = key.schema["key"].dataType.fields
-    short = [
-        F.substring(f"key.{f.name}", 1, SAMPLED_TEXT).alias(f.name)
-        if isinstance(f.dataType, T.StringType)
-        else F.col(f"key.{f.name}")
-        for f in fields
-    ]
-    sample = sorted((r.asDict() for r in key.select(*short).collect()), key=_driver_order)
-    picks = [sample[i * len(sample) // buckets] for i in range(1, buckets)] if sample else []
+    ranked = key.select(
+        "key",
+        (F.row_number().over(Window.orderBy("key")) - 1).alias("_at"),
+        F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))).alias("_n"),
+    )
+    bucket = lambda at: F.floor(at * buckets / F.col("_n"))
+    chosen = ranked.where((F.col("_at") > 0) & (bucket(F.col("_at")) > bucket(F.col("_at") - 1)))
+    picks = [r["key"].asDict() for r in sorted(chosen.select("_at", "key").collect(), key=lambda r: r["_at"])]
     picks = [p for i, p in enumerate(picks) if i == 0 or p != picks[i - 1]]
     # Leading fields that tell all cuts apart are enough; a hot value needs more of them.
     for width in range(1, len(fields)):
@@ -184,17 +194,28 @@ def aligned_ordinal(
     """As :func:`global_ordinal`, cut only between runs of ``unit`` rows.
 
     The keys alone are ranked first, which gives the exact key at which every bucket
-    begins (at most ``MAX_BUCKETS``); whole rows are then shuffled once. The result
-    keeps ``_bucket``: it is partitioned by it, and a run never crosses one, so work
-    per run that also partitions by ``_bucket`` needs no second shuffle.
+    begins; whole rows are then shuffled once. The result keeps ``_bucket``: it is
+    partitioned by it, and a run never crosses one, so work per run that also partitions
+    by ``_bucket`` needs no second shuffle.
+
+    Keys that repeat are told apart by a hash of the whole row. Rows that are equal in
+    every column where a bucket has to begin cannot be, which is an error.
     """
+    total, size = _measure(df)
+    width = _width(df, size, buckets)
     narrow = df.select(*keys)
-    total = narrow.count()
-    ranked = _placed(narrow, keys, "_at", cut_points(narrow, keys, buckets, total))
-    step = unit * max(1, math.ceil(total / (unit * _width(df, total, buckets))))
-    begins = ranked.where((F.col("_at") % step == 0) & (F.col("_at") > 0))
-    found = begins.select("_at", _sort_key(begins, keys).alias("key")).collect()
-    cuts = [r["key"].asDict() for r in sorted(found, key=lambda r: r["_at"])]
+    ranked = _placed(narrow, keys, "_at", cut_points(narrow, keys, width, total))
+    step = unit * max(1, math.ceil(total / (unit * width)))
+    edges = ranked.where(((F.col("_at") % step == 0) & (F.col("_at") > 0)) | (F.col("_at") % step == step - 1))
+    found = {r["_at"]: r["key"].asDict() for r in edges.select("_at", _sort_key(edges, keys).alias("key")).collect()}
+    begins = [at for at in sorted(found) if at and at % step == 0]
+    if any(found[at] == found.get(at - 1) for at in begins):
+        if "_tie" in keys:
+            raise ValueError("equal rows where a bucket begins: add a column that tells them apart")
+        hashed = [f"`{f.name}`" for f in df.schema if not isinstance(f.dataType, T.MapType)]
+        tied = df.withColumn("_tie", F.xxhash64(*hashed))
+        return aligned_ordinal(tied, [*keys, "_tie"], unit, name, width).drop("_tie")
+    cuts = [found[at] for at in begins]
     within = F.row_number().over(Window.partitionBy("_bucket").orderBy(*keys))
     position = F.col("_bucket").cast("long") * step + within - 1
     return in_buckets(with_bucket(df, keys, cuts), cuts).withColumn(name, position)
@@ -246,7 +267,8 @@ def keys_at(
     ``bucket`` must grow with ``keys`` and take a bounded number of values; positions
     may use ``total``, the row count. Only keys are read, and only the buckets that
     hold a position are ranked: callers compare whole rows with the result instead of
-    shuffling them.
+    shuffling them. A key that repeats across a position is an error: no bound would
+    give exact sizes.
     """
     tagged = df.select(F.struct(*keys).alias("_key"), bucket.alias("_bucket"))
     offsets = _offsets(tagged.groupBy("_bucket").count(), "_bucket").withColumn(
@@ -260,13 +282,16 @@ def keys_at(
         .select("_bucket", "_before", "count", F.inline("_asked"))
         .where("_at >= _before and _at < _before + count")
     )  # one row per position
-    rank = F.row_number().over(Window.partitionBy("_name").orderBy("_key"))
+    place = Window.partitionBy("_name").orderBy("_key")
+    rank = F.row_number().over(place)
+    repeats = F.raise_error(F.lit("the key repeats where a slice begins: add a column that tells its rows apart"))
     hits = (
         tagged.alias("a")
         .join(F.broadcast(wanted.alias("b")), same_columns("_bucket"))
         .drop("_bucket")
-        .withColumn("_rank", rank)
+        .withColumns({"_rank": rank, "_first": F.rank().over(place)})
         .where("_before + _rank - 1 = _at")
+        .withColumn("_key", F.when(F.col("_first") < F.col("_rank"), repeats).otherwise(F.col("_key")))
     )
     found = hits.agg(
         F.struct(
@@ -290,17 +315,39 @@ def rank_slice(
 
 
 def head(df: DataFrame, n: int, keys: Sequence[str]) -> DataFrame:
-    """First ``n`` rows in the order of ``keys``."""
-    if n <= TOP_ROWS:
-        return df.orderBy(*keys).limit(n)
-    return _between(df, keys, F.lit(0), F.lit(n))
+    """First ``n`` rows, sorted by ``keys``; which of equal keys at the end is left open."""
+    return _nearest(df, n, keys, [F.col(k) for k in keys], descending=False)
 
 
 def tail(df: DataFrame, n: int, keys: Sequence[str]) -> DataFrame:
-    """Last ``n`` rows in the order of ``keys``."""
+    """Last ``n`` rows, the last one first."""
+    return _nearest(df, n, keys, [F.col(k).desc() for k in keys], descending=True)
+
+
+def _nearest(df: DataFrame, n: int, keys: Sequence[str], order: list[Column], descending: bool) -> DataFrame:
+    """The sorted limit. For many rows, whole buckets are taken first, so that only what is
+    missing from the bucket at the bound meets in one task; the result is the same.
+    """
+    try:
+        _sort_key(df, keys)
+    except TypeError:
+        return df.orderBy(*order).limit(n)
     if n <= TOP_ROWS:
-        return df.orderBy(*[F.col(k).desc() for k in keys]).limit(n)
-    return tail_where(df, F.lit(n), keys)
+        return df.orderBy(*order).limit(n)
+    bucketed = with_bucket(df, keys, cut_points(df, keys), "_spot")
+    counts = sorted(((r["_spot"], r["count"]) for r in bucketed.groupBy("_spot").count().collect()), reverse=descending)
+    whole, taken, rest = [], 0, None
+    for spot, count in counts:
+        if taken + count > n:
+            rest = spot
+            break
+        whole.append(spot)
+        taken += count
+    if rest is None:
+        return df.orderBy(*order)
+    inside = F.col("_spot") > rest if descending else F.col("_spot") < rest
+    last = bucketed.where(F.col("_spot") == rest).orderBy(*order).limit(n - taken)
+    return bucketed.where(inside).union(last).drop("_spot").orderBy(*order)
 
 
 def tail_where(df: DataFrame, n: Column, keys: Sequence[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import reduce
 
@@ -19,7 +20,7 @@ NO_QUESTION = "question cannot be empty"
 NO_CONTEXT = "context (CREATE TABLE) cannot be empty"
 
 SPLITS = ("train", "val", "test")
-HASH_PREFIX = 4  # hex digits, so 65,536 buckets
+PREFIX_ROWS = 50_000  # rows that share a hash prefix, about
 
 
 def clean_rows(df: DataFrame, column: str = "text") -> DataFrame:
@@ -92,8 +93,8 @@ def _split_sizes(test: float, val_share: float) -> tuple[Column, Column]:
 def _seeded(df: DataFrame, key: str, seed: int) -> tuple[DataFrame, Column]:
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
     hashed = df.withColumn("_digest", digest)
-    bucket = F.conv(F.substring("_digest", 1, HASH_PREFIX), 16, 10).cast("int")
-    return hashed, bucket
+    digits = max(2, math.ceil(math.log(max(1, df.count()) / PREFIX_ROWS, 16)))
+    return hashed, F.conv(F.substring("_digest", 1, min(digits, 15)), 16, 10).cast("long")
 
 
 def split_rows(
@@ -108,7 +109,8 @@ def split_rows(
     Rows are ordered by a seeded hash of the unique ``key``. The counts per hash
     prefix and a ranking inside the prefixes that a cut falls into give the exact hash
     at which each split begins; every row is then compared with those two where it is
-    read, with no shuffle. Membership does not depend on partitioning or file order.
+    read, with no shuffle. Membership does not depend on partitioning or file order. A key
+    that repeats where a split begins is an error, as no cut would give exact sizes.
     """
     hashed, bucket = _seeded(df, key, seed)
     val_from, test_from = _split_sizes(test, val_share)

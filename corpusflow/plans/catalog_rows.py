@@ -49,6 +49,40 @@ def tail(spark, sf):
     return rows.select("o_orderkey", "o_totalprice")
 
 
+@query("""
+SELECT o_orderpriority, count(*) AS kept
+FROM (SELECT o_orderpriority FROM orders ORDER BY o_orderpriority LIMIT 5000) GROUP BY o_orderpriority""")
+def head_large(spark, sf):
+    """The first rows by a key that repeats; which rows of the last value is left open."""
+    rows = ordinal.head(read_table(spark, sf, "orders"), 5000, ["o_orderpriority"])
+    return rows.groupBy("o_orderpriority").agg(F.count("*").alias("kept"))
+
+
+@query("""
+SELECT o_orderkey, row_number() OVER (ORDER BY CASE WHEN o_orderkey % 3 < 2 THEN repeat('h', 300)
+       ELSE repeat('h', 299) || o_orderstatus END, o_orderkey) - 1 AS ord
+FROM orders""")
+def long_key_ordinal(spark, sf):
+    """One long text holds two thirds of the rows."""
+    text = F.when(F.col("o_orderkey") % 3 < 2, F.expr("repeat('h', 300)")).otherwise(
+        F.concat(F.expr("repeat('h', 299)"), F.col("o_orderstatus"))
+    )
+    rows = read_table(spark, sf, "orders").select("o_orderkey", text.alias("path"))
+    return ordinal.global_ordinal(rows, ["path", "o_orderkey"]).select("o_orderkey", "ord")
+
+
+@query("""
+SELECT o_orderpriority, count(*) AS placed, min(ord) AS first, max(ord) AS last
+FROM (SELECT o_orderpriority, row_number() OVER (ORDER BY o_orderpriority) - 1 AS ord FROM orders)
+GROUP BY o_orderpriority""")
+def shards_ties(spark, sf):
+    """Aligned positions by a key that repeats."""
+    placed = ordinal.aligned_ordinal(read_table(spark, sf, "orders"), ["o_orderpriority"], 16)
+    return placed.groupBy("o_orderpriority").agg(
+        F.count_distinct("ord").alias("placed"), F.min("ord").alias("first"), F.max("ord").alias("last")
+    )
+
+
 @query("""
 SELECT l.o_orderkey, r.c_custkey, l.ord
 FROM (SELECT *, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS ord FROM orders) l

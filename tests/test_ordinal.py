@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 from corpusflow.operators import ordinal as O
 
 
+def driver_order(key):
+    """Nulls first, then by value: the order Spark sorts text and numbers in."""
+    return tuple((v is not None, v) for v in key.values())
+
+
 @pytest.fixture(scope="module")
 def skewed(spark):
     """Two thirds of the rows share one key; some keys are null."""
@@ -43,9 +48,9 @@ def test_hot_key_is_spread_over_buckets(skewed):
 def test_bucket_is_the_number_of_cuts_at_or_below(skewed, buckets):
     cuts = O.cut_points(skewed, ["k", "i"], buckets)
     assert len(cuts) == buckets - 1
-    bounds = [O._driver_order(c) for c in cuts]
+    bounds = [driver_order(c) for c in cuts]
     for r in O.with_bucket(skewed, ["k", "i"], cuts).collect():
-        key = O._driver_order({"k": r["k"], "i": r["i"]})[: len(bounds[0])]
+        key = driver_order({"k": r["k"], "i": r["i"]})[: len(bounds[0])]
         assert r["_bucket"] == bisect.bisect_right(bounds, key)
 
 
@@ -126,3 +131,50 @@ def test_no_data_goes_to_a_single_partition(skewed, name):
     lines = plan.splitlines()
     assert all("HashAggregate" in lines[i + 1] for i in singles)
     assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+@pytest.mark.parametrize("n", [10, 1000, 1001, 4200, 5000, 9000])
+def test_head_and_tail_are_exact_and_sorted(skewed, n):
+    keys = [r["k"] for r in skewed.collect()]
+    order = sorted(keys, key=lambda k: (k is not None, k or ""))
+    assert [r["k"] for r in O.head(skewed, n, ["k"]).collect()] == order[:n]
+    assert [r["k"] for r in O.tail(skewed, n, ["k"]).collect()] == order[::-1][:n]
+    assert len({r["i"] for r in O.head(skewed, n, ["k"]).collect()}) == min(n, len(keys))
+
+
+def test_any_key_type(skewed):
+    df = skewed.withColumn("x", F.col("i") / 7)
+    for n in (5, 2000):
+        assert [r["i"] for r in O.head(df, n, ["x"]).collect()] == list(range(n))
+
+
+def test_long_hot_keys_are_cut(spark):
+    hot, other = "h" * 300, "h" * 299
+    df = spark.range(20_000).select(
+        F.when(F.col("id") % 3 < 2, F.lit(hot)).otherwise(F.concat(F.lit(other), F.col("id"))).alias("k"), "id"
+    )
+    cuts = O.cut_points(df, ["k", "id"], 16)
+    sizes = [r["count"] for r in O.with_bucket(df, ["k", "id"], cuts).groupBy("_bucket").count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 2 * 20_000 / 16
+
+
+def test_buckets_follow_bytes(spark, monkeypatch):
+    df = spark.range(4000).select("id", F.expr("repeat('x', 1000)").alias("t"))
+    monkeypatch.setattr(O, "BUCKET_BYTES", 100_000)
+    assert 35 <= len(O.cut_points(df, ["id"])) <= 45
+    assert len(O.cut_points(df.select("id"), ["id"])) == spark.sparkContext.defaultParallelism - 1
+
+
+def test_repeated_keys_get_exact_positions(spark):
+    df = spark.range(5000).select((F.col("id") % 37).alias("k"), "id")
+    placed = O.aligned_ordinal(df, ["k"], 16).collect()
+    assert sorted(r["ord"] for r in placed) == list(range(5000))
+    assert [r["k"] for r in sorted(placed, key=lambda r: r["ord"])] == sorted(r["k"] for r in placed)
+    with pytest.raises(ValueError, match="equal rows"):
+        O.aligned_ordinal(df.select("k"), ["k"], 16)
+
+
+def test_a_slice_cannot_begin_inside_equal_keys(spark):
+    df = spark.range(100).select(F.lit(1).alias("k"), "id")
+    with pytest.raises(Exception, match="key repeats"):
+        O.tail_where(df, F.lit(10), ["k"]).collect()
