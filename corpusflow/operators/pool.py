@@ -27,8 +27,9 @@ def status_after(event: str | Column) -> Column:
 
 
 def latest_state(log: DataFrame, key="pod_name", event="event", ts="ts", tie="seq") -> DataFrame:
-    """Status, last use and creation per resource from its transitions.
+    """Status, last use and registration per resource from its transitions.
 
+    ``created`` is when the resource was registered last, null if that is not in the log.
     A failure makes a resource idle without counting as use. The fold is a pair of
     ordered maxima, so it is combined before the shuffle however hot a key is.
     """
@@ -36,10 +37,19 @@ def latest_state(log: DataFrame, key="pod_name", event="event", ts="ts", tie="se
     return moves.groupBy(key).agg(
         F.max_by(status_after(event), F.struct(ts, tie)).alias("status"),
         F.max(F.when(F.col(event).isin(*TOUCHING), F.col(ts))).alias("last_used"),
-        F.min(ts).alias("created"),
+        F.max(F.when(F.col(event) == "created", F.col(ts))).alias("created"),
     )
 
 
+def pool_resources(registry: DataFrame, state: DataFrame, key="pod_name", status="status") -> DataFrame:
+    """One row per registered resource: what the registry holds, with its latest state.
+
+    A column of both comes from ``state``; a resource without transitions has nulls there.
+    """
+    known = registry.drop(*[c for c in state.columns if c != key])
+    return known.join(state, key, "left")
+
+
 def pool_status(state: DataFrame, status="status") -> DataFrame:
     """One row: total, idle and busy resources."""
     return state.agg(

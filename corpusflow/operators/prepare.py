@@ -146,6 +146,24 @@ def raw_holdout(
     raise ValueError(f"unknown mode: {mode}")
 
 
+def leak_audit(train: DataFrame, held: DataFrame, on: Sequence[str] | Mapping[str, Column]) -> DataFrame:
+    """One row: held-out rows, how many of them also stand in the training rows, their share.
+
+    ``on`` names columns, or gives expressions by name that both sides are compared by, such
+    as a normalized text. Only these reach the shuffle; nulls equal nulls.
+    """
+    columns = on if isinstance(on, Mapping) else {c: F.col(c) for c in on}
+    key = F.xxhash64(*columns.values()), F.struct(*[c.alias(n) for n, c in columns.items()])
+    left = held.select(key[0].alias("_hash"), key[1].alias("_key"))
+    right = train.select(key[0].alias("_hash"), key[1].alias("_other")).distinct()
+    met = left.join(right, (left["_hash"] == right["_hash"]) & F.col("_key").eqNullSafe(F.col("_other")), "left")
+    return met.agg(
+        F.count(F.lit(1)).alias("held"),
+        F.count("_other").alias("leaked"),
+        F.avg(F.col("_other").isNotNull().cast("int")).alias("share"),
+    )
+
+
 def split_counts(df: DataFrame, split: str = "split") -> DataFrame:
     return df.groupBy(split).agg(F.count("*").alias("rows"))
 

@@ -191,6 +191,29 @@ def concat_tables(spark, sf):
     )
 
 
+@query(f"""
+WITH seen AS (SELECT DISTINCT {sql_normalize('text')} AS t FROM documents),
+     numbered AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS n, count(*) OVER () AS total
+                  FROM orders),
+     tail AS (SELECT * FROM numbered WHERE n > total - ceil(total / 10.0))
+SELECT 'benchmark' AS held_out, count(*) AS held, count(t) AS leaked, avg(CAST(t IS NOT NULL AS INT)) AS share
+FROM benchmark LEFT JOIN seen ON t = {sql_normalize('text')}
+UNION ALL
+SELECT 'tail_rows', count(*), count(*) FILTER (n % 5 > 0), avg(CAST(n % 5 > 0 AS INT)) FROM tail""")
+def leak_audit(spark, sf):
+    """Benchmark texts among the documents, and the last rows of a table that was split by number."""
+    texts = prepare.leak_audit(
+        read_table(spark, sf, "documents"), read_table(spark, sf, "benchmark"), {"text": X.normalize_text("text")}
+    )
+    orders = read_table(spark, sf, "orders").select("o_orderkey")
+    numbered = ordinal.global_ordinal(orders, ["o_orderkey"], "n")
+    held = ordinal.tail_where(orders, F.ceil(F.col("total") / 10), ["o_orderkey"])
+    rows = prepare.leak_audit(numbered.where((F.col("n") + 1) % 5 > 0), held, ["o_orderkey"])
+    return prepare.concat_tables(
+        [a.select(F.lit(n).alias("held_out"), "*") for n, a in (("benchmark", texts), ("tail_rows", rows))]
+    )
+
+
 # --- text functions -------------------------------------------------------------
 
 

@@ -51,6 +51,14 @@ def latest_state(spark, sf):
     return pool.latest_state(pool_log(spark, sf))
 
 
+@query(f"""
+SELECT p.pod_name, s.status, p.config_hash, s.last_used, s.created, '10.0.0.1' AS pod_ip
+FROM {POOL} p LEFT JOIN {LATEST_STATE} s USING (pod_name)""")
+def pool_resources(spark, sf):
+    found = pool.pool_resources(pool_table(spark, sf), latest_state(spark, sf))
+    return found.select("pod_name", "status", "config_hash", "last_used", "created", "pod_ip")
+
+
 @query(f"""
 SELECT count(*) AS total_pods, count(*) FILTER (WHERE status = 'idle') AS idle_pods,
        count(*) FILTER (WHERE status = 'busy') AS busy_pods

@@ -136,7 +136,7 @@ LATEST_STATE = f"""(
          CASE WHEN arg_max(event, (ts, seq)) IN ('created', 'assigned')
               THEN 'busy' ELSE 'idle' END AS status,
          max(ts) FILTER (WHERE event <> 'failed') AS last_used,
-         min(ts) AS created
+         max(ts) FILTER (WHERE event = 'created') AS created
   FROM {POOL_LOG} GROUP BY pod_name)"""
 
 

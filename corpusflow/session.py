@@ -104,22 +104,43 @@ def ship_package(spark: SparkSession) -> None:
     context._corpusflow_shipped = True
 
 
+_folders: dict[str, str] = {}
+
+
+def use_folder(spark: SparkSession, folder: str) -> None:
+    """Name the shared folder of a running session that was started without one."""
+    _folders[spark.sparkContext.applicationId] = folder
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach: ``spark.checkpoint.dir`` of the session.
 
-    A machine-local folder stands in only for a local master, where driver and
-    executors are one process; a cluster without the setting is an error.
+    Where that is unset, the one given to :func:`use_folder`.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
+    named = spark.conf.get("spark.checkpoint.dir", None) or _folders.get(spark.sparkContext.applicationId)
+    if not named:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    folder = "file://" + tempfile.mkdtemp(prefix="corpusflow-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return named
+
+
+_scratch: dict[str, list[str]] = {}
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return posixpath.join(shared_folder(spark), f"{label}-{uuid.uuid4().hex}")
+    """A fresh path below the shared folder, removed by :func:`clear_scratch`."""
+    path = posixpath.join(shared_folder(spark), f"{label}-{uuid.uuid4().hex}")
+    _scratch.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Remove what was stored under scratch paths so far; tells how many paths there were.
+
+    Call it when the results that read from them are written.
+    """
+    paths = _scratch.pop(spark.sparkContext.applicationId, [])
+    context = spark.sparkContext
+    for path in paths:
+        place = context._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+    return len(paths)

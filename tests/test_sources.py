@@ -136,3 +136,26 @@ def test_spark_task_passes_a_session(spark, tmp_path):
 
 def test_shared_folder_comes_from_the_session(spark):
     assert N.scratch_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_scratch_is_cleared(spark):
+    from corpusflow.session import clear_scratch, scratch_path
+
+    path = scratch_path(spark, "gone")
+    spark.range(3).write.parquet(path)
+    assert spark.read.parquet(path).count() == 3
+    assert clear_scratch(spark) >= 1 and clear_scratch(spark) == 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+
+
+def test_no_folder_is_an_error(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from corpusflow import session
+
+    bare = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(applicationId="bare"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.scratch_path(bare, "x")
+    session.use_folder(bare, "file:///shared")
+    assert session.scratch_path(bare, "x").startswith("file:///shared/x-")

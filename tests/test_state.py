@@ -19,9 +19,10 @@ def test_latest_state_equals_a_loop(spark):
     for pod, event, at, i in sorted(log, key=lambda r: (r[2], r[3])):
         if event == "other":
             continue
-        old = want.get(pod, (None, None, at))
+        old = want.get(pod, (None, None, None))
         status = "busy" if event in ("created", "assigned") else "idle"
-        want[pod] = (status, old[1] if event == "failed" else at, old[2])
+        created = at if event == "created" else old[2]
+        want[pod] = (status, old[1] if event == "failed" else at, created)
     df = spark.createDataFrame(log, "pod_name string, event string, ts timestamp, seq long")
     got = {r["pod_name"]: tuple(r)[1:] for r in P.latest_state(df.repartition(5)).collect()}
     assert got == want
