@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusflow.llm.store import checkpointed
+
 
 def _spread(links: DataFrame) -> tuple[int, int]:
     row = links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
@@ -36,10 +38,10 @@ def components(links: DataFrame) -> DataFrame:
     Nodes without links and roots themselves are not listed.
     """
     links = links.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    links = links.distinct().checkpoint()
+    links = checkpointed(links.distinct())
     was = _spread(links)
     while was[0]:
-        links = _small_star(_large_star(links)).checkpoint()
+        links = checkpointed(_small_star(_large_star(links)))
         now = _spread(links)
         if now == was:
             break

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.session import scratch_path
+from corpusflow.session import scratch_path, shared_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` as files of the shared folder that go when nothing refers to them any more."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
+
+
 def join_few(df: DataFrame, few: DataFrame, on: list[str], rows: int, bound: int, how="left"):
     """Join with a table of counted size: broadcast up to ``bound`` rows, else shuffled."""
     return df.join(F.broadcast(few) if rows <= bound else few, on, how)
