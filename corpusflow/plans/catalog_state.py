@@ -265,15 +265,6 @@ def _feed(spark, df, label, files=None):
     return feeds.read_stream(spark, path, df.schema, files_per_trigger=files)
 
 
-def _with_end(df, key):
-    """One more row far in the future, so that the watermark passes all others."""
-    end = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema}
-    end[key] = F.lit("end").alias(key)
-    end["ts"] = F.lit(FAR).cast("timestamp").alias("ts")
-    end["seq"] = F.lit(-1).cast("long").alias("seq")
-    return df.unionByName(df.sparkSession.range(1).select(*end.values()))
-
-
 @query("SELECT event_id, ts, user_id, event_type, value FROM events")
 def read_stream(spark, sf):
     """Take the events as a feed and store them through a stream."""
@@ -302,9 +293,10 @@ def answer_stream(spark, sf):
 
 @query(_EPISODES)
 def idle_alerts_stream(spark, sf):
-    feed = _feed(spark, _with_end(samples(spark, sf), "entity"), "samples")
+    feed = _feed(spark, samples(spark, sf), "samples")
     root = scratch_path(spark, "alerts")
     idle.idle_alerts_stream(feed, root, threshold=86400, availableNow=True).awaitTermination()
+    idle.finish_idle_alerts(feed, root, threshold=86400)
     return ordered.released_rows(spark, root)
 
 
@@ -317,8 +309,8 @@ def pool_state_stream(spark, sf):
 
 @query(_EXPIRIES)
 def expire_idle_stream(spark, sf):
-    log = pool_log(spark, sf).where("event <> 'seen'")
-    feed = _feed(spark, _with_end(log, "pod_name").fillna("created", ["event"]), "transitions")
+    feed = _feed(spark, pool_log(spark, sf), "transitions")
     root = scratch_path(spark, "expired")
     pool_streams.expire_idle_stream(feed, root, ttl=7200, availableNow=True).awaitTermination()
+    pool_streams.finish_expiries(feed, root, FAR, ttl=7200)
     return ordered.released_rows(spark, root)

@@ -6,33 +6,28 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from corpusflow.operators.activity import IDLE_THRESHOLD, idle_episodes
-from corpusflow.streaming.ordered import start_ordered
+from corpusflow.streaming.ordered import finish_ordered, held_schema, start_ordered
 
 # Sorts a carried timer ahead of every sample of its entity.
 FIRST = -(1 << 63)
 
 
-def idle_alerts_stream(
-    samples: DataFrame,
-    root: str,
-    delay_seconds: int = 0,
-    threshold: int = IDLE_THRESHOLD,
-    **trigger,
-) -> StreamingQuery:
-    """Write every sample with ``idle_since``, ``idle_seconds`` and ``alert``.
+COLUMNS = ["entity", "ts", "seq", "active"]
+CARRIED = "entity string, since_us long"
+# The latest instant a timestamp can be told apart from the ones after it.
+END_OF_TIME = (1 << 62) // 1000
 
-    The batch rule on the samples each trigger releases: ``entity``, ``ts``, ``seq``,
-    ``active``. What is carried is the start of each running timer, put in front of the
-    entity's next samples as one more inactive sample.
-    """
-    columns = ["entity", "ts", "seq", "active"]
-    rows = samples.select(
+
+def _rows(samples: DataFrame) -> DataFrame:
+    return samples.select(
         F.col("entity").cast("string"),
         F.col("ts").cast("timestamp").alias("ts"),
         F.col("seq").cast("long"),
         "active",
     )
 
+
+def _release(threshold: int):
     def release(due: DataFrame, carried: DataFrame, mark: int) -> DataFrame:
         timers = carried.select(
             "entity",
@@ -41,15 +36,39 @@ def idle_alerts_stream(
             F.lit(False).alias("active"),
             F.lit(True).alias("_timer"),
         )
-        both = due.select(*columns, F.lit(False).alias("_timer")).unionByName(timers)
+        both = due.select(*COLUMNS, F.lit(False).alias("_timer")).unionByName(timers)
         return idle_episodes(both, threshold=threshold).where("not _timer").drop("_timer")
 
-    def carry(out: DataFrame, due: DataFrame, carried: DataFrame) -> DataFrame:
-        since = F.max_by(F.unix_micros("idle_since"), F.struct("ts", "seq"))
-        last = out.groupBy("entity").agg(since.alias("since_us"))
-        kept = carried.join(last.select("entity"), "entity", "left_anti")
-        return last.where("since_us is not null").unionByName(kept)
+    return release
+
+
+def _carry(out: DataFrame, due: DataFrame, carried: DataFrame) -> DataFrame:
+    since = F.max_by(F.unix_micros("idle_since"), F.struct("ts", "seq"))
+    last = out.groupBy("entity").agg(since.alias("since_us"))
+    kept = carried.join(last.select("entity"), "entity", "left_anti")
+    return last.where("since_us is not null").unionByName(kept)
 
+
+def idle_alerts_stream(
+    samples: DataFrame,
+    root: str,
+    delay_seconds: int = 0,
+    threshold: int = IDLE_THRESHOLD,
+    **trigger,
+) -> StreamingQuery:
+    """Write every sample with ``idle_since``, ``idle_seconds`` and ``alert``.
+
+    The batch rule on the samples each trigger releases: ``entity``, ``ts``, ``seq``,
+    ``active``. What is carried is the start of each running timer, put in front of the
+    entity's next samples as one more inactive sample. The newest samples wait for later
+    ones; :func:`finish_idle_alerts` writes them when none will come.
+    """
     return start_ordered(
-        rows, root, "ts", delay_seconds, release, carry, "entity string, since_us long", **trigger
+        _rows(samples), root, "ts", delay_seconds, _release(threshold), _carry, CARRIED, **trigger
     )
+
+
+def finish_idle_alerts(samples: DataFrame, root: str, threshold: int = IDLE_THRESHOLD) -> None:
+    """Write the samples that a stopped stream still holds. ``samples``: the stream or its like."""
+    schema = held_schema(_rows(samples), "ts")
+    finish_ordered(samples.sparkSession, root, schema, _release(threshold), _carry, CARRIED, END_OF_TIME)

@@ -1,16 +1,18 @@
 """Event-time order for streams whose rule depends on it.
 
-Each trigger adds its rows to those still held back, releases the ones the watermark
-has passed, and hands them to a batch operator together with what is carried from
-earlier triggers. So a key may own any share of a trigger: the batch operator splits
-it. Held rows, watermark and carried rows are tables per trigger in the shared folder.
-A trigger that is repeated after a failure reads the tables of the one before it and
-writes its own again, so nothing is lost or doubled.
+Each trigger stores its rows by hour of event time, releases those that the watermark has
+passed, and hands them to a batch operator together with what is carried from earlier
+triggers. So a key may own any share of a trigger: the batch operator splits it. Rows are
+written once and stay where they are until they are due: a trigger writes what it brought
+and reads the hours between two watermarks. Held rows, watermark and carried rows are
+tables in the shared folder. A trigger that is repeated after a failure reads the tables of
+the one before it and writes its own again, so nothing is lost or doubled.
 """
 
 from __future__ import annotations
 
 import posixpath
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -18,15 +20,84 @@ from pyspark.sql.streaming import StreamingQuery
 
 from corpusflow.functions.state import micros
 
-MARK = "mark long, late long"
+MARK = "mark long, late long, undated long"
+HOUR_US = 3_600_000_000
 
 Release = Callable[[DataFrame, DataFrame, int], DataFrame]
 Carry = Callable[[DataFrame, DataFrame, DataFrame], DataFrame]
 
 
-def _drop_folder(spark: SparkSession, path: str) -> None:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+class _Folder:
+    """The tables of one query below ``root``."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root
+
+    def path(self, *parts) -> str:
+        return posixpath.join(self.root, *map(str, parts))
+
+    def _files(self, path: str):
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return place, place.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def drop(self, path: str) -> None:
+        place, files = self._files(path)
+        files.delete(place, True)
+
+    def names(self, pattern: str) -> list[str]:
+        place, files = self._files(pattern)
+        return [found.getPath().toString() for found in files.globStatus(place) or []]
+
+    def mark(self, epoch: int) -> int | None:
+        if epoch < 0:
+            return None
+        return self.spark.read.schema(MARK).parquet(self.path("marks", f"epoch={epoch}")).first()["mark"]
+
+    def store_mark(self, epoch: int, mark: int | None, late: int, undated: int) -> None:
+        row = self.spark.createDataFrame([(mark, late, undated)], MARK)
+        row.coalesce(1).write.mode("overwrite").parquet(self.path("marks", f"epoch={epoch}"))
+
+    def hold(self, rows: DataFrame, epoch: int) -> None:
+        by_hour = rows.withColumn("hour", F.floor(F.col("_us") / HOUR_US).cast("long"))
+        by_hour.write.mode("overwrite").partitionBy("hour").parquet(self.path("held", f"epoch={epoch}"))
+
+    def due(self, schema: T.StructType, past: int | None, mark: int | None) -> DataFrame:
+        """Held rows from one watermark up to the next; only their hours are read."""
+        held = self.names(self.path("held", "epoch=*", "hour=*", "*.parquet"))
+        if mark is None or not held:
+            return self.spark.createDataFrame([], schema).drop("_us", "hour")
+        fields = [*schema, T.StructField("epoch", T.LongType()), T.StructField("hour", T.LongType())]
+        rows = self.spark.read.schema(T.StructType(fields)).parquet(self.path("held"))
+        rows = rows.where((F.col("hour") <= mark // HOUR_US) & (F.col("_us") < mark))
+        if past is not None:
+            rows = rows.where((F.col("hour") >= past // HOUR_US) & (F.col("_us") >= past))
+        return rows.drop("_us", "hour", "epoch")
+
+    def forget(self, past: int | None) -> None:
+        """Drop the hours before a watermark that no trigger can ask for again."""
+        if past is None:
+            return
+        for path in self.names(self.path("held", "epoch=*", "hour=*")):
+            if int(re.search(r"hour=(-?\d+)", path).group(1)) < past // HOUR_US:
+                self.drop(path)
+
+    def carried(self, epoch: int, schema: str) -> DataFrame:
+        if epoch < 0:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(self.path("carried", f"epoch={epoch}"))
+
+    def advance(self, epoch: int, mark: int | None, schema, release: Release, carry: Carry, carry_schema: str) -> None:
+        """Release what is due at ``mark`` as the output of ``epoch``, and carry on."""
+        due = self.due(schema, self.mark(epoch - 1), mark)
+        before = self.carried(epoch - 1, carry_schema)
+        path = self.path("rows", f"epoch={epoch}")
+        release(due, before, 0 if mark is None else mark).write.mode("overwrite").parquet(path)
+        out = self.spark.read.parquet(path)
+        carry(out, due, before).write.mode("overwrite").parquet(self.path("carried", f"epoch={epoch}"))
+
+
+def _with_micros(rows: DataFrame, ts: str) -> DataFrame:
+    return rows.withColumn("_us", micros(ts))
 
 
 def start_ordered(
@@ -44,43 +115,29 @@ def start_ordered(
     ``due`` are the rows older than the watermark ``mark`` (microseconds: the latest
     ``ts`` seen less the delay) that were not released before, in no particular order.
     ``carry(out, due, carried)`` gives the rows carried to the next trigger; ``out`` is
-    the stored output of this one. Rows older than the previous watermark are dropped
-    and counted. ``trigger`` is passed on, ``availableNow=True`` for what is there.
+    the stored output of this one. Rows older than the previous watermark and rows without
+    a time are dropped and counted (:func:`late_rows`). What the watermark has not passed
+    when no more data comes is released by :func:`finish_ordered`. ``trigger`` is passed on,
+    ``availableNow=True`` for what is there.
     """
-
-    def folder(epoch: int, name: str = "") -> str:
-        return posixpath.join(root, "state", f"epoch={epoch}", name)
+    schema = _with_micros(stream, ts).schema
 
     def handle(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        pending = batch.withColumn("_us", micros(ts))
-        past = None
-        carried = spark.createDataFrame([], carry_schema)
-        if epoch > 0:
-            past = spark.read.schema(MARK).parquet(folder(epoch - 1, "mark")).first()["mark"]
-            carried = spark.read.parquet(folder(epoch - 1, "carried"))
-        late = F.lit(False) if past is None else F.col("_us") < past
-        if epoch > 0:
-            held = spark.read.parquet(folder(epoch - 1, "pending")).where(F.col("_us") >= past)
-            pending = pending.where(~late).unionByName(held)
-        pending.write.mode("overwrite").parquet(folder(epoch, "pending"))
-        pending = spark.read.parquet(folder(epoch, "pending"))
-
-        newest = pending.agg(F.max("_us")).first()[0]
-        seen = [m for m in (past, None if newest is None else newest - delay_seconds * 1_000_000)]
-        mark = max((m for m in seen if m is not None), default=0)
-        dropped = 0 if past is None else batch.where(micros(ts) < past).count()
-        spark.createDataFrame([(mark, dropped)], MARK).coalesce(1).write.mode("overwrite").parquet(
-            folder(epoch, "mark")
-        )
-
-        due = pending.where(F.col("_us") < mark).drop("_us")
-        path = posixpath.join(root, "rows", f"epoch={epoch}")
-        release(due, carried, mark).write.mode("overwrite").parquet(path)
-        out = spark.read.parquet(path)
-        carry(out, due, carried).write.mode("overwrite").parquet(folder(epoch, "carried"))
+        folder = _Folder(batch.sparkSession, root)
+        rows = _with_micros(batch, ts)
+        past = folder.mark(epoch - 1)
+        late = F.lit(False) if past is None else F.coalesce(F.col("_us") < past, F.lit(False))
+        newest, dropped, undated = rows.agg(
+            F.max("_us"), F.count_if(late), F.count_if(F.col("_us").isNull())
+        ).first()
+        seen = [m for m in (past, None if newest is None else newest - delay_seconds * 1_000_000) if m is not None]
+        mark = max(seen, default=None)
+        folder.hold(rows.where(F.col("_us").isNotNull() & ~late), epoch)
+        folder.store_mark(epoch, mark, dropped, undated)
+        folder.advance(epoch, mark, schema, release, carry, carry_schema)
+        folder.forget(past)
         if epoch > 1:
-            _drop_folder(spark, folder(epoch - 2))
+            folder.drop(folder.path("carried", f"epoch={epoch - 2}"))
 
     return (
         stream.writeStream.option("checkpointLocation", posixpath.join(root, "checkpoint"))
@@ -90,13 +147,40 @@ def start_ordered(
     )
 
 
+def finish_ordered(
+    spark: SparkSession,
+    root: str,
+    rows_schema: T.StructType,
+    release: Release,
+    carry: Carry,
+    carry_schema: str,
+    mark: int,
+) -> None:
+    """Release the held rows of a stopped query that gets no more data, up to ``mark``.
+
+    They are the output of one more trigger. The query must not be started again.
+    """
+    folder = _Folder(spark, root)
+    done = [int(re.search(r"epoch=(\d+)", p).group(1)) for p in folder.names(folder.path("marks", "epoch=*"))]
+    epoch = max(done, default=-1) + 1
+    past = folder.mark(epoch - 1)
+    mark = mark if past is None else max(mark, past)
+    folder.store_mark(epoch, mark, 0, 0)
+    folder.advance(epoch, mark, rows_schema, release, carry, carry_schema)
+
+
+def held_schema(stream: DataFrame, ts: str) -> T.StructType:
+    """The form in which a query on ``stream`` holds rows."""
+    return _with_micros(stream, ts).schema
+
+
 def released_rows(spark: SparkSession, root: str) -> DataFrame:
     """Everything a query of :func:`start_ordered` has written so far."""
     return spark.read.parquet(posixpath.join(root, "rows")).drop("epoch")
 
 
 def late_rows(spark: SparkSession, root: str) -> DataFrame:
-    """Watermark and number of dropped rows of the latest triggers."""
+    """Watermark and number of dropped rows, late and without a time, of every trigger."""
     return spark.read.schema(T._parse_datatype_string(MARK)).parquet(
-        posixpath.join(root, "state", "epoch=*", "mark")
+        posixpath.join(root, "marks", "epoch=*")
     )

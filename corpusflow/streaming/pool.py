@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import posixpath
+from datetime import datetime
 
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from corpusflow.functions.state import micros
 from corpusflow.operators.pool import POOL_TTL, STATUS_AFTER, idle_expiries, latest_state
 from corpusflow.streaming.idle import FIRST
-from corpusflow.streaming.ordered import start_ordered
+from corpusflow.streaming.ordered import finish_ordered, held_schema, start_ordered
 
 
 def pool_state_stream(log: DataFrame, key="pod_name", event="event", ts="ts", tie="seq") -> DataFrame:
@@ -46,47 +48,65 @@ def keep_state(state: DataFrame, root: str, key: str = "pod_name") -> DataFrame:
     return spark.read.parquet(out).groupBy(key).agg(last).select(key, "_last.*")
 
 
-def expire_idle_stream(
-    log: DataFrame, root: str, delay_seconds: int = 0, ttl: int = POOL_TTL, **trigger
-) -> StreamingQuery:
-    """Write one row whenever a resource stays idle strictly longer than ``ttl`` seconds.
+COLUMNS = ["pod_name", "event", "ts", "seq"]
+CARRIED = "pod_name string, event string, ts timestamp, told boolean"
 
-    The batch rule of :func:`idle_expiries` on the transitions each trigger releases
-    (``pod_name``, ``event``, ``ts``, ``seq``), with the watermark as the present.
-    Carried per resource: the event its state amounts to, at the time of its last use,
-    and whether that use was reported.
-    """
-    columns = ["pod_name", "event", "ts", "seq"]
-    moves = log.where(F.col("event").isin(*STATUS_AFTER)).select(
+
+def _moves(log: DataFrame) -> DataFrame:
+    return log.where(F.col("event").isin(*STATUS_AFTER)).select(
         F.col("pod_name").cast("string"),
         "event",
         F.col("ts").cast("timestamp").alias("ts"),
         F.col("seq").cast("long"),
     )
 
-    def with_carried(due: DataFrame, carried: DataFrame) -> DataFrame:
-        return due.select(*columns).unionByName(
-            carried.select("pod_name", "event", "ts", F.lit(FIRST).alias("seq"))
-        )
 
+def _with_carried(due: DataFrame, carried: DataFrame) -> DataFrame:
+    return due.select(*COLUMNS).unionByName(
+        carried.select("pod_name", "event", "ts", F.lit(FIRST).alias("seq"))
+    )
+
+
+def _release(ttl: int):
     def release(due: DataFrame, carried: DataFrame, mark: int) -> DataFrame:
         told = carried.where("told").select("pod_name", F.col("ts").alias("last_used"))
-        found = idle_expiries(with_carried(due, carried), mark, ttl=ttl)
+        found = idle_expiries(_with_carried(due, carried), mark, ttl=ttl)
         return found.join(told, ["pod_name", "last_used"], "left_anti")
 
-    def carry(out: DataFrame, due: DataFrame, carried: DataFrame) -> DataFrame:
-        state = latest_state(with_carried(due, carried)).where("last_used is not null")
-        told = (
-            out.select("pod_name", "last_used")
-            .unionByName(carried.where("told").select("pod_name", F.col("ts").alias("last_used")))
-            .withColumn("told", F.lit(True))
-        )
-        return state.join(told, ["pod_name", "last_used"], "left").select(
-            "pod_name",
-            F.when(F.col("status") == "idle", "succeeded").otherwise("assigned").alias("event"),
-            F.col("last_used").alias("ts"),
-            F.coalesce("told", F.lit(False)).alias("told"),
-        )
-
-    schema = "pod_name string, event string, ts timestamp, told boolean"
-    return start_ordered(moves, root, "ts", delay_seconds, release, carry, schema, **trigger)
+    return release
+
+
+def _carry(out: DataFrame, due: DataFrame, carried: DataFrame) -> DataFrame:
+    state = latest_state(_with_carried(due, carried)).where("last_used is not null")
+    told = (
+        out.select("pod_name", "last_used")
+        .unionByName(carried.where("told").select("pod_name", F.col("ts").alias("last_used")))
+        .withColumn("told", F.lit(True))
+    )
+    return state.join(told, ["pod_name", "last_used"], "left").select(
+        "pod_name",
+        F.when(F.col("status") == "idle", "succeeded").otherwise("assigned").alias("event"),
+        F.col("last_used").alias("ts"),
+        F.coalesce("told", F.lit(False)).alias("told"),
+    )
+
+
+def expire_idle_stream(
+    log: DataFrame, root: str, delay_seconds: int = 0, ttl: int = POOL_TTL, **trigger
+) -> StreamingQuery:
+    """Write one row whenever a resource stays idle strictly longer than ``ttl`` seconds.
+
+    The batch rule of :func:`idle_expiries` on the transitions each trigger releases
+    (``pod_name``, ``event``, ``ts``, ``seq``), with the watermark as the present.
+    Carried per resource: the event its state amounts to, at the time of its last use,
+    and whether that use was reported. :func:`finish_expiries` moves the present on when
+    no more transitions come.
+    """
+    return start_ordered(_moves(log), root, "ts", delay_seconds, _release(ttl), _carry, CARRIED, **trigger)
+
+
+def finish_expiries(log: DataFrame, root: str, now: datetime | str, ttl: int = POOL_TTL) -> None:
+    """Write what a stopped stream still holds, with ``now`` as the present."""
+    spark = log.sparkSession
+    mark = spark.range(1).select(micros(F.lit(now))).first()[0]
+    finish_ordered(spark, root, held_schema(_moves(log), "ts"), _release(ttl), _carry, CARRIED, mark)

@@ -175,3 +175,33 @@ def test_stateless_streams(spark, tmp_path):
     assert [(r["sql"], r["prompt"]) for r in rows] == [
         ("TRANSLATE ENGLISH TO SQL: Q </S> TABLES: C", "translate English to SQL: q </s> Tables: c")
     ]
+
+
+def test_held_rows_are_written_once_and_finished(spark, tmp_path):
+    schema = "entity string, ts timestamp, seq long, active boolean"
+    path, root = str(tmp_path / "in"), str(tmp_path / "run")
+    sizes = []
+    for turn in range(5):
+        rows = [("a", T0 + timedelta(minutes=100 * turn + k), 100 * turn + k, k % 9 == 0) for k in range(100)]
+        rows.append((None, None, -1, False))
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+        feed = feeds.read_stream(spark, path, schema)
+        idle.idle_alerts_stream(feed, root, 86_400, 300, availableNow=True).awaitTermination()
+        held = list((tmp_path / "run" / "held" / f"epoch={turn}").rglob("*.parquet"))
+        sizes.append(sum(f.stat().st_size for f in held))
+        assert ordered.released_rows(spark, root).count() == 0
+    assert max(sizes) < 2 * min(sizes)  # what a trigger writes does not grow with what is held
+    assert ordered.late_rows(spark, root).agg(F.sum("undated")).first()[0] == 5
+    idle.finish_idle_alerts(feed, root, 300)
+    got = ordered.released_rows(spark, root)
+    want = A.idle_episodes(spark.read.schema(schema).parquet(path).where("entity = 'a'"), threshold=300)
+    names = ["entity", "ts", "seq", "active", "idle_since", "idle_seconds", "alert"]
+    assert sorted(map(tuple, got.select(names).collect())) == sorted(map(tuple, want.select(names).collect()))
+
+
+def test_passed_hours_are_dropped(spark, tmp_path):
+    for turn in range(4):
+        at = T0 + timedelta(hours=5 * turn)
+        idle_step(spark, tmp_path, [("a", at, turn, False)], delay=60)
+    kept = {int(p.name.split("=")[1]) for p in (tmp_path / "run" / "held").glob("epoch=*/hour=*")}
+    assert len(kept) == 2  # the last hour, and the one that a repeated trigger would read
