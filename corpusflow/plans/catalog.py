@@ -1,6 +1,6 @@
 """All registered queries and their SQL."""
 
-from corpusflow.plans import catalog_rows, catalog_scoring, catalog_state  # noqa: F401
+from corpusflow.plans import catalog_corpus, catalog_rows, catalog_scoring, catalog_state  # noqa: F401
 from corpusflow.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
