@@ -13,6 +13,7 @@ from corpusflow.session import scratch_path
 from corpusflow.sources import history, tables
 from corpusflow.sources.tables import read_table
 
+# Fixed values in the SQL below: prompt, rejection, summary and marker texts, spelled out.
 DATE_ORDER = ["o_orderdate", "o_orderkey"]
 
 

@@ -24,6 +24,8 @@ from corpusflow.plans.registry import query
 from corpusflow.session import scratch_path
 from corpusflow.sources.tables import read_table
 
+# Fixed values in the SQL below: prompt, rejection, summary and marker texts, spelled out.
+
 
 def echo_question():
     """Stand-in model: answers with the question of the prompt between blanks."""

@@ -30,6 +30,7 @@ from corpusflow.sources.tables import read_table
 from corpusflow.streaming import feeds, idle, ordered, pool as pool_streams
 
 AS_OF = "2024-01-31 00:00:00"
+# Fixed values in the SQL below: prompt, rejection, summary and marker texts, spelled out.
 FAR = "2100-01-01 00:00:00"
 
 

@@ -102,6 +102,7 @@ def evaluate(
     tables.write_table(score(rows, load_model, run_id), scored_path)
     scored = spark.read.parquet(scored_path)
 
+    # Metric and artifact names.
     summary = scoring.evaluation_summary(scored)
     metrics = history.metric_rows(
         summary,

@@ -77,15 +77,21 @@ def write_shards(
 
 
 def read_shards(
-    spark: SparkSession, path: str, siblings: bool = False, ordinal: str | None = "ord"
+    spark: SparkSession,
+    path: str,
+    siblings: bool = False,
+    ordinal: str | None = "ord",
+    schema: T.StructType | None = None,
 ) -> DataFrame:
     """Read every Parquet file below ``path``, columns matched by name.
 
     ``ordinal`` numbers the rows: shards in the order of their number, or of their
     path where it holds none, rows as stored. ``siblings`` also reads folders whose
-    name merely starts like ``path``.
+    name merely starts like ``path``. With a ``schema`` no file is opened to plan the scan;
+    without one, the footers of all files are read and merged.
     """
-    reader = spark.read.option("mergeSchema", True).option("recursiveFileLookup", True)
+    reader = spark.read.option("recursiveFileLookup", True)
+    reader = reader.option("mergeSchema", True) if schema is None else reader.schema(schema)
     df = reader.option("pathGlobFilter", "*.parquet").parquet(path + "*" if siblings else path)
     if ordinal is None:
         return df

@@ -33,6 +33,8 @@ def test_no_stale_shards_and_number_order(spark, tmp_path):
     assert [r["id"] for r in T.read_shards(spark, path).orderBy("ord").collect()] == list(range(120))
     T.write_shards(numbers(spark, 15), path, ["id"], 10)
     assert T.read_shards(spark, path, ordinal=None).count() == 15
+    known = T.read_shards(spark, path, ordinal=None).schema
+    assert T.read_shards(spark, path, ordinal=None, schema=known).count() == 15
 
 
 def test_siblings_and_other_files(spark, tmp_path):
