@@ -216,8 +216,24 @@ def _sort_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield solved()
 
 
+def _merged(spans: list[dict]) -> list[dict]:
+    out: list[dict] = []
+    for span in spans:
+        if out and span["start"] <= out[-1]["end"]:
+            out[-1]["end"] = max(out[-1]["end"], span["end"])
+        else:
+            out.append(dict(span))
+    return out
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        merged = [_merged(s) for s in batch.column("spans").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(merged, batch.schema.field("spans").type)], ["key", "spans"])
+
+
 def repeated_spans(texts: DataFrame) -> DataFrame:
-    """``key`` and ``spans`` (start, end; sorted, may overlap) from ``key`` and ``text``."""
+    """``key`` and ``spans`` (start, end; sorted, apart) from ``key`` and ``text``."""
     runs = texts.select("key", "text").mapInArrow(_emit_runs, RUN_SCHEMA)
     runs = runs.repartition("owner").sortWithinPartitions("owner", "run", "key", "at")
     met = stored(runs.mapInArrow(_meet_runs, RUN_SCHEMA), "suffix-runs")
@@ -229,36 +245,27 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     sharded = pieces.repartition("owner").sortWithinPartitions("owner")
     spans = sharded.mapInArrow(_sort_shards, "key long, start long, end long")
     spans = spans.union(met.filter("repeat").select("key", F.col("first").alias("start"), (F.col("last") + SPAN).alias("end")))
-    return spans.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
-
-
-def _merged(spans: list[dict] | None) -> list[list[int]]:
-    out: list[list[int]] = []
-    for span in spans or []:
-        if out and span["start"] <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], span["end"])
-        else:
-            out.append([span["start"], span["end"]])
-    return out
+    lists = spans.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    return lists.mapInArrow(_merge, "key long, spans array<struct<start:long,end:long>>")
 
 
-def _cut(text: bytes, spans: list[list[int]]) -> bytes:
-    edges = [0, *(x for span in spans for x in span), len(text)]
+def _cut(text: bytes, spans: list[dict]) -> bytes:
+    edges = [0, *(x for span in spans for x in (span["start"], span["end"])), len(text)]
     return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = wordbytes.texts_of(batch.column("text"))
-        merged = [_merged(s) for s in batch.column("spans").to_pylist()]
+        spans = [s or [] for s in batch.column("spans").to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"),
                 batch.column("rows"),
                 pa.array([len(t) for t in texts], pa.int64()),
-                pa.array([sum(b - a for a, b in m) for m in merged], pa.int64()),
-                pa.array([len(m) for m in merged], pa.int64()),
-                pa.array([hashlib.sha256(_cut(t, m)).hexdigest() for t, m in zip(texts, merged)], pa.string()),
+                pa.array([sum(x["end"] - x["start"] for x in m) for m in spans], pa.int64()),
+                pa.array([len(m) for m in spans], pa.int64()),
+                pa.array([hashlib.sha256(_cut(t, m)).hexdigest() for t, m in zip(texts, spans)], pa.string()),
             ],
             ["doc_id", "rows", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
         )
