@@ -38,7 +38,7 @@ from corpusflow.llm.store import stored
 
 SPAN = 100
 GRAM = 24
-SHARD_BYTES = 1 << 21
+SHARD_BYTES = 1 << 20
 EVERY = np.ones(256, bool)
 
 

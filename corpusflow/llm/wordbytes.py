@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 BREAK = b"\n"
 # An odd base and its inverse modulo 2^64, and the splitmix64 finalizer.
 BASE = 0x9E3779B97F4A7C15
@@ -105,7 +105,7 @@ def chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
         yield first, len(texts)
 
 
-PORTION_BYTES = 1 << 24
+PORTION_BYTES = 1 << 23
 
 
 def portions(batch, column: str = "text") -> Iterator[tuple[list[bytes], object]]:
