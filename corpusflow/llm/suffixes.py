@@ -216,20 +216,26 @@ def _sort_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield solved()
 
 
-def _merged(spans: list[dict]) -> list[dict]:
-    out: list[dict] = []
-    for span in spans:
-        if out and span["start"] <= out[-1]["end"]:
-            out[-1]["end"] = max(out[-1]["end"], span["end"])
-        else:
-            out.append(dict(span))
-    return out
+PLACES = 1 << 40  # more than any place in a text
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted spans of each key with those that touch or overlap made one."""
     for batch in batches:
-        merged = [_merged(s) for s in batch.column("spans").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(merged, batch.schema.field("spans").type)], ["key", "spans"])
+        lists = batch.column("spans")
+        flat = lists.flatten()
+        row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+        start, end = (flat.field(k).to_numpy(zero_copy_only=False) + row * PLACES for k in (0, 1))
+        reach = np.maximum.accumulate(end)
+        new = np.ones(len(row), bool)
+        new[1:] = start[1:] > reach[:-1]
+        last = np.append(np.flatnonzero(new)[1:] - 1, len(row) - 1)
+        sizes = np.bincount(row[new], minlength=len(lists))
+        spans = pa.StructArray.from_arrays(
+            [pa.array(start[new] % PLACES), pa.array(reach[last] - row[last] * PLACES)], ["start", "end"]
+        )
+        offsets = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.ListArray.from_arrays(offsets, spans)], ["key", "spans"])
 
 
 def repeated_spans(texts: DataFrame) -> DataFrame:
