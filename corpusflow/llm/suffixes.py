@@ -9,11 +9,13 @@
    share of the documents comes from each portion once. An owner with one distinct run is done.
 3. The bytes of the distinct runs of the other owners are sharded by owner, and the suffixes
    that begin a string are sorted by induction (see ``induced``). Neighbours with a common
-   prefix of SPAN bytes are one class; all but its earliest member are repeats.
+   prefix of SPAN bytes are one class; all but its earliest member are repeats. An owner whose
+   distinct runs are more than SHARD_BYTES is no shard: its strings are dealt out by the hash
+   of all their bytes, met within each portion first, and compared in the order of that hash.
 4. The spans of the repeats are merged per document and cut out of the text.
 
 Equality in 2 is that of two 64-bit hashes over at most 2 x SPAN bytes; in 3 it is compared
-byte for byte. The sides that meet the texts again are small tables of counted size
+byte for byte, or by 128 bits of BLAKE2 for the strings of a large owner. The sides that meet the texts again are small tables of counted size
 (broadcast) or are joined by shuffle.
 
 Rows: a null or empty text has no bytes. Documents are ordered by id, null last; rows with
@@ -34,11 +36,12 @@ from pyspark.sql import functions as F
 
 from corpusflow.llm import induced, wordbytes
 from corpusflow.llm.rows import beside, numbered
-from corpusflow.llm.store import stored
+from corpusflow.llm.store import join_few, stored
 
 SPAN = 100
 GRAM = 24
 SHARD_BYTES = 1 << 20
+BROADCAST_OWNERS = 1_000_000
 EVERY = np.ones(256, bool)
 
 
@@ -216,6 +219,63 @@ def _sort_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield solved()
 
 
+STRING_SCHEMA = "hash long, hash2 long, key long, start long, end long, repeat boolean"
+STRING_NAMES = ["hash", "hash2", "key", "start", "end", "repeat"]
+
+
+def _joined_starts(key: np.ndarray, start: np.ndarray) -> list[np.ndarray]:
+    """Strings that begin one after the other, in order of key and start, as spans."""
+    order = np.lexsort((start, key))
+    key, start = key[order], start[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (start[1:] > start[:-1] + 1)
+    last = np.append(np.flatnonzero(new)[1:] - 1, len(key) - 1) if len(key) else np.zeros(0, np.int64)
+    return [key[new], start[new], start[last] + SPAN]
+
+
+def _emit_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Strings of the listed runs of each portion: the first of equal ones, the others as spans."""
+    for texts, batch in itertools.chain.from_iterable(map(wordbytes.portions, batches)):
+        digests, keys, starts = [], [], []
+        for key, text, runs in zip(batch.column("key").to_pylist(), texts, batch.column("runs").to_pylist()):
+            for r in runs:
+                places = range(r["first"], r["last"] + 1)
+                digests.append(b"".join(hashlib.blake2b(text[a : a + SPAN], digest_size=16).digest() for a in places))
+                keys.append(np.full(len(places), key, np.int64))
+                starts.append(np.array(places, np.int64))
+        one, two = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2).T
+        key, start = np.concatenate(keys), np.concatenate(starts)
+        order = np.lexsort((start, key, two, one))
+        one, two, key, start = (x[order] for x in (one, two, key, start))
+        again = np.zeros(len(one), bool)
+        again[1:] = (one[1:] == one[:-1]) & (two[1:] == two[:-1])
+        first = [x[~again] for x in (one, two, key, start)]
+        yield pa.RecordBatch.from_arrays(
+            [*map(pa.array, first), pa.array(first[3] + SPAN), pa.array(np.zeros(len(first[0]), bool))], STRING_NAMES
+        )
+        key, start, end = _joined_starts(key[again], start[again])
+        dealt = wordbytes.mixed(key.view(np.uint64) + start.view(np.uint64) * np.uint64(wordbytes.BASE)).view(np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [*map(pa.array, (dealt, dealt, key, start, end)), pa.array(np.ones(len(key), bool))], STRING_NAMES
+        )
+
+
+def _meet_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Repeated spans among strings in order of hash, key and start; only the last one is held."""
+    before = None
+    for batch in batches:
+        one, two, key, start, end, repeat = (batch.column(n).to_numpy(zero_copy_only=False) for n in STRING_NAMES)
+        yield pa.RecordBatch.from_arrays([pa.array(x[repeat]) for x in (key, start, end)], ["key", "start", "end"])
+        one, two, key, start = (x[~repeat] for x in (one, two, key, start))
+        if len(one):
+            again = np.zeros(len(one), bool)
+            again[1:] = (one[1:] == one[:-1]) & (two[1:] == two[:-1])
+            again[0] = before == (one[0], two[0])
+            before = (one[-1], two[-1])
+            spans = _joined_starts(key[again], start[again])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in spans], ["key", "start", "end"])
+
+
 PLACES = 1 << 40  # more than any place in a text
 
 
@@ -240,16 +300,29 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_spans(texts: DataFrame) -> DataFrame:
     """``key`` and ``spans`` (start, end; sorted, apart) from ``key`` and ``text``."""
-    runs = texts.select("key", "text").mapInArrow(_emit_runs, RUN_SCHEMA)
+    texts = texts.select("key", "text")
+    runs = texts.mapInArrow(_emit_runs, RUN_SCHEMA)
     runs = runs.repartition("owner").sortWithinPartitions("owner", "run", "key", "at")
     met = stored(runs.mapInArrow(_meet_runs, RUN_SCHEMA), "suffix-runs")
-    lists = met.filter("NOT repeat").groupBy("key").agg(F.collect_list(F.struct("owner", "first", "last")).alias("runs"))
-    lists = stored(lists, "suffix-lists")
-    pieces = beside(texts.select("key", "text"), lists, "runs", "inner").mapInArrow(
+    distinct = met.filter("NOT repeat")
+    size = F.sum(F.col("last") - F.col("first") + SPAN + 1)
+    large = stored(distinct.groupBy("owner").agg(size.alias("size")).filter(F.col("size") > SHARD_BYTES), "large-owners")
+    owners = large.count()
+
+    def listed(how: str, label: str) -> DataFrame:
+        some = join_few(distinct, large, ["owner"], owners, BROADCAST_OWNERS, how) if owners else distinct
+        lists = some.groupBy("key").agg(F.collect_list(F.struct("owner", "first", "last")).alias("runs"))
+        return beside(texts, stored(lists, label), "runs", "inner")
+
+    pieces = listed("left_anti", "suffix-lists").mapInArrow(
         _emit_bytes, "owner long, key long, first long, bytes binary"
     )
     sharded = pieces.repartition("owner").sortWithinPartitions("owner")
     spans = sharded.mapInArrow(_sort_shards, "key long, start long, end long")
+    if owners:
+        strings = listed("left_semi", "large-lists").mapInArrow(_emit_strings, STRING_SCHEMA)
+        strings = strings.repartition("hash").sortWithinPartitions("hash", "hash2", "key", "start")
+        spans = spans.union(strings.mapInArrow(_meet_strings, "key long, start long, end long"))
     spans = spans.union(met.filter("repeat").select("key", F.col("first").alias("start"), (F.col("last") + SPAN).alias("end")))
     lists = spans.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
     return lists.mapInArrow(_merge, "key long, spans array<struct<start:long,end:long>>")

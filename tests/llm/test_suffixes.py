@@ -72,6 +72,27 @@ def test_small_shards_and_spilled_queues(spark, monkeypatch):
     assert digest(spark.createDataFrame(rows, ROWS)) == brute(rows)
 
 
+def test_large_owners_are_no_shard(spark, monkeypatch):
+    """One passage with many surroundings: no task gets more of an owner than a shard's bytes."""
+    rng = random.Random(17)
+    letters = "abcdefghij klmn"
+    passage = "".join(rng.choices(letters, k=180))
+    around = lambda: "".join(rng.choices(letters, k=rng.randint(20, 130)))
+    rows = [(k, around() + (passage if k % 3 else passage[: 90 + k]) + around()) for k in range(80)] + [(80, "ab" * 300)]
+    stored, lists = suffixes.stored, {}
+
+    def told(df, label):
+        lists[label] = stored(df, label)
+        return lists[label]
+
+    monkeypatch.setattr(suffixes, "stored", told)
+    monkeypatch.setattr(suffixes, "SHARD_BYTES", 3000)
+    assert digest(spark.createDataFrame(rows, ROWS).repartition(6)) == brute(rows)
+    runs = lists["suffix-lists"].selectExpr("inline(runs)").groupBy("owner").agg({"*": "count"}).collect()
+    assert all(n * (suffixes.SPAN + 1) <= 3000 for _, n in runs)
+    assert lists["large-owners"].count() > 0
+
+
 def test_repeated_and_missing_ids(spark):
     rows = some_rows(11, 30)
     rows += [(3, rows[5][1]), (3, rows[3][1]), (None, rows[6][1]), (None, None), (2, rows[2][1])]
