@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusflow.llm import chat, decontaminate, lm, mixing, passages, quality, secrets, sharding, simhash, suffixes
+from corpusflow.llm import chat, decontaminate, lm, mixing, passages, quality, secrets, sharding, simhash, suffixes, variants
 from corpusflow.llm.store import table
 
 
@@ -50,6 +50,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.suffix_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     fn.__name__: fn
     for fn in (
@@ -63,6 +67,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_shard,
         op9_secret_scan,
         op10_suffix_dedup,
+        op11_spelling_variants,
     )
 }
-SQL: dict[str, str] = {"op3_chat_format": chat.SQL, "op9_secret_scan": secrets.SQL}
+SQL: dict[str, str] = {
+    "op3_chat_format": chat.SQL,
+    "op9_secret_scan": secrets.SQL,
+    "op11_spelling_variants": variants.SQL,
+}
