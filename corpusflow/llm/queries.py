@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusflow.llm import chat, decontaminate, lm, mixing, passages, quality, secrets, sharding, simhash, suffixes, variants
+from corpusflow.llm import chat, decontaminate, lm, mixing, passages, quality, secrets, sharding, shinglejoin, simhash, suffixes, variants
 from corpusflow.llm.store import table
 
 
@@ -54,6 +54,10 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op12_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shinglejoin.near_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     fn.__name__: fn
     for fn in (
@@ -68,10 +72,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_secret_scan,
         op10_suffix_dedup,
         op11_spelling_variants,
+        op12_ngram_jaccard,
     )
 }
 SQL: dict[str, str] = {
     "op3_chat_format": chat.SQL,
     "op9_secret_scan": secrets.SQL,
     "op11_spelling_variants": variants.SQL,
+    "op12_ngram_jaccard": shinglejoin.SQL,
 }
