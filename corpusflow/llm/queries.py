@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusflow.llm import chat, decontaminate, lm, mixing, passages, quality, secrets, sharding, shinglejoin, simhash, suffixes, variants
+from corpusflow.llm import (
+    chat,
+    decontaminate,
+    lm,
+    mixing,
+    passages,
+    quality,
+    search,
+    secrets,
+    sharding,
+    shinglejoin,
+    simhash,
+    suffixes,
+    variants,
+)
 from corpusflow.llm.store import table
 
 
@@ -58,6 +72,10 @@ def op12_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shinglejoin.near_documents(table(spark, sf_dir, "documents"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     fn.__name__: fn
     for fn in (
@@ -73,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_suffix_dedup,
         op11_spelling_variants,
         op12_ngram_jaccard,
+        op13_lexical_search,
     )
 }
 SQL: dict[str, str] = {
@@ -80,4 +99,5 @@ SQL: dict[str, str] = {
     "op9_secret_scan": secrets.SQL,
     "op11_spelling_variants": variants.SQL,
     "op12_ngram_jaccard": shinglejoin.SQL,
+    "op13_lexical_search": search.SQL,
 }
