@@ -14,9 +14,13 @@ prefix has no partner, and most leave here. Documents that are repeated inside a
 told beforehand, so a frequent shingle crosses the shuffle once a batch.
 
 Pairs are not listed inside a file (the classes with one shingle in their prefix). Each file
-links to its least class, then, where several components are left, to its greatest; of what
-is left only classes of different components are paired. So a group of near copies costs as
-much as it has members, and no link is lost.
+is compared with its least class, then, where several components are left, with a class drawn
+for the file, in several rounds; of what is left only classes of different components are
+paired. So a group of near copies costs as much as it has members, and no link is lost.
+
+Wherever classes meet, a parity signature is compared as well: each shingle turns one of 1,024
+bits, so two sets differ in at least as many shingles as their signatures in bits, and sets of
+similarity 0.8 differ in at most a ninth of their summed sizes.
 
 Rows: a text without words, or null, has no set and is its own component; rows are judged by
 their text, also repeated ones; a null id names a component only if there is no other. Long
@@ -41,6 +45,8 @@ NEED, OF = 80, 100
 BUCKET_TOKENS = 2_000_000
 PIECE_BYTES = 4 << 20
 BROADCAST_ROWS = 500_000
+PARITY = 16  # longs of a signature
+DRAWS = 3  # rounds in which a file's classes are compared with one drawn for it
 MANY = 0xFFFF  # stands for the documents of a shingle that is repeated inside a batch
 WORD_BYTES = wordbytes.byte_class([(0x20, 0x20), (0x09, 0x0D)])
 BATCH_ROWS = 10_000
@@ -208,6 +214,13 @@ def possible(documents: DataFrame, described: DataFrame) -> DataFrame:
     return described.filter("n > 0").join(counts, "batch", "left").filter(alone < _prefix(F.col("n"))).drop("shared")
 
 
+def parity(tokens: np.ndarray) -> np.ndarray:
+    """One bit for each rest of the hashes: whether an odd number of shingles has it."""
+    bits = PARITY * 64
+    odd = np.bincount((tokens % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for texts, rows in wordbytes.portions(batch):
@@ -217,18 +230,19 @@ def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             columns = [
                 pa.array([wanted[k] for k in keep], pa.binary()),
                 pa.array([sets[k].view(np.int64) for k in keep], pa.list_(pa.int64())),
+                pa.array([parity(sets[k]) for k in keep], pa.list_(pa.int64())),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["cls", "tokens"])
+            yield pa.RecordBatch.from_arrays(columns, ["cls", "tokens", "parity"])
 
 
 def class_sets(documents: DataFrame, rows: DataFrame) -> DataFrame:
-    """``node``, ``cls``, ``n`` and ``tokens`` of each class in ``rows``, stored."""
+    """``node``, ``cls``, ``n``, ``tokens`` and ``parity`` of each class in ``rows``, stored."""
     chosen = stored(rows.groupBy("cls").agg(F.min("doc_id").alias("_id")), "jaccard-classes")
     few = chosen.count() <= BROADCAST_ROWS
     chosen = F.broadcast(chosen) if few else chosen
     texts = documents.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id"))).select("cls", "text")
-    sets = texts.mapInArrow(_checked, "cls binary, tokens array<long>").dropDuplicates(["cls"])
-    numbered = sets.select(F.monotonically_increasing_id().alias("node"), "cls", F.size("tokens").alias("n"), "tokens")
+    sets = texts.mapInArrow(_checked, "cls binary, tokens array<long>, parity array<long>").dropDuplicates(["cls"])
+    numbered = sets.select(F.monotonically_increasing_id().alias("node"), "cls", F.size("tokens").alias("n"), "tokens", "parity")
     return stored(numbered, "jaccard-sets")
 
 
@@ -247,14 +261,18 @@ def prefixes(sets: DataFrame) -> DataFrame:
     return kept.select(
         "node",
         "n",
+        "parity",
         cut(lambda s: F.struct(s["df"], s["token"].alias("by"), s["token"])).alias("rare"),
         cut(lambda s: F.struct(s["df"], (-s["token"]).alias("by"), s["token"])).alias("rare_down"),
         F.slice("tokens", F.lit(1), _prefix(F.col("n"))).alias("hashed"),
     )
 
 
-def _near_sizes(a: str, b: str) -> Column:
-    return OF * F.least(a, b) >= NEED * F.greatest(a, b)
+def _likely(x: str, y: str) -> Column:
+    """Whether sizes and signatures of two sides allow the similarity."""
+    a, b = F.col(f"{x}.n"), F.col(f"{y}.n")
+    bits = sum(F.bit_count(F.col(f"{x}.p{k}").bitwiseXOR(F.col(f"{y}.p{k}"))) for k in range(PARITY))
+    return (OF * F.least(a, b) >= NEED * F.greatest(a, b)) & (bits * (OF + NEED) <= (a + b) * (OF - NEED))
 
 
 def verified(pairs: DataFrame, heads: DataFrame, sets: DataFrame) -> DataFrame:
@@ -264,7 +282,7 @@ def verified(pairs: DataFrame, heads: DataFrame, sets: DataFrame) -> DataFrame:
         renamed = table.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns))
         return df.join(renamed, side)
 
-    passed = pairs.distinct()
+    passed = stored(pairs, "jaccard-pairs")
     for side in "ab":
         passed = beside(passed, heads, side, ["rare_down", "hashed"])
     for order in ("rare_down", "hashed"):
@@ -278,38 +296,48 @@ def verified(pairs: DataFrame, heads: DataFrame, sets: DataFrame) -> DataFrame:
 
 def links(heads: DataFrame, sets: DataFrame) -> DataFrame:
     """``node``, ``root`` of the classes that links join. Both tables are read several times."""
-    files = stored(heads.select("node", "n", F.explode("rare").alias("token")), "jaccard-files")
+    files = stored(heads.select("node", F.explode("rare").alias("token")), "jaccard-files")
+    signed = heads.select("node", "n", *(F.get("parity", F.lit(k)).alias(f"p{k}") for k in range(PARITY)))
     found, roots = None, None
-    for choose in (F.min, F.max):
-        placed = _placed(files, roots)
-        ends = placed.groupBy("token").agg(choose("node").alias("head"), F.min("root").alias("_l"), F.max("root").alias("_h"))
-        ends = ends.filter("_l <> _h").join(_placed(heads.select("node", "n"), roots).toDF("head", "head_n", "head_root"), "head")
-        pairs = placed.join(ends, "token").filter((F.col("root") != F.col("head_root")) & _near_sizes("n", "head_n"))
-        new = stored(verified(pairs.select(F.col("head").alias("a"), F.col("node").alias("b")), heads, sets), "jaccard-links")
+    for draw in range(DRAWS + 1):
+        x = _mixed(files, roots, signed)
+        drawn = F.min_by("node", F.xxhash64("token", "node", F.lit(draw))) if draw else F.min("node")
+        heads_of = x.groupBy("token").agg(drawn.alias("node"))
+        y = heads_of.join(_placed(signed, roots), "node")
+        new = stored(verified(_met_pairs(x, y, F.lit(True)), heads, sets), "jaccard-links")
         found = new if found is None else found.union(new)
         roots = stored(graph.components(found), "jaccard-roots")
-    placed = stored(_placed(files, roots), "jaccard-placed")
-    sizes = placed.groupBy("token", "root").agg(F.count(F.lit(1)).alias("held"))
-    main = sizes.groupBy("token").agg(F.max_by("root", F.struct("held", "root")).alias("main"), F.count(F.lit(1)).alias("roots"))
-    mixed = placed.join(main.filter("roots > 1").drop("roots"), "token")
-    x, y = mixed.filter("root <> main").alias("x"), mixed.alias("y")
-    pairs = x.join(
-        y,
-        (F.col("x.token") == F.col("y.token"))
-        & (F.col("x.root") != F.col("y.root"))
-        & ((F.col("y.root") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
-        & _near_sizes("x.n", "y.n"),
-    ).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-    last = stored(verified(pairs, heads, sets), "jaccard-links")
+    mixed = _mixed(files, roots, signed)
+    sizes = mixed.groupBy("token", "root").agg(F.count(F.lit(1)).alias("held"))
+    main = sizes.groupBy("token").agg(F.max_by("root", F.struct("held", "root")).alias("main"))
+    rest = stored(mixed.join(main, "token"), "jaccard-rest")
+    once = (F.col("y.root") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))
+    last = stored(verified(_met_pairs(rest.filter("root <> main"), rest, once), heads, sets), "jaccard-links")
     return graph.components(found.union(last))
 
 
+def _met_pairs(x: DataFrame, y: DataFrame, more: Column) -> DataFrame:
+    """Pairs of different components that meet in a file and may be similar."""
+    met = x.alias("x").join(
+        y.alias("y"),
+        (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root")) & more & _likely("x", "y"),
+    )
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
 def _placed(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
     if roots is None:
         return rows.withColumn("root", F.col("node"))
     return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
+def _mixed(files: DataFrame, roots: DataFrame | None, signed: DataFrame) -> DataFrame:
+    """The files with several components, with sizes and signatures."""
+    placed = _placed(files, roots)
+    several = placed.groupBy("token").agg(F.min("root").alias("_l"), F.max("root").alias("_h")).filter("_l <> _h")
+    return stored(placed.join(several.select("token"), "token").join(signed, "node"), "jaccard-mixed")
+
+
 def near_documents(documents: DataFrame) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` of each document."""
     texts = documents.select("doc_id", F.col("text").cast("string").alias("text"))
