@@ -27,7 +27,7 @@ from corpusflow.plans.inputs import (
 from corpusflow.plans.registry import query
 from corpusflow.session import scratch_path
 from corpusflow.sources.tables import read_table
-from corpusflow.streaming import feeds, idle, ordered, pool as pool_streams
+from corpusflow.streaming import feeds, idle, pool as pool_streams
 
 AS_OF = "2024-01-31 00:00:00"
 # Fixed values in the SQL below: prompt, rejection, summary and marker texts, spelled out.
@@ -266,6 +266,13 @@ def _feed(spark, df, label, files=None):
     return feeds.read_stream(spark, path, df.schema, files_per_trigger=files)
 
 
+def _clock(spark, sf):
+    """One instant behind all events: the present of a stream whose rows have ended."""
+    last = read_table(spark, sf, "events").agg(F.max("ts").cast("timestamp").alias("ts"))
+    far = F.greatest(F.col("ts"), F.lit(FAR).cast("timestamp")).alias("ts")
+    return _feed(spark, last.select(far), "clock")
+
+
 @query("SELECT event_id, ts, user_id, event_type, value FROM events")
 def read_stream(spark, sf):
     """Take the events as a feed and store them through a stream."""
@@ -295,10 +302,8 @@ def answer_stream(spark, sf):
 @query(_EPISODES)
 def idle_alerts_stream(spark, sf):
     feed = _feed(spark, samples(spark, sf), "samples")
-    root = scratch_path(spark, "alerts")
-    idle.idle_alerts_stream(feed, root, threshold=86400, availableNow=True).awaitTermination()
-    idle.finish_idle_alerts(feed, root, threshold=86400)
-    return ordered.released_rows(spark, root)
+    found = idle.idle_alerts_stream(feed, threshold=86400, clock=_clock(spark, sf))
+    return feeds.run_available(found, scratch_path(spark, "alerts"))
 
 
 @query(f"SELECT * FROM {LATEST_STATE}")
@@ -311,7 +316,5 @@ def pool_state_stream(spark, sf):
 @query(_EXPIRIES)
 def expire_idle_stream(spark, sf):
     feed = _feed(spark, pool_log(spark, sf), "transitions")
-    root = scratch_path(spark, "expired")
-    pool_streams.expire_idle_stream(feed, root, ttl=7200, availableNow=True).awaitTermination()
-    pool_streams.finish_expiries(feed, root, FAR, ttl=7200)
-    return ordered.released_rows(spark, root)
+    found = pool_streams.expire_idle_stream(feed, ttl=7200, clock=_clock(spark, sf))
+    return feeds.run_available(found, scratch_path(spark, "expired"))

@@ -2,73 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from corpusflow.operators.activity import IDLE_THRESHOLD, idle_episodes
-from corpusflow.streaming.ordered import finish_ordered, held_schema, start_ordered
+from corpusflow.functions.state import micros
+from corpusflow.operators.activity import IDLE_THRESHOLD
+from corpusflow.streaming.stateful import NO_SEQ, TICK, InOrder, held_seq, in_order, with_clock
 
-# Sorts a carried timer ahead of every sample of its entity.
-FIRST = -(1 << 63)
+SAMPLE = "us long, seq long, active boolean"
+OUT = "entity string, us long, seq long, active boolean, since_us long, alert boolean"
 
 
-COLUMNS = ["entity", "ts", "seq", "active"]
-CARRIED = "entity string, since_us long"
-# The latest instant a timestamp can be told apart from the ones after it.
-END_OF_TIME = (1 << 62) // 1000
+def idle_fold(threshold: int):
+    """The timer of one entity: starts with an inactive sample, alerts once it reaches ``threshold``."""
 
+    def fold(carried, rows, mark):
+        (since,) = carried
+        out = []
+        for us, seq, active in rows:
+            alert = False
+            if active:
+                since = None
+            elif since is None:
+                since = us
+            else:
+                alert = us - since >= threshold * 1_000_000
+            out.append((us, seq, active, since, alert))
+        return out, (since,), None
 
-def _rows(samples: DataFrame) -> DataFrame:
-    return samples.select(
-        F.col("entity").cast("string"),
-        F.col("ts").cast("timestamp").alias("ts"),
-        F.col("seq").cast("long"),
-        "active",
-    )
-
-
-def _release(threshold: int):
-    def release(due: DataFrame, carried: DataFrame, mark: int) -> DataFrame:
-        timers = carried.select(
-            "entity",
-            F.timestamp_micros("since_us").alias("ts"),
-            F.lit(FIRST).alias("seq"),
-            F.lit(False).alias("active"),
-            F.lit(True).alias("_timer"),
-        )
-        both = due.select(*COLUMNS, F.lit(False).alias("_timer")).unionByName(timers)
-        return idle_episodes(both, threshold=threshold).where("not _timer").drop("_timer")
-
-    return release
-
-
-def _carry(out: DataFrame, due: DataFrame, carried: DataFrame) -> DataFrame:
-    since = F.max_by(F.unix_micros("idle_since"), F.struct("ts", "seq"))
-    last = out.groupBy("entity").agg(since.alias("since_us"))
-    kept = carried.join(last.select("entity"), "entity", "left_anti")
-    return last.where("since_us is not null").unionByName(kept)
+    return fold
 
 
 def idle_alerts_stream(
-    samples: DataFrame,
-    root: str,
-    delay_seconds: int = 0,
-    threshold: int = IDLE_THRESHOLD,
-    **trigger,
-) -> StreamingQuery:
-    """Write every sample with ``idle_since``, ``idle_seconds`` and ``alert``.
-
-    The batch rule on the samples each trigger releases: ``entity``, ``ts``, ``seq``,
-    ``active``. What is carried is the start of each running timer, put in front of the
-    entity's next samples as one more inactive sample. The newest samples wait for later
-    ones; :func:`finish_idle_alerts` writes them when none will come.
+    samples: DataFrame, delay_seconds: int = 0, threshold: int = IDLE_THRESHOLD, clock: DataFrame | None = None
+) -> DataFrame:
+    """Every sample with ``idle_since``, ``idle_seconds`` and ``alert``, as the batch rule has them.
+
+    ``samples``: ``entity``, ``ts``, ``seq``, ``active``. A sample is written once the
+    watermark, the latest time seen less the delay, has passed it; ``clock`` (``ts``) moves it
+    on where no samples come. Samples without a time are dropped, later ones than the
+    watermark too.
     """
-    return start_ordered(
-        _rows(samples), root, "ts", delay_seconds, _release(threshold), _carry, CARRIED, **trigger
+    rows = samples.select(
+        F.col("entity").cast("string"), F.col("ts").cast("timestamp").alias("ts"), F.col("seq").cast("long"), "active"
+    )
+    timed = with_clock(rows, "ts", clock).withColumn("us", micros("ts"))
+    processor = InOrder("entity", SAMPLE, "since_us long", T.StructType.fromDDL(OUT), idle_fold(threshold))
+    found = in_order(timed.select("entity", "ts", "us", held_seq(), "active", TICK), "ts", delay_seconds, processor)
+    elapsed = (F.col("us") - F.col("since_us")) / F.lit(1_000_000.0)
+    return found.select(
+        "entity",
+        F.timestamp_micros("us").alias("ts"),
+        F.nullif("seq", F.lit(NO_SEQ)).alias("seq"),
+        "active",
+        F.timestamp_micros("since_us").alias("idle_since"),
+        elapsed.alias("idle_seconds"),
+        "alert",
     )
-
-
-def finish_idle_alerts(samples: DataFrame, root: str, threshold: int = IDLE_THRESHOLD) -> None:
-    """Write the samples that a stopped stream still holds. ``samples``: the stream or its like."""
-    schema = held_schema(_rows(samples), "ts")
-    finish_ordered(samples.sparkSession, root, schema, _release(threshold), _carry, CARRIED, END_OF_TIME)

@@ -3,15 +3,12 @@
 from __future__ import annotations
 
 import posixpath
-from datetime import datetime
 
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from corpusflow.functions.state import micros
-from corpusflow.operators.pool import POOL_TTL, STATUS_AFTER, idle_expiries, latest_state
-from corpusflow.streaming.idle import FIRST
-from corpusflow.streaming.ordered import finish_ordered, held_schema, start_ordered
+from corpusflow.operators.pool import POOL_TTL, STATUS_AFTER, TOUCHING, latest_state
+from corpusflow.streaming.stateful import TICK, InOrder, held_seq, in_order, with_clock
 
 
 def pool_state_stream(log: DataFrame, key="pod_name", event="event", ts="ts", tie="seq") -> DataFrame:
@@ -48,65 +45,55 @@ def keep_state(state: DataFrame, root: str, key: str = "pod_name") -> DataFrame:
     return spark.read.parquet(out).groupBy(key).agg(last).select(key, "_last.*")
 
 
-COLUMNS = ["pod_name", "event", "ts", "seq"]
-CARRIED = "pod_name string, event string, ts timestamp, told boolean"
+MOVE = "us long, seq long, event string"
+STATE = "status string, used_us long, told boolean"
+OUT = "pod_name string, used_us long"
 
 
-def _moves(log: DataFrame) -> DataFrame:
-    return log.where(F.col("event").isin(*STATUS_AFTER)).select(
-        F.col("pod_name").cast("string"),
-        "event",
-        F.col("ts").cast("timestamp").alias("ts"),
-        F.col("seq").cast("long"),
-    )
-
+def expiry_fold(ttl: int):
+    """State of one resource; tells each use once, when it is idle for longer than ``ttl`` after it."""
+    limit = ttl * 1_000_000
 
-def _with_carried(due: DataFrame, carried: DataFrame) -> DataFrame:
-    return due.select(*COLUMNS).unionByName(
-        carried.select("pod_name", "event", "ts", F.lit(FIRST).alias("seq"))
-    )
+    def fold(carried, rows, mark):
+        status, used, told = carried
+        out = []
 
+        def expire(now):
+            nonlocal told
+            if status == "idle" and used is not None and not told and now - used > limit:
+                out.append((used,))
+                told = True
 
-def _release(ttl: int):
-    def release(due: DataFrame, carried: DataFrame, mark: int) -> DataFrame:
-        told = carried.where("told").select("pod_name", F.col("ts").alias("last_used"))
-        found = idle_expiries(_with_carried(due, carried), mark, ttl=ttl)
-        return found.join(told, ["pod_name", "last_used"], "left_anti")
+        for us, _, event in rows:
+            expire(us)
+            status = STATUS_AFTER[event]
+            if event in TOUCHING:
+                used, told = us, False
+        expire(mark)
+        waits = status == "idle" and used is not None and not told
+        return out, (status, used, told), used + limit if waits else None
 
-    return release
+    return fold
 
 
-def _carry(out: DataFrame, due: DataFrame, carried: DataFrame) -> DataFrame:
-    state = latest_state(_with_carried(due, carried)).where("last_used is not null")
-    told = (
-        out.select("pod_name", "last_used")
-        .unionByName(carried.where("told").select("pod_name", F.col("ts").alias("last_used")))
-        .withColumn("told", F.lit(True))
+def expire_idle_stream(
+    log: DataFrame, delay_seconds: int = 0, ttl: int = POOL_TTL, clock: DataFrame | None = None
+) -> DataFrame:
+    """One row whenever a resource stays idle strictly longer than ``ttl`` seconds.
+
+    The rule of :func:`idle_expiries` on transitions (``pod_name``, ``event``, ``ts``,
+    ``seq``), with the watermark as the present. A timer at the end of the TTL expires a
+    resource that gets no more transitions; ``clock`` (``ts``) moves the present on where no
+    transitions come at all.
+    """
+    moves = log.where(F.col("event").isin(*STATUS_AFTER)).select(
+        F.col("pod_name").cast("string"), "event", F.col("ts").cast("timestamp").alias("ts"), F.col("seq").cast("long")
     )
-    return state.join(told, ["pod_name", "last_used"], "left").select(
+    timed = with_clock(moves, "ts", clock).withColumn("us", micros("ts"))
+    processor = InOrder("pod_name", MOVE, STATE, T.StructType.fromDDL(OUT), expiry_fold(ttl))
+    found = in_order(timed.select("pod_name", "ts", "us", held_seq(), "event", TICK), "ts", delay_seconds, processor)
+    return found.select(
         "pod_name",
-        F.when(F.col("status") == "idle", "succeeded").otherwise("assigned").alias("event"),
-        F.col("last_used").alias("ts"),
-        F.coalesce("told", F.lit(False)).alias("told"),
+        F.timestamp_micros("used_us").alias("last_used"),
+        F.timestamp_micros(F.col("used_us") + ttl * 1_000_000).alias("expired_at"),
     )
-
-
-def expire_idle_stream(
-    log: DataFrame, root: str, delay_seconds: int = 0, ttl: int = POOL_TTL, **trigger
-) -> StreamingQuery:
-    """Write one row whenever a resource stays idle strictly longer than ``ttl`` seconds.
-
-    The batch rule of :func:`idle_expiries` on the transitions each trigger releases
-    (``pod_name``, ``event``, ``ts``, ``seq``), with the watermark as the present.
-    Carried per resource: the event its state amounts to, at the time of its last use,
-    and whether that use was reported. :func:`finish_expiries` moves the present on when
-    no more transitions come.
-    """
-    return start_ordered(_moves(log), root, "ts", delay_seconds, _release(ttl), _carry, CARRIED, **trigger)
-
-
-def finish_expiries(log: DataFrame, root: str, now: datetime | str, ttl: int = POOL_TTL) -> None:
-    """Write what a stopped stream still holds, with ``now`` as the present."""
-    spark = log.sparkSession
-    mark = spark.range(1).select(micros(F.lit(now))).first()[0]
-    finish_ordered(spark, root, held_schema(_moves(log), "ts"), _release(ttl), _carry, CARRIED, mark)

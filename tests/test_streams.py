@@ -2,10 +2,9 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
-from pyspark.sql import functions as F
 
 from corpusflow.operators import activity as A, pool as P
-from corpusflow.streaming import feeds, idle, ordered, pool as S
+from corpusflow.streaming import feeds, idle, pool as S
 
 T0 = datetime(2024, 1, 1)
 END = datetime(2030, 1, 1)
@@ -24,69 +23,70 @@ def late_order(rows, rng, spread):
     return sorted(rows, key=lambda r: r[2 if isinstance(r[2], datetime) else 1] + timedelta(seconds=rng.uniform(0, spread)))
 
 
+SAMPLE = "entity string, ts timestamp, seq long, active boolean"
+MOVES = "pod_name string, event string, ts timestamp, seq long"
+EPISODE = ["entity", "ts", "seq", "active", "idle_since", "idle_seconds", "alert"]
+
+
+def tick(spark, path, at):
+    """A clock feed of one instant."""
+    spark.createDataFrame([(at,)], "ts timestamp").coalesce(1).write.mode("append").parquet(path)
+    return feeds.read_stream(spark, path, "ts timestamp")
+
+
+def in_seq(df, names=EPISODE):
+    return sorted((tuple(r[n] for n in names) for r in df.collect()), key=lambda r: (str(r[0]), r[2]))
+
+
 @pytest.mark.parametrize("turns", [1, 5])
 def test_idle_stream_equals_batch(spark, tmp_path, turns):
+    """One entity owns most rows, rows come out of order, and a null entity is an entity."""
     rng = random.Random(8)
     rows = []
     for i in range(1500):
-        entity = "hot" if rng.random() < 0.6 else f"e{rng.randrange(6)}"
-        rows.append((entity, T0 + timedelta(seconds=rng.randrange(400_000)), i, rng.random() < 0.1))
-    schema = "entity string, ts timestamp, seq long, active boolean"
-    want = A.idle_episodes(spark.createDataFrame(rows, schema), threshold=1800)
+        entity = "hot" if rng.random() < 0.6 else rng.choice([None, *(f"e{k}" for k in range(6))])
+        rows.append((entity, T0 + timedelta(seconds=rng.randrange(400_000)), i, rng.choice([None, False, False, False]) if rng.random() < 0.9 else True))
+    want = A.idle_episodes(spark.createDataFrame(rows, SAMPLE), threshold=1800)
     path = str(tmp_path / "in")
-    arrivals = late_order(rows, rng, 30_000) + [("end", END, -1, True)]
-    write_in_turns(spark, path, arrivals, schema, turns)
-    feed = feeds.read_stream(spark, path, schema, files_per_trigger=1)
-    root = str(tmp_path / "run")
-    idle.idle_alerts_stream(feed, root, 36_000, 1800, availableNow=True).awaitTermination()
-    got = ordered.released_rows(spark, root)
-    assert ordered.late_rows(spark, root).agg(F.sum("late")).first()[0] == 0
-    names = ["entity", "ts", "seq", "active", "idle_since", "idle_seconds", "alert"]
-    a = sorted((tuple(r[n] for n in names) for r in want.collect()), key=lambda r: (r[0], r[2]))
-    b = sorted((tuple(r[n] for n in names) for r in got.collect()), key=lambda r: (r[0], r[2]))
+    write_in_turns(spark, path, late_order(rows, rng, 30_000) + [("end", END, -1, True)], SAMPLE, turns)
+    feed = feeds.read_stream(spark, path, SAMPLE, files_per_trigger=1)
+    got = feeds.run_available(idle.idle_alerts_stream(feed, 36_000, 1800), str(tmp_path / "run"))
+    a, b = in_seq(want), in_seq(got)
     assert a == b and sum(r[6] for r in a) > 50
 
 
-def idle_step(spark, tmp_path, rows, delay=0):
-    """Add a file, process it, and return all alerts so far of entity ``a``."""
-    schema = "entity string, ts timestamp, seq long, active boolean"
-    path, root = str(tmp_path / "in"), str(tmp_path / "run")
-    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
-    feed = feeds.read_stream(spark, path, schema)
-    idle.idle_alerts_stream(feed, root, delay, availableNow=True).awaitTermination()
-    out = ordered.released_rows(spark, root).where("entity = 'a'").collect()
+def idle_step(spark, tmp_path, rows, delay=0, at=None):
+    """Add a file (and an instant), process them, and return all alerts so far of entity ``a``."""
+    path = str(tmp_path / "in")
+    spark.createDataFrame(rows, SAMPLE).coalesce(1).write.mode("append").parquet(path)
+    clock = tick(spark, str(tmp_path / "clock"), at or T0)
+    stream = idle.idle_alerts_stream(feeds.read_stream(spark, path, SAMPLE), delay, clock=clock)
+    out = feeds.run_available(stream, str(tmp_path / "run")).where("entity = 'a'").collect()
+    assert len({r["seq"] for r in out}) == len(out)
     return {r["seq"]: r["alert"] for r in out}
 
 
 def test_idle_stream_goes_on_after_a_restart(spark, tmp_path):
-    at = [T0 + timedelta(seconds=s) for s in (0, 100, 1800, 1900, 2000)]
+    at = [T0 + timedelta(seconds=s) for s in (1, 100, 1801, 1900, 2000)]
     assert idle_step(spark, tmp_path, [("a", at[0], 0, False), ("b", at[1], 9, True)]) == {0: False}
     # Nothing of ``a`` is released here; its timer is carried all the same.
     assert idle_step(spark, tmp_path, [("b", at[3], 10, True), ("a", at[2], 1, False)]) == {0: False, 1: True}
     assert idle_step(spark, tmp_path, [("b", at[4], 11, True)]) == {0: False, 1: True}
-    last = idle_step(spark, tmp_path, [("a", at[4], 2, False), ("end", END, -1, True)])
+    last = idle_step(spark, tmp_path, [("a", at[4] + timedelta(seconds=1), 2, False)], at=END)
     assert last == {0: False, 1: True, 2: True}
 
 
-def test_late_rows_are_dropped_and_counted(spark, tmp_path):
+def test_late_and_undated_rows_are_dropped(spark, tmp_path):
     at = [T0 + timedelta(seconds=s) for s in range(0, 500, 100)]
-    idle_step(spark, tmp_path, [("a", at[0], 0, False), ("a", at[4], 4, False)], delay=150)
-    got = idle_step(spark, tmp_path, [("a", at[2], 2, False), ("a", at[3], 3, True), ("end", END, -1, True)], delay=150)
+    idle_step(spark, tmp_path, [("a", at[0], 0, False), ("a", at[4], 4, False), ("a", None, 9, True)], delay=150)
+    got = idle_step(spark, tmp_path, [("a", at[2], 2, False), ("a", at[3], 3, True)], delay=150, at=END)
     assert sorted(got) == [0, 3, 4]
-    late = ordered.late_rows(spark, str(tmp_path / "run")).agg(F.sum("late")).first()[0]
-    assert late == 1
 
 
-def test_a_repeated_trigger_writes_the_same(spark, tmp_path):
-    at = [T0 + timedelta(seconds=s) for s in (0, 1800, 3600)]
-    idle_step(spark, tmp_path, [("a", at[0], 0, False), ("b", at[1], 9, True)])
-    idle_step(spark, tmp_path, [("a", at[1], 1, False), ("b", at[2], 10, True)])
-    commit = tmp_path / "run" / "checkpoint" / "commits" / "1"
-    commit.unlink()
-    (commit.parent / ".1.crc").unlink(missing_ok=True)
-    got = idle_step(spark, tmp_path, [("end", END, -1, True)])
-    assert got == {0: False, 1: True}
-    assert ordered.released_rows(spark, str(tmp_path / "run")).where("entity = 'b'").count() == 2
+def test_no_rows(spark, tmp_path):
+    spark.createDataFrame([], SAMPLE).write.parquet(str(tmp_path / "in"))
+    feed = feeds.read_stream(spark, str(tmp_path / "in"), SAMPLE)
+    assert feeds.run_available(idle.idle_alerts_stream(feed), str(tmp_path / "run")).count() == 0
 
 
 def plain_expiry(log, ttl, end):
@@ -129,19 +129,30 @@ def test_batch_expiry_equals_a_loop_with_a_hot_resource(spark, buckets, uses):
 def test_expiry_stream_equals_a_loop(spark, tmp_path, turns):
     rng = random.Random(9)
     log = make_log(rng, 800, 0.4)
-    schema = "pod_name string, event string, ts timestamp, seq long"
     path = str(tmp_path / "in")
-    arrivals = late_order(log, rng, 9_000) + [("end", "created", END, -1)]
-    write_in_turns(spark, path, arrivals, schema, turns)
-    feed = feeds.read_stream(spark, path, schema, files_per_trigger=1)
-    root = str(tmp_path / "run")
-    S.expire_idle_stream(feed, root, 10_800, 600, availableNow=True).awaitTermination()
-    got = ordered.released_rows(spark, root).collect()
+    write_in_turns(spark, path, late_order(log, rng, 9_000) + [("end", "created", END, -1)], MOVES, turns)
+    feed = feeds.read_stream(spark, path, MOVES, files_per_trigger=1)
+    got = feeds.run_available(S.expire_idle_stream(feed, 10_800, 600), str(tmp_path / "run")).collect()
     want = plain_expiry(log, 600, END)
     assert len(got) == len(want) and {(r["pod_name"], r["last_used"]) for r in got} == want
     assert all(r["expired_at"] == r["last_used"] + timedelta(seconds=600) for r in got)
 
 
+def test_a_timer_expires_a_resource_without_further_rows(spark, tmp_path):
+    path, clock, root = (str(tmp_path / n) for n in ("in", "clock", "run"))
+    at = [T0 + timedelta(seconds=s) for s in (10, 20, 620, 621)]
+    log = [("a", "assigned", at[0], 0), ("a", "succeeded", at[1], 1), ("b", "assigned", at[1], 2), (None, "succeeded", at[1], 3)]
+    spark.createDataFrame(log, MOVES).write.parquet(path)
+
+    def told(now):
+        feed = feeds.read_stream(spark, path, MOVES)
+        found = feeds.run_available(S.expire_idle_stream(feed, 0, 600, tick(spark, clock, now)), root)
+        return sorted(((r["pod_name"] or "", r["last_used"]) for r in found.collect()))
+
+    assert told(at[2]) == []  # idle for 600 s exactly
+    assert told(at[3]) == told(END) == [("", at[1]), ("a", at[1])]  # told once
+
+
 @pytest.mark.parametrize("turns", [1, 4])
 def test_pool_state_stream_equals_batch(spark, tmp_path, turns):
     rng = random.Random(10)
@@ -175,33 +186,3 @@ def test_stateless_streams(spark, tmp_path):
     assert [(r["sql"], r["prompt"]) for r in rows] == [
         ("TRANSLATE ENGLISH TO SQL: Q </S> TABLES: C", "translate English to SQL: q </s> Tables: c")
     ]
-
-
-def test_held_rows_are_written_once_and_finished(spark, tmp_path):
-    schema = "entity string, ts timestamp, seq long, active boolean"
-    path, root = str(tmp_path / "in"), str(tmp_path / "run")
-    sizes = []
-    for turn in range(5):
-        rows = [("a", T0 + timedelta(minutes=100 * turn + k), 100 * turn + k, k % 9 == 0) for k in range(100)]
-        rows.append((None, None, -1, False))
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
-        feed = feeds.read_stream(spark, path, schema)
-        idle.idle_alerts_stream(feed, root, 86_400, 300, availableNow=True).awaitTermination()
-        held = list((tmp_path / "run" / "held" / f"epoch={turn}").rglob("*.parquet"))
-        sizes.append(sum(f.stat().st_size for f in held))
-        assert ordered.released_rows(spark, root).count() == 0
-    assert max(sizes) < 2 * min(sizes)  # what a trigger writes does not grow with what is held
-    assert ordered.late_rows(spark, root).agg(F.sum("undated")).first()[0] == 5
-    idle.finish_idle_alerts(feed, root, 300)
-    got = ordered.released_rows(spark, root)
-    want = A.idle_episodes(spark.read.schema(schema).parquet(path).where("entity = 'a'"), threshold=300)
-    names = ["entity", "ts", "seq", "active", "idle_since", "idle_seconds", "alert"]
-    assert sorted(map(tuple, got.select(names).collect())) == sorted(map(tuple, want.select(names).collect()))
-
-
-def test_passed_hours_are_dropped(spark, tmp_path):
-    for turn in range(4):
-        at = T0 + timedelta(hours=5 * turn)
-        idle_step(spark, tmp_path, [("a", at, turn, False)], delay=60)
-    kept = {int(p.name.split("=")[1]) for p in (tmp_path / "run" / "held").glob("epoch=*/hour=*")}
-    assert len(kept) == 2  # the last hour, and the one that a repeated trigger would read
