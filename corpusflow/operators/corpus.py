@@ -1,13 +1,15 @@
-"""Chunks, sentences, token counts, class metrics, scaling and n-gram overlap of texts.
+"""Chunks, sentences, token counts, class metrics, scaling, n-gram and subsequence overlap of texts.
 
-Expressions and aggregates only. Words are runs of anything but blanks, tabs and line breaks.
+Expressions and aggregates, but for the longest common subsequence. Words are runs of anything but blanks, tabs and line breaks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 SPACES = r"[ \t\n\r]+"
 BREAK = "\x1e"  # between sentences while they are cut
@@ -133,3 +135,86 @@ def rouge(df: DataFrame, key: str, candidate: str, reference: str, n: int = 1) -
         share(both, wanted).alias("recall"),
         share(2 * both, claimed + wanted).alias("f1"),
     )
+
+
+LCS_BLOCK = 4096
+
+
+def common_subsequence(a: Sequence, b: Sequence) -> int:
+    """Length of the longest common subsequence of two sequences, bit-parallel.
+
+    Bits of ``row`` that are 0 mark the places of ``a`` where the length grows; each item of
+    ``b`` moves them by one addition. ``a`` is taken in blocks of LCS_BLOCK places, whose
+    carries, one for each item of ``b``, pass to the next block: len(a) * len(b) / 64 machine
+    words of work, and LCS_BLOCK * LCS_BLOCK / 8 + len(b) bytes at most.
+    """
+    length = 0
+    carries = bytearray(len(b))
+    for at in range(0, len(a), LCS_BLOCK):
+        places: dict = {}
+        for k, item in enumerate(a[at : at + LCS_BLOCK]):
+            places[item] = places.get(item, 0) | 1 << k
+        size = min(LCS_BLOCK, len(a) - at)
+        full = (1 << size) - 1
+        row = full
+        for j, item in enumerate(b):
+            held = places.get(item, 0) & row
+            if held or carries[j]:
+                moved = row + held + carries[j]
+                carries[j] = moved >> size
+                row = (moved | (row & ~held)) & full
+        length += size - row.bit_count()
+    return length
+
+
+def _subsequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        pairs = zip(batch.column("_c"), batch.column("_r"))
+        found = [common_subsequence(c.as_py() or [], r.as_py() or []) for c, r in pairs]
+        sizes = [[len(x) if x.is_valid else 0 for x in batch.column(n)] for n in ("_c", "_r")]
+        columns = [batch.column(0), *(pa.array(x, pa.int64()) for x in (found, *sizes))]
+        yield pa.RecordBatch.from_arrays(columns, [batch.schema.names[0], "_both", "_claimed", "_wanted"])
+
+
+def rouge_l(df: DataFrame, key: str, candidate: str, reference: str) -> DataFrame:
+    """Precision, recall and F1 of the longest common subsequence of lower-case words per ``key``.
+
+    A text without words, or null, shares nothing.
+    """
+    words = lambda c: F.transform(word_list(c), F.lower)
+    sides = df.select(key, words(candidate).alias("_c"), words(reference).alias("_r"))
+    kind = df.schema[key].dataType.simpleString()
+    sums = sides.mapInArrow(_subsequences, f"`{key}` {kind}, _both long, _claimed long, _wanted long")
+    share = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
+    both, claimed, wanted = F.col("_both"), F.col("_claimed"), F.col("_wanted")
+    return sums.select(
+        key,
+        share(both, claimed).alias("precision"),
+        share(both, wanted).alias("recall"),
+        share(2 * both, claimed + wanted).alias("f1"),
+    )
+
+
+def build_vocab(df: DataFrame, size: int, text: str = "text") -> DataFrame:
+    """``word``, ``id``, ``n``: the ``size`` most frequent words, equal counts by word.
+
+    Ids start at 2; 0 is padding and 1 stands for every other word. Counting combines before
+    the shuffle; only the ``size`` rows that stay are numbered together.
+    """
+    counts = df.select(F.explode(word_list(text)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    order = [F.desc("n"), F.asc("word")]
+    most = counts.orderBy(*order).limit(size)
+    return most.select("word", (F.row_number().over(Window.orderBy(*order)) + 1).alias("id"), "n")
+
+
+def vocab_encoder(vocab: DataFrame):
+    """A loader for ``encode_text`` over a table of :func:`build_vocab`, which bounds what is collected."""
+    ids = {r.word: r.id for r in vocab.select("word", "id").collect()}
+
+    def load():
+        def encode(texts: Sequence[str]) -> list[list[int]]:
+            return [[ids.get(w, 1) for w in re.split(SPACES, t) if w] for t in texts]
+
+        return encode
+
+    return load

@@ -69,6 +69,33 @@ def pool_stats(state: DataFrame, status="status", fingerprint="config_hash") ->
     )
 
 
+# Registers of a sketch as a power of two: a relative standard error of 1.04 / sqrt(2^14), 0.8 %.
+SKETCH_BITS = 14
+
+
+def pool_sketches(state: DataFrame, by, status="status", fingerprint="config_hash") -> DataFrame:
+    """Rollup for large sets: per value of ``by`` the counts and a sketch of the configs.
+
+    Sketches of a fixed size merge, so parts of a pool, or hours, are rolled up without their rows.
+    """
+    return state.groupBy(by).agg(
+        F.count("*").alias("total_pods"),
+        F.count_if(F.col(status) == "idle").alias("idle_pods"),
+        F.count_if(F.col(status) == "busy").alias("busy_pods"),
+        F.hll_sketch_agg(fingerprint, F.lit(SKETCH_BITS)).alias("configs"),
+    )
+
+
+def merge_sketches(parts: DataFrame, *by) -> DataFrame:
+    """One row per value of ``by`` from the parts of :func:`pool_sketches`, with ``config_count`` estimated."""
+    return parts.groupBy(*by).agg(
+        F.coalesce(F.sum("total_pods"), F.lit(0)).alias("total_pods"),
+        F.coalesce(F.sum("idle_pods"), F.lit(0)).alias("idle_pods"),
+        F.coalesce(F.sum("busy_pods"), F.lit(0)).alias("busy_pods"),
+        F.coalesce(F.hll_sketch_estimate(F.hll_union_agg("configs")), F.lit(0)).alias("config_count"),
+    )
+
+
 def pool_configs(state: DataFrame, fingerprint="config_hash") -> DataFrame:
     """The set of configs in the pool, one per row: it can outgrow a single value."""
     return state.select(fingerprint).distinct()

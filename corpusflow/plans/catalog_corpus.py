@@ -1,10 +1,10 @@
-"""Queries: chunks, sentences, token counts, class metrics, scaling, n-gram overlap."""
+"""Queries: chunks, sentences, token counts, vocabulary, class metrics, scaling, overlap, neighbours."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusflow.operators import corpus
+from corpusflow.operators import corpus, prepare, vectors
 from corpusflow.plans.registry import query
 from corpusflow.sources.tables import read_table
 
@@ -100,3 +100,66 @@ def rouge_1(spark, sf):
 @query(_rouge_sql("w[i] || ' ' || w[i + 1]", 2))
 def rouge_2(spark, sf):
     return corpus.rouge(_shifted(spark, sf), "doc_id", "text", "reference", 2)
+
+
+_TURN = WORDS.replace("text", "coalesce(text, '')")
+
+
+@query(f"""
+WITH RECURSIVE t AS (SELECT conv_id, turn, list_transform({_TURN}, lambda x: lower(x)) AS w FROM conversations),
+     p AS (SELECT t.conv_id, t.turn, t.w AS c, coalesce(b.w, []) AS r FROM t
+           LEFT JOIN t b ON b.conv_id = t.conv_id AND b.turn = t.turn - 1),
+     l AS (SELECT conv_id, turn, 0 AS i, c, r, list_transform(range(len(r) + 1), lambda x: 0) AS l FROM p
+           UNION ALL
+           SELECT conv_id, turn, i + 1, c, r, list_prepend(0, list_transform(range(1, len(r) + 1), lambda j: list_max(m[1:j])))
+           FROM (SELECT *, list_transform(range(1, len(r) + 1), lambda j: CASE WHEN r[j] = c[i + 1] THEN l[j] + 1 ELSE l[j + 1] END) AS m
+                 FROM l WHERE i < len(c)))
+SELECT conv_id * 1000 + turn AS row_id, CASE WHEN len(c) > 0 THEN l[-1] / len(c) ELSE 0 END AS precision,
+       CASE WHEN len(r) > 0 THEN l[-1] / len(r) ELSE 0 END AS recall,
+       CASE WHEN len(c) + len(r) > 0 THEN 2 * l[-1] / (len(c) + len(r)) ELSE 0 END AS f1
+FROM l WHERE i = len(c)""")
+def rouge_l(spark, sf):
+    """Each turn with the one before it as its reference."""
+    turns = read_table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("reference"))
+    row = (F.col("conv_id") * 1000 + F.col("turn")).alias("row_id")
+    pairs = turns.join(before, ["conv_id", "turn"], "left").select(row, "text", "reference")
+    return corpus.rouge_l(pairs, "row_id", "text", "reference")
+
+
+_VOCAB = f"""(SELECT word, (row_number() OVER (ORDER BY n DESC, word) + 1)::INT AS id, n
+  FROM (SELECT word, count(*) AS n FROM (SELECT unnest({WORDS}) AS word FROM documents) GROUP BY word
+        ORDER BY n DESC, word LIMIT 2000))"""
+
+
+@query(f"SELECT * FROM {_VOCAB}")
+def build_vocab(spark, sf):
+    return corpus.build_vocab(read_table(spark, sf, "documents"), 2000)
+
+
+@query(f"""
+WITH v AS {_VOCAB},
+     w AS (SELECT doc_id, unnest({WORDS}) AS word, unnest(range(1, len({WORDS}) + 1)) AS i FROM documents),
+     e AS (SELECT doc_id, list(coalesce(id, 1) ORDER BY i) AS ids FROM w LEFT JOIN v USING (word) WHERE i <= 512 GROUP BY doc_id)
+SELECT doc_id, array_to_string(list_resize(coalesce(ids, []), 512, 0), ' ') AS input_ids
+FROM documents LEFT JOIN e USING (doc_id)""")
+def encode_vocab(spark, sf):
+    """Word ids of a vocabulary that is built from the same texts."""
+    docs = read_table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("input_text"), F.lit("").alias("target_text"))
+    load = corpus.vocab_encoder(corpus.build_vocab(docs, 2000, "input_text"))
+    encoded = prepare.encode_text(docs, load)
+    return encoded.select("doc_id", F.array_join("input_ids", " ").alias("input_ids"))
+
+
+@query("""
+SELECT query, rank::INT AS rank, vec_id, round(distance, 6) AS distance FROM (
+  SELECT q.vec_id AS query, v.vec_id, list_distance(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS distance,
+         row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), v.vec_id) AS rank
+  FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0)
+WHERE rank <= 10""")
+def knn(spark, sf):
+    """The stated queries, every row whose id is divisible by 20, against all rows."""
+    rows = read_table(spark, sf, "embeddings")
+    asked = rows.where("vec_id % 20 = 0")
+    found = vectors.knn(asked, rows, 10, "vec_id", "vec_id", "embedding")
+    return found.select("query", "rank", F.col("id").alias("vec_id"), F.round("distance", 6).alias("distance"))

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,3 +58,39 @@ def test_no_rows(spark, texts):
     none = texts.where(F.lit(False))
     assert C.chunk_text(none, 3).count() == C.split_sentences(none).count() == 0
     assert C.rouge(none.withColumn("r", F.lit("x")), "doc_id", "text", "r").count() == 0
+
+
+def plain_lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(new[j], row[j + 1]))
+        row = new
+    return row[-1]
+
+
+@pytest.mark.parametrize("block", [3, 64, 4096])
+def test_common_subsequence_equals_the_table(monkeypatch, block):
+    monkeypatch.setattr(C, "LCS_BLOCK", block)
+    rng = random.Random(1)
+    for _ in range(60):
+        a, b = (rng.choices("abcde"[: rng.randint(1, 5)], k=rng.randint(0, 90)) for _ in range(2))
+        assert C.common_subsequence(a, b) == plain_lcs(a, b)
+
+
+def test_rouge_l(spark):
+    rows = [(1, "The cat sat on it", "the cat lay on"), (2, "", "x"), (3, None, None), (4, "a\nb", "A b"), (5, "b a", "a b")]
+    rows += [(6, "x " * 5000 + "y", "x " * 5000), (6, "y", "y")]
+    got = sorted(map(tuple, C.rouge_l(spark.createDataFrame(rows, "k int, c string, r string"), "k", "c", "r").collect()))
+    assert got[:5] == [(1, 0.6, 0.75, pytest.approx(2 / 3)), (2, 0.0, 0.0, 0.0), (3, 0.0, 0.0, 0.0), (4, 1.0, 1.0, 1.0), (5, 0.5, 0.5, 0.5)]
+    assert got[5][1:] == (pytest.approx(5000 / 5001), 1.0, pytest.approx(10000 / 10001)) and got[6][1:] == (1.0, 1.0, 1.0)
+
+
+def test_vocabulary(spark, texts):
+    hot = spark.createDataFrame([(9, "the " * 500 + "End one one")], texts.schema).union(texts)
+    vocab = [tuple(r) for r in C.build_vocab(hot, 4).orderBy("id").collect()]
+    assert vocab == [("the", 2, 500), ("one", 3, 3), ("End", 4, 2), ("Fine!", 5, 1)]
+    encode = C.vocab_encoder(C.build_vocab(hot, 4))()
+    assert encode(["one  the x\nEnd", ""]) == [[3, 2, 1, 4], []]
+    assert C.build_vocab(texts.where("doc_id = 3"), 4).count() == 0
