@@ -87,7 +87,10 @@ def pool_sketches(state: DataFrame, by, status="status", fingerprint="config_has
 
 
 def merge_sketches(parts: DataFrame, *by) -> DataFrame:
-    """One row per value of ``by`` from the parts of :func:`pool_sketches`, with ``config_count`` estimated."""
+    """One row per value of ``by`` from the parts of :func:`pool_sketches`, with ``config_count`` estimated.
+
+    The estimate of merged sketches may differ from that of one sketch of all rows, within the error.
+    """
     return parts.groupBy(*by).agg(
         F.coalesce(F.sum("total_pods"), F.lit(0)).alias("total_pods"),
         F.coalesce(F.sum("idle_pods"), F.lit(0)).alias("idle_pods"),
