@@ -15,8 +15,9 @@ told beforehand, so a frequent shingle crosses the shuffle once a batch.
 
 Pairs are not listed inside a file (the classes with one shingle in their prefix). Each file
 is compared with its least class, then, where several components are left, with a class drawn
-for the file, in several rounds; of what is left only classes of different components are
-paired. So a group of near copies costs as much as it has members, and no link is lost.
+for the file, in several rounds, in which each class verifies one likely partner; of what is
+left all likely pairs of different components are verified. So a group of near copies costs
+as much as it has members, and no link is lost.
 
 Wherever classes meet, a parity signature is compared as well: each shingle turns one of 1,024
 bits, so two sets differ in at least as many shingles as their signatures in bits, and sets of
@@ -45,6 +46,7 @@ NEED, OF = 80, 100
 BUCKET_TOKENS = 2_000_000
 PIECE_BYTES = 4 << 20
 BROADCAST_ROWS = 500_000
+BROADCAST_SIGNED = 100_000  # rows of a signature and a few numbers: 15 MB
 PARITY = 16  # longs of a signature
 DRAWS = 3  # rounds in which a file's classes are compared with one drawn for it
 MANY = 0xFFFF  # stands for the documents of a shingle that is repeated inside a batch
@@ -298,19 +300,30 @@ def links(heads: DataFrame, sets: DataFrame) -> DataFrame:
     """``node``, ``root`` of the classes that links join. Both tables are read several times."""
     files = stored(heads.select("node", F.explode("rare").alias("token")), "jaccard-files")
     signed = heads.select("node", "n", *(F.get("parity", F.lit(k)).alias(f"p{k}") for k in range(PARITY)))
+    signatures = signed.count()
+
+    def sign(df: DataFrame, node: str, side: str) -> DataFrame:
+        """Add size and signature of a class as a struct ``side``."""
+        rows = signed.select(F.col("node").alias(node), F.struct(*signed.columns).alias(side))
+        return join_few(df, rows, node, signatures, BROADCAST_SIGNED, "inner")
+
     found, roots = None, None
     for draw in range(DRAWS + 1):
-        x = _mixed(files, roots, signed)
-        drawn = F.min_by("node", F.xxhash64("token", "node", F.lit(draw))) if draw else F.min("node")
-        heads_of = x.groupBy("token").agg(drawn.alias("node"))
-        y = heads_of.join(_placed(signed, roots), "node")
-        new = stored(verified(_met_pairs(x, y, F.lit(True)), heads, sets), "jaccard-links")
+        mixed = _mixed(files, roots)
+        by = F.xxhash64("token", "node", F.lit(draw)) if draw else F.col("node")
+        ends = mixed.groupBy("token").agg(F.min(F.struct(by.alias("by"), F.col("node").alias("head"), F.col("root").alias("other"))).alias("_end"))
+        met = mixed.join(ends, "token").filter(F.col("root") != F.col("_end.other"))
+        met = met.select(F.col("node").alias("a"), F.col("_end.head").alias("b")).distinct()
+        likely = sign(sign(met, "a", "x"), "b", "y").filter(_likely("x", "y"))
+        one = likely.groupBy("a").agg(F.min_by("b", F.xxhash64("a", "b", F.lit(draw))).alias("b"))
+        new = stored(verified(one, heads, sets), "jaccard-links")
         found = new if found is None else found.union(new)
         roots = stored(graph.components(found), "jaccard-roots")
-    mixed = _mixed(files, roots, signed)
+    mixed = _mixed(files, roots)
     sizes = mixed.groupBy("token", "root").agg(F.count(F.lit(1)).alias("held"))
     main = sizes.groupBy("token").agg(F.max_by("root", F.struct("held", "root")).alias("main"))
-    rest = stored(mixed.join(main, "token"), "jaccard-rest")
+    rest = sign(mixed.join(main, "token"), "node", "s").select("token", "root", "main", "s.*")
+    rest = stored(rest, "jaccard-rest")
     once = (F.col("y.root") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))
     last = stored(verified(_met_pairs(rest.filter("root <> main"), rest, once), heads, sets), "jaccard-links")
     return graph.components(found.union(last))
@@ -331,11 +344,11 @@ def _placed(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
     return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def _mixed(files: DataFrame, roots: DataFrame | None, signed: DataFrame) -> DataFrame:
-    """The files with several components, with sizes and signatures."""
+def _mixed(files: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """The files that still hold several components."""
     placed = _placed(files, roots)
     several = placed.groupBy("token").agg(F.min("root").alias("_l"), F.max("root").alias("_h")).filter("_l <> _h")
-    return stored(placed.join(several.select("token"), "token").join(signed, "node"), "jaccard-mixed")
+    return stored(placed.join(several.select("token"), "token"), "jaccard-mixed")
 
 
 def near_documents(documents: DataFrame) -> DataFrame:
