@@ -19,6 +19,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 BUCKET_BYTES = 256 << 20
 SAMPLES_PER_BUCKET = 32
 
+APART = ("_tie", "_more", "_copy")
+COPIES = 100_000
+
 # Up to this many rows a sorted limit finds its candidates by itself.
 TOP_ROWS = 1_000
 
@@ -198,8 +201,8 @@ def aligned_ordinal(
     partitioned by it, and a run never crosses one, so work per run that also partitions
     by ``_bucket`` needs no second shuffle.
 
-    Keys that repeat are told apart by a hash of the whole row. Rows that are equal in
-    every column where a bucket has to begin cannot be, which is an error.
+    Keys that repeat where a bucket has to begin are told apart by hashes of the whole row,
+    and equal rows, which may stand for each other, by their number (:func:`_told_apart`).
     """
     total, size = _measure(df)
     width = _width(df, size, buckets)
@@ -210,17 +213,35 @@ def aligned_ordinal(
     found = {r["_at"]: r["key"].asDict() for r in edges.select("_at", _sort_key(edges, keys).alias("key")).collect()}
     begins = [at for at in sorted(found) if at and at % step == 0]
     if any(found[at] == found.get(at - 1) for at in begins):
-        if "_tie" in keys:
-            raise ValueError("equal rows where a bucket begins: add a column that tells them apart")
-        hashed = [f"`{f.name}`" for f in df.schema if not isinstance(f.dataType, T.MapType)]
-        tied = df.withColumn("_tie", F.xxhash64(*hashed))
-        return aligned_ordinal(tied, [*keys, "_tie"], unit, name, width).drop("_tie")
+        apart = aligned_ordinal(_told_apart(df), [*keys, *APART], unit, name, width)
+        return apart.drop(*APART)
     cuts = [found[at] for at in begins]
     within = F.row_number().over(Window.partitionBy("_bucket").orderBy(*keys))
     position = F.col("_bucket").cast("long") * step + within - 1
     return in_buckets(with_bucket(df, keys, cuts), cuts).withColumn(name, position)
 
 
+def _told_apart(df: DataFrame) -> DataFrame:
+    """Add the columns ``APART``, which no two rows have in common: 128 bits of hash and a number
+    among equal rows.
+
+    Equal rows are counted, which combines before the shuffle, and then laid out again by
+    number, ``COPIES`` in one go, so that a row of which there are very many is no single task.
+    """
+    names = [f"`{n}`" for n in df.columns]
+    plain = [
+        F.array_sort(F.map_entries(n)) if isinstance(f.dataType, T.MapType) else F.col(n) for n, f in zip(names, df.schema)
+    ]
+    # A null says where it stands, so that (null, 1) and (1, null) differ.
+    hashed = F.struct(*[F.struct(F.lit(k).alias("at"), c.isNull().alias("none"), c.alias("value")) for k, c in enumerate(plain)])
+    tie, more = F.xxhash64(hashed), F.xxhash64(F.lit("more"), hashed)
+    counted = df.groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
+    runs = counted.withColumn("_run", F.explode(F.sequence(F.lit(0), F.col("_n") - 1, F.lit(COPIES))))
+    runs = runs.withColumns({"_tie": tie, "_more": more}).repartition("_tie", "_run")
+    last = F.least(F.col("_run") + COPIES, F.col("_n")) - 1
+    return runs.withColumn("_copy", F.explode(F.sequence(F.col("_run"), last))).select(*names, *APART)
+
+
 def group_ordinal(
     df: DataFrame,
     group: Sequence[str],

@@ -84,6 +84,20 @@ def shards_ties(spark, sf):
     )
 
 
+@query("""
+SELECT shard_id, l_returnflag, l_linestatus, count(*) AS "rows"
+FROM (SELECT l_returnflag, l_linestatus, (row_number() OVER (ORDER BY l_returnflag, l_linestatus) - 1) // 10000 AS shard_id
+      FROM lineitem)
+GROUP BY ALL""")
+def shards_equal_rows(spark, sf):
+    """Shards of a table in which only a few rows differ: equal rows are cut by number."""
+    path = scratch_path(spark, "shards-equal-rows")
+    flags = read_table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus")
+    tables.write_shards(flags, path, ["l_returnflag", "l_linestatus"])
+    back = spark.read.parquet(path).groupBy("shard_id", "l_returnflag", "l_linestatus")
+    return back.agg(F.count(F.lit(1)).alias("rows")).withColumn("shard_id", F.col("shard_id").cast("long"))
+
+
 @query("""
 SELECT l.o_orderkey, r.c_custkey, l.ord
 FROM (SELECT *, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS ord FROM orders) l

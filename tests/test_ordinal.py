@@ -170,11 +170,41 @@ def test_repeated_keys_get_exact_positions(spark):
     placed = O.aligned_ordinal(df, ["k"], 16).collect()
     assert sorted(r["ord"] for r in placed) == list(range(5000))
     assert [r["k"] for r in sorted(placed, key=lambda r: r["ord"])] == sorted(r["k"] for r in placed)
-    with pytest.raises(ValueError, match="equal rows"):
-        O.aligned_ordinal(df.select("k"), ["k"], 16)
+    assert sorted(r.ord for r in O.aligned_ordinal(df.select("k"), ["k"], 16).collect()) == list(range(df.count()))
 
 
 def test_a_slice_cannot_begin_inside_equal_keys(spark):
     df = spark.range(100).select(F.lit(1).alias("k"), "id")
     with pytest.raises(Exception, match="key repeats"):
         O.tail_where(df, F.lit(10), ["k"]).collect()
+
+
+@pytest.mark.parametrize("copies", [100_000, 7])
+def test_equal_rows_are_numbered(spark, monkeypatch, copies):
+    """One row holds most of the table; nulls, maps, and rows that differ in a map only."""
+    monkeypatch.setattr(O, "COPIES", copies)
+    rows = [(1, None, {"a": 1})] * 400 + [(None, 1, {"a": 1})] * 90 + [(1, None, {"a": 2, "b": 3})] * 70 + [(1, 2, None)] * 3
+    df = spark.createDataFrame(rows, "k long, v long, m map<string,int>").repartition(5)
+    placed = O.aligned_ordinal(df, ["k"], 10).collect()
+    assert placed[0].asDict().keys() == {"k", "v", "m", "_bucket", "ord"}
+    assert sorted(r.ord for r in placed) == list(range(len(rows)))
+    kinds = lambda rs: sorted(str((r[0], r[1], sorted((r[2] or {}).items()))) for r in rs)
+    assert kinds(placed) == kinds(rows)
+    assert all(r.k is None for r in placed if r.ord < 90)
+    owners = {}
+    for r in placed:
+        owners.setdefault(r.ord // 10, set()).add(r._bucket)
+    assert all(len(b) == 1 for b in owners.values()) and len({r._bucket for r in placed}) > 1
+
+
+def test_shards_and_batches_of_equal_rows(spark, tmp_path):
+    from corpusflow.operators.prepare import collate_batches
+    from corpusflow.sources import tables
+
+    rows = spark.range(25_000).select(F.lit("same").alias("text"))
+    tables.write_shards(rows, str(tmp_path / "out"), ["text"])
+    sizes = {r.shard_id: r["count"] for r in spark.read.parquet(str(tmp_path / "out")).groupBy("shard_id").count().collect()}
+    assert sizes == {0: 10_000, 1: 10_000, 2: 5_000}
+    ids = spark.range(1_000).select(F.array(F.lit(1), F.lit(2)).alias("input_ids"), F.lit("t").alias("k"))
+    batches = collate_batches(ids, ["k"], {"input_ids": 0}, 16).groupBy("batch").count().collect()
+    assert sorted(r["count"] for r in batches) == [8] + [16] * 62
