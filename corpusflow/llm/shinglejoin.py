@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.llm import graph, wordbytes
-from corpusflow.llm.store import join_few, stored
+from corpusflow.llm.store import in_tasks, join_few, stored
 
 SHINGLE = 5
 NEED, OF = 80, 100
@@ -49,6 +49,7 @@ BROADCAST_ROWS = 500_000
 BROADCAST_SIGNED = 100_000  # rows of a signature and a few numbers: 15 MB
 PARITY = 16  # longs of a signature
 DRAWS = 3  # rounds in which a file's classes are compared with one drawn for it
+ROWS_A_TASK = 200_000  # of narrow tables, which the rounds read again and again
 MANY = 0xFFFF  # stands for the documents of a shingle that is repeated inside a batch
 WORD_BYTES = wordbytes.byte_class([(0x20, 0x20), (0x09, 0x0D)])
 BATCH_ROWS = 10_000
@@ -298,7 +299,7 @@ def verified(pairs: DataFrame, heads: DataFrame, sets: DataFrame) -> DataFrame:
 
 def links(heads: DataFrame, sets: DataFrame) -> DataFrame:
     """``node``, ``root`` of the classes that links join. Both tables are read several times."""
-    files = stored(heads.select("node", F.explode("rare").alias("token")), "jaccard-files")
+    files = _dense(stored(heads.select("node", F.explode("rare").alias("token")), "jaccard-files"))
     signed = heads.select("node", "n", *(F.get("parity", F.lit(k)).alias(f"p{k}") for k in range(PARITY)))
     signatures = signed.count()
 
@@ -307,7 +308,7 @@ def links(heads: DataFrame, sets: DataFrame) -> DataFrame:
         rows = signed.select(F.col("node").alias(node), F.struct(*signed.columns).alias(side))
         return join_few(df, rows, node, signatures, BROADCAST_SIGNED, "inner")
 
-    found, roots = None, None
+    roots = None
     for draw in range(DRAWS + 1):
         mixed = _mixed(files, roots)
         by = F.xxhash64("token", "node", F.lit(draw)) if draw else F.col("node")
@@ -316,9 +317,7 @@ def links(heads: DataFrame, sets: DataFrame) -> DataFrame:
         met = met.select(F.col("node").alias("a"), F.col("_end.head").alias("b")).distinct()
         likely = sign(sign(met, "a", "x"), "b", "y").filter(_likely("x", "y"))
         one = likely.groupBy("a").agg(F.min_by("b", F.xxhash64("a", "b", F.lit(draw))).alias("b"))
-        new = stored(verified(one, heads, sets), "jaccard-links")
-        found = new if found is None else found.union(new)
-        roots = stored(graph.components(found), "jaccard-roots")
+        roots = _joined(roots, stored(verified(one, heads, sets), "jaccard-links"))
     mixed = _mixed(files, roots)
     sizes = mixed.groupBy("token", "root").agg(F.count(F.lit(1)).alias("held"))
     main = sizes.groupBy("token").agg(F.max_by("root", F.struct("held", "root")).alias("main"))
@@ -326,7 +325,18 @@ def links(heads: DataFrame, sets: DataFrame) -> DataFrame:
     rest = stored(rest, "jaccard-rest")
     once = (F.col("y.root") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))
     last = stored(verified(_met_pairs(rest.filter("root <> main"), rest, once), heads, sets), "jaccard-links")
-    return graph.components(found.union(last))
+    return _joined(roots, last)
+
+
+def _dense(table: DataFrame) -> DataFrame:
+    """A stored table, read by no more tasks than its rows fill."""
+    return in_tasks(table, max(1, -(-table.count() // ROWS_A_TASK)))
+
+
+def _joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The components of earlier ones, as links of their members to the root, and new links."""
+    both = links if roots is None else links.union(roots.select("node", "root"))
+    return _dense(stored(graph.components(both, ROWS_A_TASK), "jaccard-roots"))
 
 
 def _met_pairs(x: DataFrame, y: DataFrame, more: Column) -> DataFrame:
@@ -348,7 +358,7 @@ def _mixed(files: DataFrame, roots: DataFrame | None) -> DataFrame:
     """The files that still hold several components."""
     placed = _placed(files, roots)
     several = placed.groupBy("token").agg(F.min("root").alias("_l"), F.max("root").alias("_h")).filter("_l <> _h")
-    return stored(placed.join(several.select("token"), "token"), "jaccard-mixed")
+    return _dense(stored(placed.join(several.select("token"), "token"), "jaccard-mixed"))
 
 
 def near_documents(documents: DataFrame) -> DataFrame:

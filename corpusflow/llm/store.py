@@ -35,6 +35,11 @@ def join_few(df: DataFrame, few: DataFrame, on: list[str], rows: int, bound: int
     return df.join(F.broadcast(few) if rows <= bound else few, on, how)
 
 
+def in_tasks(df: DataFrame, tasks: int | None) -> DataFrame:
+    """``df`` in at most ``tasks`` partitions, where a number is given."""
+    return df if tasks is None else df.coalesce(tasks)
+
+
 def let(value, body):
     """``body(value)`` with ``value`` computed once per row, also where body uses it in loops.
 

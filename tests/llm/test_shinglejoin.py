@@ -2,8 +2,8 @@ import random
 
 import pytest
 
+from corpusflow.llm import graph, wordbytes
 from corpusflow.llm import shinglejoin as J
-from corpusflow.llm import wordbytes
 from llm.conftest import DOCUMENTS, prose
 
 
@@ -98,3 +98,13 @@ def test_the_first_filter_keeps_what_can_have_a_partner(spark, monkeypatch):
 def test_few_rows(spark, rows):
     df = spark.createDataFrame(rows, DOCUMENTS.split(", lang")[0])
     assert got(J.near_documents(df)) == plain_components(rows)
+
+
+@pytest.mark.parametrize("rows_a_task", [None, 3, 1_000_000])
+def test_components_in_any_number_of_tasks(spark, rows_a_task):
+    """A chain, a star and a repeated link; few links are joined in one task, without a shuffle."""
+    links = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 120)] + [(7, 8), (5, 5), (300, 200)]
+    df = spark.createDataFrame(links, "a long, b long").repartition(6)
+    found = {r.node: r.root for r in graph.components(df, rows_a_task).collect()}
+    assert found == {**{k: 0 for k in range(1, 41)}, **{k: 100 for k in range(101, 120)}, 300: 200}
+    assert graph.components(df.filter("a < 0"), rows_a_task).count() == 0
