@@ -1,16 +1,22 @@
-"""Exact nearest neighbours of a set of query vectors, pruned by distances to pivots.
+"""Nearest neighbours of a set of query vectors: exact by pivots, approximate by hashed signs.
 
-Every vector is filed under its nearest pivot. By the triangle inequality a vector v of the
+:func:`knn`: every vector is filed under its nearest pivot. By the triangle inequality a vector v of the
 file of pivot p is no nearer to a query q than \\|d(q, p) - d(v, p)\\|, and the file as a whole no
 nearer than d(q, p) less its radius. Queries first meet the file of their nearest pivot, which
 gives each a k-th distance; then only the files that may still hold a nearer vector, and in
 them only the vectors that may be one. Files are cut into blocks of bounded size, and the
 queries that come to a block into portions, so no task grows with a file; each block answers
 with k rows a query.
+
+:func:`knn_approx`: a table of codes holds one bit a plane, the side of the mean a vector lies on.
+A query looks in all buckets of a table that agree with it in the planes it lies farthest from.
+Full buckets are cut into blocks in the same way, so none is capped.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -98,7 +104,7 @@ def _answers(k: int):
 def _met(asks: DataFrame, filed: DataFrame, blocks: DataFrame, k: int, schema: str) -> DataFrame:
     """Queries (id, vector, pivot, base, limit) against the blocks of their pivots' files."""
     portion = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-asks.count() // PORTION_ROWS)))).alias("portion")
-    numbered = asks.join(F.broadcast(blocks), "pivot").select(
+    numbered = asks.join(blocks, "pivot").select(
         "id", "vector", "pivot", "base", "limit", portion, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
     )
     # A block is copied to each portion of queries that comes to its file.
@@ -143,7 +149,7 @@ def knn(
     nearest = F.array_min(F.transform(known, lambda p: F.struct(F.get("far", p).alias("d"), p.alias("p"))))
     first = first.withColumn("pivot", nearest["p"])
     asks = first.select("id", "vector", "pivot", F.get("far", F.col("pivot")).alias("base"), F.lit(float("inf")).alias("limit"))
-    found = _stored(_met(asks, filed, blocks, k, schema), "knn-first")
+    found = _stored(_met(asks, filed, F.broadcast(blocks), k, schema), "knn-first")
 
     best = _ranked(found, k)
     # The k-th distance, unbounded where there are fewer.
@@ -155,7 +161,7 @@ def knn(
     )
     left = left.join(F.broadcast(files), "pivot").where((F.col("pivot") != F.col("done")) & _may_hold("base", "low", "high", "limit"))
     rest = _stored(left.select("id", "vector", "pivot", "base", "limit"), "knn-rest")
-    both = found.unionByName(_met(rest, filed, blocks, k, schema))
+    both = found.unionByName(_met(rest, filed, F.broadcast(blocks), k, schema))
     return _ranked(both, k).select("query", "rank", "id", "distance")
 
 
@@ -168,3 +174,87 @@ def _may_hold(base: str, low: str, high: str, limit: str) -> Column:
 def _ranked(found: DataFrame, k: int) -> DataFrame:
     by = Window.partitionBy("query").orderBy("distance", "id")
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+
+
+def planes(tables: int, bits: int, width: int) -> np.ndarray:
+    """Normals of 1 and -1, by table, bit and dimension: 1 where the MD5 of ``table:bit:dimension`` begins below 8."""
+
+    def side(*at: int) -> int:
+        return 1 if hashlib.md5(":".join(map(str, at)).encode()).hexdigest()[0] < "8" else -1
+
+    signs = [[[side(t, b, d) for d in range(width)] for b in range(bits)] for t in range(tables)]
+    return np.array(signs, np.float64).reshape(tables * bits, width)
+
+
+def _coded(normals: np.ndarray, middle: np.ndarray, bits: int, free: int):
+    """Codes of each vector, and the codes it looks up: those with any value in its ``free`` least sure bits."""
+    weights = 1 << np.arange(bits, dtype=np.int64)
+    choices = np.array([[c >> k & 1 for k in range(free)] for c in range(1 << free)], np.int64).reshape(-1, free)
+
+    def code(batches):
+        for batch in batches:
+            sides = (_matrix(batch.column("vector")).reshape(-1, len(middle)) - middle) @ normals.T
+            sides = sides.reshape(len(sides), -1, bits)
+            base = (sides > 0) @ weights
+            loose = weights[np.argsort(np.abs(sides), axis=2, kind="stable")[:, :, :free]]
+            probes = (base & ~loose.sum(2))[:, :, None] + loose @ choices.T
+            columns = [batch.column("id"), batch.column("vector"), pa.array(list(base), pa.list_(pa.int64()))]
+            columns.append(pa.array([list(p) for p in probes], pa.list_(pa.list_(pa.int64()))))
+            yield pa.RecordBatch.from_arrays(columns, ["id", "vector", "codes", "probes"])
+
+    return code
+
+
+def knn_approx(
+    queries: DataFrame,
+    vectors: DataFrame,
+    k: int,
+    query: str = "id",
+    key: str = "id",
+    vector: str = "vector",
+    tables: int = 6,
+    bits: int = 5,
+    free: int = 3,
+) -> DataFrame:
+    """``query``, ``rank`` (from 1), ``id``, ``distance``: the k nearest among the vectors met.
+
+    A vector is met if in one of ``tables`` tables its code of ``bits`` bits is that of the query,
+    but for the ``free`` bits whose planes the query lies nearest to. Distances are exact and rank
+    as in :func:`knn`. A query that meets fewer than k vectors has fewer rows. All vectors have one
+    length. More tables or free bits raise recall and work; :func:`recall` measures it.
+    """
+    if not 0 <= free <= bits <= 30:
+        raise ValueError("free must be between 0 and bits, and bits at most 30")
+
+    def rows(df: DataFrame, name: str) -> DataFrame:
+        return df.where(F.col(vector).isNotNull()).select(F.col(name).alias("id"), F.col(vector).cast(NUMBERS).alias("vector"))
+
+    asked, held = rows(queries, query), rows(vectors, key)
+    q_type, v_type = dict(asked.dtypes)["id"], dict(held.dtypes)["id"]
+    width = held.agg(F.max(F.size("vector"))).first()[0] or 0
+    if not width:
+        return queries.sparkSession.createDataFrame([], f"query {q_type}, rank int, id {v_type}, distance double")
+    middle = np.array(held.agg(*(F.avg(F.get("vector", F.lit(d))) for d in range(width))).first(), np.float64)
+    code = _coded(planes(tables, bits, width), middle, bits, free)
+    columns = f"vector {NUMBERS}, codes array<long>, probes array<array<long>>"
+    bucket = (F.col("table") * F.lit(1 << bits) + F.col("code")).alias("pivot")
+    coded = held.mapInArrow(code, f"id {v_type}, {columns}").select("id", "vector", F.posexplode("codes").alias("table", "code"))
+    filed = _stored(coded.select("id", "vector", bucket), "approx-files")
+    sizes = filed.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
+    sizes = _stored(sizes, "approx-buckets")
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")
+    filed = filed.join(sizes, "pivot").select("id", "vector", "pivot", F.lit(0.0).alias("near"), block)
+
+    looked = asked.mapInArrow(code, f"id {q_type}, {columns}").select("id", "vector", F.posexplode("probes").alias("table", "probe"))
+    looked = looked.select("id", "vector", "table", F.explode("probe").alias("code"))
+    asks = looked.select("id", "vector", bucket, F.lit(0.0).alias("base"), F.lit(float("inf")).alias("limit"))
+    met = _met(_stored(asks, "approx-asks"), filed, sizes, k, f"query {q_type}, id {v_type}, distance double")
+    once = met.groupBy("query", "id").agg(F.min("distance").alias("distance"))  # met in several tables
+    return _ranked(once, k).select("query", "rank", "id", "distance")
+
+
+def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """``query``, ``wanted``, ``hits``: how many of the exact neighbours of each query were found."""
+    hits = found.select("query", "id", F.lit(1).alias("_hit"))
+    joined = exact.join(hits, ["query", "id"], "left")
+    return joined.groupBy("query").agg(F.count(F.lit(1)).alias("wanted"), F.count("_hit").alias("hits"))

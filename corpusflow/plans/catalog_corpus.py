@@ -1,10 +1,10 @@
-"""Queries: chunks, sentences, token counts, vocabulary, class metrics, scaling, overlap, neighbours."""
+"""Queries: chunks, sentences, token counts, vocabulary, class metrics, scaling, overlap, neighbours, pages."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusflow.operators import corpus, prepare, vectors
+from corpusflow.operators import corpus, html, prepare, vectors
 from corpusflow.plans.registry import query
 from corpusflow.sources.tables import read_table
 
@@ -163,3 +163,81 @@ def knn(spark, sf):
     asked = rows.where("vec_id % 20 = 0")
     found = vectors.knn(asked, rows, 10, "vec_id", "vec_id", "embedding")
     return found.select("query", "rank", F.col("id").alias("vec_id"), F.round("distance", 6).alias("distance"))
+
+
+_APPROX = """
+WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+     p AS (SELECT t, b, list(CASE WHEN md5(t || ':' || b || ':' || d)[1] < '8' THEN 1.0::DOUBLE ELSE -1.0 END ORDER BY d) AS normal
+           FROM range(6) x(t), range(5) y(b), range(64) z(d) GROUP BY t, b),
+     s AS (SELECT vec_id, t, b, list_inner_product(v, normal) - avg(list_inner_product(v, normal)) OVER (PARTITION BY t, b) AS side
+           FROM e, p),
+     r AS (SELECT *, row_number() OVER (PARTITION BY vec_id, t ORDER BY abs(side), b) AS sure FROM s),
+     c AS (SELECT vec_id, t, CAST(sum(CASE WHEN side > 0 THEN 1 << b ELSE 0 END) AS BIGINT) AS code,
+                  CAST(sum(CASE WHEN sure > 3 THEN 1 << b ELSE 0 END) AS BIGINT) AS mask FROM r GROUP BY vec_id, t),
+     m AS (SELECT DISTINCT q.vec_id AS query, x.vec_id FROM c q JOIN c x ON x.t = q.t AND (q.code & q.mask) = (x.code & q.mask)
+           WHERE q.vec_id % 20 = 0),
+     n AS (SELECT query, m.vec_id, list_distance(a.v, b.v) AS distance FROM m JOIN e a ON a.vec_id = query JOIN e b ON b.vec_id = m.vec_id),
+     k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, vec_id) AS rank FROM n)"""
+
+
+@query(f"""{_APPROX}
+SELECT query, rank::INT AS rank, vec_id, round(distance, 6) AS distance FROM k WHERE rank <= 10""")
+def knn_approx(spark, sf):
+    """The stated queries, every row whose id is divisible by 20, against all rows."""
+    rows = read_table(spark, sf, "embeddings")
+    found = vectors.knn_approx(rows.where("vec_id % 20 = 0"), rows, 10, "vec_id", "vec_id", "embedding")
+    return found.select("query", "rank", F.col("id").alias("vec_id"), F.round("distance", 6).alias("distance"))
+
+
+@query(f"""{_APPROX},
+     x AS (SELECT a.vec_id AS query, b.vec_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.v, b.v), b.vec_id) AS rank
+           FROM e a, e b WHERE a.vec_id % 20 = 0)
+SELECT count(*) AS wanted, count(k.vec_id) AS hits, count(k.vec_id) / count(*) AS recall
+FROM x LEFT JOIN k ON k.query = x.query AND k.vec_id = x.vec_id AND k.rank <= 10 WHERE x.rank <= 10""")
+def knn_recall(spark, sf):
+    """The share of the exact neighbours that the approximate search finds, over the same queries."""
+    rows = read_table(spark, sf, "embeddings")
+    asked, names = rows.where("vec_id % 20 = 0"), ("vec_id", "vec_id", "embedding")
+    per_query = vectors.recall(vectors.knn_approx(asked, rows, 10, *names), vectors.knn(asked, rows, 10, *names))
+    return per_query.agg(F.sum("wanted").alias("wanted"), F.sum("hits").alias("hits")).withColumn("recall", F.expr("hits / wanted"))
+
+
+def _decoded_sql(text: str) -> str:
+    return f"""array_to_string(list_transform(
+      regexp_extract_all({text}, '(?is)&(?:#[0-9]{{1,7}}|#x[0-9a-f]{{1,6}}|[a-z]+);|[^&]+|&'),
+      lambda y: CASE y WHEN '&amp;' THEN '&' WHEN '&lt;' THEN '<' WHEN '&gt;' THEN '>' WHEN '&quot;' THEN '"'
+        WHEN '&apos;' THEN chr(39) WHEN '&nbsp;' THEN chr(160)
+        ELSE CASE WHEN regexp_matches(y, '^&#[0-9]+;$') THEN chr(CAST(y[3:-2] AS INT)) ELSE y END END), '')"""
+
+
+def _folded_sql(text: str) -> str:
+    return rf"trim(regexp_replace({text}, '[ \t\n\r\f]+', ' ', 'g'), ' ')"
+
+
+def _held_sql(name: str, token: str) -> str:
+    return rf"regexp_extract({token}, '(?is)^<[^>]*>(.*?)(?:</{name}[ \t\n\r\f]*>|\z)', 1)"
+
+
+_ATTRIBUTE = html.ATTRIBUTE.replace("'", "''")
+_PARTS = """list_transform(tokens, lambda x: CASE
+    WHEN x[1] <> '<' OR x = '<' THEN x
+    WHEN regexp_matches(x, '(?i)^<textarea[ \\t\\n\\r\\f/>]') THEN ' ' || {area} || ' '
+    WHEN regexp_matches(x, '(?i)^</?({inline})[ \\t\\n\\r\\f/>]') THEN '' ELSE ' ' END)"""
+
+
+@query(rf"""
+WITH t AS (SELECT page_id, html, regexp_extract_all(coalesce(html, ''), '{html.TOKEN.replace("'", "''")}') AS tokens FROM pages),
+     s AS (SELECT page_id, html, list_filter(tokens, lambda x: regexp_matches(x, '(?i)^<title[ \t\n\r\f/>]'))[1] AS title,
+                  {_PARTS.format(area=_held_sql("textarea", "x"), inline="|".join(html.INLINE))} AS shown,
+                  list_filter(list_transform(list_filter(tokens, lambda x: regexp_matches(x, '(?i)^<a[ \t\n\r\f/]')),
+                    lambda x: regexp_extract_all(x, '{_ATTRIBUTE}', 2)[list_position(
+                      list_transform(regexp_extract_all(x, '{_ATTRIBUTE}', 1), lambda z: lower(z)), 'href')]),
+                    lambda x: x IS NOT NULL) AS links FROM t)
+SELECT page_id, {_folded_sql(_decoded_sql(_held_sql("title", "title")))} AS title,
+       CASE WHEN html IS NOT NULL THEN {_folded_sql(_decoded_sql("array_to_string(shown, '')"))} END AS text,
+       len(links)::INT AS n_links,
+       array_to_string(list_transform(links, lambda x: {_decoded_sql("trim(x, '''" + '"' + "')")}), chr(10)) AS links
+FROM s""")
+def parse_html(spark, sf):
+    pages = html.parse_html(read_table(spark, sf, "pages").select("page_id", "html"))
+    return pages.select("page_id", "title", "text", F.size("links").alias("n_links"), F.array_join("links", "\n").alias("links"))

@@ -53,3 +53,55 @@ def test_few_and_equal_rows(spark, rows):
     df = spark.createDataFrame(rows, ROWS)
     assert got(V.knn(df, df, 4)) == plain_knn(rows, rows, 4)
     assert V.knn(df.where(F.lit(False)), df, 4).count() == 0
+
+
+def plain_approx(queries, rows, k, tables, bits, free):
+    """The rule by loops: a vector is met if its code agrees in the surest bits of one table."""
+    held = [(i, v) for i, v in rows if v is not None]
+    middle = [sum(v[d] for _, v in held) / len(held) for d in range(len(held[0][1]))]
+    normals = V.planes(tables, bits, len(middle)).tolist()
+    sides = lambda v: [sum((x - m) * p for x, m, p in zip(v, middle, n)) for n in normals]
+    out = []
+    for q, a in queries:
+        if a is None:
+            continue
+        mine, met = sides(a), {}
+        for i, b in held:
+            other = sides(b)
+            for t in range(tables):
+                at = range(t * bits, (t + 1) * bits)
+                sure = sorted(at, key=lambda x: (abs(mine[x]), x))[free:]
+                if all((mine[x] > 0) == (other[x] > 0) for x in sure):
+                    met[i] = math.dist(a, b)
+        best = sorted((d, i) for i, d in met.items())[:k]
+        out += [(q, r + 1, i, round(d, 9)) for r, (d, i) in enumerate(best)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("block, portion", [(16_384, 2_048), (16, 5)])
+@pytest.mark.parametrize("tables, bits, free", [(3, 4, 2), (1, 5, 0), (2, 3, 3)])
+def test_approx_equals_its_rule(spark, monkeypatch, block, portion, tables, bits, free):
+    """A bucket that holds a third of the rows is cut into blocks; equal vectors, a null one."""
+    monkeypatch.setattr(V, "BLOCK_ROWS", block)
+    monkeypatch.setattr(V, "PORTION_ROWS", portion)
+    rng = random.Random(3)
+    rows = [(k, [round(rng.gauss(0, 1), 3) for _ in range(7)]) for k in range(100)]
+    rows += [(1000 + k, [2.0, 1.0, 0.5, 0.25, 3.0, 1.0, 4.0]) for k in range(50)] + [(7, None)]
+    rows = [(i + 5000 * (v is None), v) for i, v in rows]
+    df = spark.createDataFrame(rows, "id long, vector array<double>").repartition(4)
+    queries = [r for r in rows if r[0] % 7 == 0]
+    found = V.knn_approx(df.where("id % 7 = 0"), df, 5, tables=tables, bits=bits, free=free)
+    assert got(found) == plain_approx(queries, rows, 5, tables, bits, free)
+
+
+def test_approx_recall_and_few_rows(spark):
+    rng = random.Random(4)
+    rows = [(k, [rng.gauss(k % 6 * 3, 1) for _ in range(16)]) for k in range(400)]
+    df = spark.createDataFrame(rows, ROWS)
+    per_query = V.recall(V.knn_approx(df, df, 10), V.knn(df, df, 10)).collect()
+    assert sum(r.hits for r in per_query) >= 0.9 * sum(r.wanted for r in per_query) == 3600.0
+    none = df.where(F.lit(False))
+    assert V.knn_approx(none, df, 3).count() == 0 and V.knn_approx(df, none, 3).count() == 0
+    assert got(V.knn_approx(df.limit(1), df.limit(1), 3))[0][1:3] == (1, df.first().id)
+    with pytest.raises(ValueError):
+        V.knn_approx(df, df, 3, bits=2, free=3)
