@@ -189,7 +189,7 @@ def planes(tables: int, bits: int, width: int) -> np.ndarray:
 def _coded(normals: np.ndarray, middle: np.ndarray, bits: int, free: int):
     """Codes of each vector, and the codes it looks up: those with any value in its ``free`` least sure bits."""
     weights = 1 << np.arange(bits, dtype=np.int64)
-    choices = np.array([[c >> k & 1 for k in range(free)] for c in range(1 << free)], np.int64).reshape(-1, free)
+    choices = np.array([[c >> k & 1 for k in range(free)] for c in range(1 << free)], np.int64).reshape(1 << free, free)
 
     def code(batches):
         for batch in batches:
