@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusflow.operators import corpus, html, prepare, vectors
+from corpusflow.operators import corpus, embedding, html, prepare, vectors
 from corpusflow.plans.registry import query
 from corpusflow.sources.tables import read_table
 
@@ -241,3 +241,20 @@ FROM s""")
 def parse_html(spark, sf):
     pages = html.parse_html(read_table(spark, sf, "pages").select("page_id", "html"))
     return pages.select("page_id", "title", "text", F.size("links").alias("n_links"), F.array_join("links", "\n").alias("links"))
+
+
+@query(f"""
+WITH w AS (SELECT doc_id, list_transform({_TURN}, lambda x: lower(x)) AS w FROM documents),
+     g AS (SELECT doc_id, unnest(w) AS gram FROM w
+           UNION ALL SELECT doc_id, w[i] || ' ' || w[i + 1] FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM w)),
+     h AS (SELECT doc_id, CAST('0x' || md5(gram)[1:8] AS BIGINT) % 512 AS bucket,
+                  sum(CASE WHEN md5(gram)[9] < '8' THEN 1 ELSE -1 END) AS n FROM g GROUP BY ALL),
+     p AS (SELECT bucket, dim, CASE WHEN md5('0:' || bucket || ':' || dim)[1] < '8' THEN 1 ELSE -1 END AS side
+           FROM range(512) x(bucket), range(16) y(dim)),
+     s AS (SELECT doc_id, dim, sum(n * side)::DOUBLE AS value FROM h JOIN p USING (bucket) GROUP BY ALL),
+     l AS (SELECT doc_id, sqrt(sum(value * value)) AS size FROM s GROUP BY doc_id)
+SELECT doc_id, y.dim::INT AS dim, round(CASE WHEN size > 0 THEN value / size ELSE 0 END, 6) AS value
+FROM documents CROSS JOIN range(16) y(dim) LEFT JOIN s USING (doc_id, dim) LEFT JOIN l USING (doc_id)""")
+def embed_text(spark, sf):
+    docs = embedding.embed_text(read_table(spark, sf, "documents"), "doc_id", width=16, buckets=512)
+    return docs.select("doc_id", F.posexplode("vector").alias("dim", "value")).withColumn("value", F.round("value", 6))
