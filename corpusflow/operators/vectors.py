@@ -26,7 +26,9 @@ from corpusflow.session import scratch_path
 
 PIVOTS = 32
 BLOCK_ROWS = 16_384
-PORTION_ROWS = 2_048
+PORTION_ROWS = 16_384
+ESTIMATES = 4_000_000  # distances that are estimated at once
+ROUNDING = 16 * 2.0**-53
 SLACK = 1e-9  # keeps rounding from pruning an equal distance
 NUMBERS = "array<double>"
 
@@ -39,7 +41,9 @@ def _stored(df: DataFrame, label: str) -> DataFrame:
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    return np.array(column.to_pylist(), np.float64)
+    """One row a vector; all vectors have one length."""
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1) if len(flat) else np.zeros((0, 0))
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -75,41 +79,66 @@ def _measured(df: DataFrame, pivots: np.ndarray) -> DataFrame:
 
 
 def _answers(k: int):
-    """One portion of queries against one block: each query's k nearest there."""
+    """One portion of queries against one block: each query's k nearest there.
+
+    A matrix product estimates all distances; those that its rounding leaves in doubt are measured.
+    """
 
     def answer(queries: pa.Table, block: pa.Table) -> pa.Table:
         if not queries.num_rows or not block.num_rows:
             return pa.table({"query": queries.column("id")[:0], "id": block.column("id")[:0], "distance": pa.array([], pa.float64())})
-        vectors, near = _matrix(block.column("vector")), block.column("near").to_numpy()
-        order = np.array(block.column("id").to_pylist(), object)
+        block = block.take(pa.array(np.argsort(block.column("near").to_numpy(), kind="stable")))
+        queries = queries.take(pa.array(np.argsort(queries.column("base").to_numpy(), kind="stable")))
+        vectors, near, points = _matrix(block.column("vector")), block.column("near").to_numpy(), _matrix(queries.column("vector"))
+        base, limits = queries.column("base").to_numpy(), queries.column("limit").to_numpy()
+        limits = np.where(np.isnan(limits), np.inf, limits)
+        ids, squares = block.column("id").to_pylist(), (vectors**2).sum(1)
         at, rows, distances = [], [], []
-        for q, (point, base, limit) in enumerate(
-            zip(_matrix(queries.column("vector")), queries.column("base").to_numpy(), queries.column("limit").to_numpy())
-        ):
-            may = np.flatnonzero(np.abs(near - base) <= limit + SLACK)
-            d = np.sqrt(((vectors[may] - point) ** 2).sum(1))
-            take = np.argpartition(d, k)[:k] if len(d) > k else np.arange(len(d))
-            if len(d) > k:  # all of the k-th distance, of which the least ids stay
-                take = np.flatnonzero(d <= d[take].max())
-                take = sorted(take, key=lambda i: (d[i], order[may[i]]))[:k]
-            at += [q] * len(take)
-            rows += list(may[take])
-            distances += list(d[take])
-        ids = queries.column("id").take(pa.array(at, pa.int64()))
-        return pa.table({"query": ids, "id": block.column("id").take(pa.array(rows, pa.int64())), "distance": pa.array(distances, pa.float64())})
+        step = max(1, ESTIMATES // len(vectors))
+        for start in range(0, len(points), step):
+            some, reach = points[start : start + step], limits[start : start + step] + SLACK
+            here = base[start : start + step]
+            first, last = 0, len(vectors)
+            if np.isfinite(reach).all():  # rows are in the order of their distance to the pivot
+                first, last = np.searchsorted(near, (here - reach).min(), "left"), np.searchsorted(near, (here + reach).max(), "right")
+            if first >= last:
+                continue
+            own = (some**2).sum(1)
+            estimates = own[:, None] + squares[None, first:last] - 2 * (some @ vectors[first:last].T)
+            doubt = ROUNDING * (vectors.shape[1] + 8) * (own + squares[first:last].max())
+            bound = reach**2 + 2 * doubt
+            if last - first > k:
+                bound = np.fmin(bound, np.partition(estimates, k - 1, axis=1)[:, k - 1] + 2 * doubt)
+            for q, point in enumerate(some):
+                may = first + np.flatnonzero(~(estimates[q] > bound[q]))
+                d = np.sqrt(((vectors[may] - point) ** 2).sum(1))
+                if len(d) > k:  # all of the k-th distance, of which the least ids stay
+                    near_by = np.flatnonzero(~(d > np.partition(d, k - 1)[k - 1]))
+                    near_by = sorted(near_by, key=lambda i: (np.isnan(d[i]), d[i], ids[may[i]]))[:k]
+                    may, d = may[near_by], d[near_by]
+                at += [start + q] * len(may)
+                rows += list(may)
+                distances += list(d)
+        found = queries.column("id").take(pa.array(at, pa.int64()))
+        return pa.table({"query": found, "id": block.column("id").take(pa.array(rows, pa.int64())), "distance": pa.array(distances, pa.float64())})
 
     return answer
 
 
 def _met(asks: DataFrame, filed: DataFrame, blocks: DataFrame, k: int, schema: str) -> DataFrame:
-    """Queries (id, vector, pivot, base, limit) against the blocks of their pivots' files."""
-    portion = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-asks.count() // PORTION_ROWS)))).alias("portion")
-    numbered = asks.join(blocks, "pivot").select(
-        "id", "vector", "pivot", "base", "limit", portion, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
+    """Queries (id, vector, pivot, base, limit) against the blocks of their pivots' files.
+
+    A file's queries are cut by their own number, so a block is copied once for each
+    ``PORTION_ROWS`` of the queries that come to its file, and a query once for each block.
+    """
+    coming = asks.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / PORTION_ROWS).cast("int").alias("portions"))
+    plan = _stored(blocks.join(coming, "pivot"), "knn-plan")
+    place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    numbered = asks.join(plan, "pivot").select(
+        "id", "vector", "pivot", "base", "limit", place("portions").alias("portion"), each("blocks").alias("block")
     )
-    # A block is copied to each portion of queries that comes to its file.
-    wanted = numbered.select("pivot", "block", F.col("portion").alias("share")).distinct()
-    held = filed.join(wanted, ["pivot", "block"])
+    held = filed.join(plan, "pivot").select("id", "vector", "pivot", "near", place("blocks").alias("block"), each("portions").alias("share"))
     grouped = numbered.groupBy("pivot", "block", "portion"), held.groupBy("pivot", "block", "share")
     return grouped[0].cogroup(grouped[1]).applyInArrow(_answers(k), schema)
 
@@ -140,8 +169,6 @@ def knn(
     )
     files = _stored(files, "knn-pivots")
     blocks = files.select("pivot", "blocks")
-    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    filed = filed.join(F.broadcast(blocks), "pivot").select("id", "vector", "pivot", "near", block.alias("block"))
 
     first = _stored(_measured(asked, chosen), "knn-queries")
     # Pivots at the same distance may leave one without a file: take the nearest that has one.
@@ -149,7 +176,7 @@ def knn(
     nearest = F.array_min(F.transform(known, lambda p: F.struct(F.get("far", p).alias("d"), p.alias("p"))))
     first = first.withColumn("pivot", nearest["p"])
     asks = first.select("id", "vector", "pivot", F.get("far", F.col("pivot")).alias("base"), F.lit(float("inf")).alias("limit"))
-    found = _stored(_met(asks, filed, F.broadcast(blocks), k, schema), "knn-first")
+    found = _stored(_met(asks, filed, blocks, k, schema), "knn-first")
 
     best = _ranked(found, k)
     # The k-th distance, unbounded where there are fewer.
@@ -161,14 +188,14 @@ def knn(
     )
     left = left.join(F.broadcast(files), "pivot").where((F.col("pivot") != F.col("done")) & _may_hold("base", "low", "high", "limit"))
     rest = _stored(left.select("id", "vector", "pivot", "base", "limit"), "knn-rest")
-    both = found.unionByName(_met(rest, filed, F.broadcast(blocks), k, schema))
+    both = found.unionByName(_met(rest, filed, blocks, k, schema))
     return _ranked(both, k).select("query", "rank", "id", "distance")
 
 
 def _may_hold(base: str, low: str, high: str, limit: str) -> Column:
     """Whether a file with distances low..high to its pivot may hold a vector within the limit."""
     reach = F.greatest(F.col(base) - F.col(high), F.col(low) - F.col(base))
-    return reach <= F.col(limit) + SLACK
+    return F.isnan(reach) | (reach <= F.col(limit) + SLACK)  # a vector that is no number bounds nothing
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -241,9 +268,7 @@ def knn_approx(
     coded = held.mapInArrow(code, f"id {v_type}, {columns}").select("id", "vector", F.posexplode("codes").alias("table", "code"))
     filed = _stored(coded.select("id", "vector", bucket), "approx-files")
     sizes = filed.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
-    sizes = _stored(sizes, "approx-buckets")
-    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")
-    filed = filed.join(sizes, "pivot").select("id", "vector", "pivot", F.lit(0.0).alias("near"), block)
+    filed = filed.withColumn("near", F.lit(0.0))
 
     looked = asked.mapInArrow(code, f"id {q_type}, {columns}").select("id", "vector", F.posexplode("probes").alias("table", "probe"))
     looked = looked.select("id", "vector", "table", F.explode("probe").alias("code"))

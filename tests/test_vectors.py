@@ -1,6 +1,7 @@
 import math
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,3 +106,36 @@ def test_approx_recall_and_few_rows(spark):
     assert got(V.knn_approx(df.limit(1), df.limit(1), 3))[0][1:3] == (1, df.first().id)
     with pytest.raises(ValueError):
         V.knn_approx(df, df, 3, bits=2, free=3)
+
+
+def block_rows(k):
+    """In place of the answers: each row of a block under the first query of the portion it met."""
+
+    def answer(queries, block):
+        if not queries.num_rows:
+            return block.select(["id", "id", "near"]).slice(0, 0).rename_columns(["query", "id", "distance"])
+        return pa.table({"query": [queries["id"][0].as_py()] * block.num_rows, "id": block["id"], "distance": block["near"]})
+
+    return answer
+
+
+def test_blocks_are_copied_for_their_own_queries_only(spark, monkeypatch):
+    """Ten queries to each of 20 files, five a portion: two copies of a file, however many files there are."""
+    monkeypatch.setattr(V, "PORTION_ROWS", 5)
+    monkeypatch.setattr(V, "_answers", block_rows)
+    vector = F.array(F.lit(0.0)).alias("vector")
+    asks = spark.range(200).select("id", vector, (F.col("id") % 20).cast("int").alias("pivot"), F.lit(0.0).alias("base"), F.lit(1.0).alias("limit"))
+    filed = spark.range(400).select("id", vector, (F.col("id") % 20).cast("int").alias("pivot"), F.lit(0.0).alias("near"), F.lit(0).alias("block"))
+    blocks = spark.range(20).select(F.col("id").cast("int").alias("pivot"), F.lit(1).alias("blocks"))
+    met = V._met(asks, filed, blocks, 1, "query long, id long, distance double")
+    assert 400 <= met.count() <= 800 and met.select("id").distinct().count() == 400
+
+
+@pytest.mark.parametrize("estimates", [1, 50, 4_000_000])
+def test_estimates_decide_nothing(spark, monkeypatch, estimates):
+    """Vectors far from the origin whose distances are below the rounding of their products; none, too."""
+    monkeypatch.setattr(V, "ESTIMATES", estimates)
+    rows = [(k, [1e6 + (k * 7 % 64) / 4096, 1e6, 3.0]) for k in range(64)] + [(64 + k, [float("nan"), 0.0, 0.0]) for k in range(2)]
+    df = spark.createDataFrame(rows, "id long, vector array<double>").coalesce(1)
+    found = V.knn(df.where("id < 64"), df, 7, pivots=3)
+    assert got(found) == plain_knn(rows[:64], rows[:64], 7)
