@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -54,6 +55,16 @@ def test_rouge(spark):
     assert two[1] == (pytest.approx(1 / 3), 0.5, pytest.approx(0.4)) and two[4] == (0.0, 0.0, 0.0)
 
 
+def test_rouge_of_long_texts(spark):
+    """The work is linear: 100,000 words take seconds, not one pass over the text for each of them."""
+    words = [f"w{k % 977}" for k in range(100_000)]
+    df = spark.createDataFrame([(1, " ".join(words), " ".join(words[:50_000]))], "k int, c string, r string")
+    began = time.monotonic()
+    assert C.rouge(df, "k", "c", "r").first() == (1, 0.5, 1.0, pytest.approx(2 / 3))
+    assert C.rouge(df, "k", "c", "r", 2).first() == (1, pytest.approx(49_999 / 99_999), 1.0, pytest.approx(2 * 49_999 / 149_998))
+    assert time.monotonic() - began < 30
+
+
 def test_no_rows(spark, texts):
     none = texts.where(F.lit(False))
     assert C.chunk_text(none, 3).count() == C.split_sentences(none).count() == 0
