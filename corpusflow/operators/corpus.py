@@ -112,8 +112,8 @@ def standardize(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def _shared_grams(n: int):
     """Shared and own n-grams of two texts given as words with a line break between."""
 
-    def grams(text: str | None) -> Counter:
-        words = text.split("\n") if text else []
+    def grams(text: bytes | None) -> Counter:
+        words = text.split(b"\n") if text else []
         return Counter(words if n == 1 else zip(*(words[k:] for k in range(n))))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +147,7 @@ def rouge(df: DataFrame, key: str, candidate: str, reference: str, n: int = 1) -
     The two texts of a row are counted where they lie: the work is linear in the text and nothing
     is shuffled.
     """
-    words = lambda c: F.array_join(F.transform(word_list(c), F.lower), "\n")
+    words = lambda c: F.array_join(F.transform(word_list(c), F.lower), "\n").cast("binary")
     sides = df.select(key, words(candidate).alias("_c"), words(reference).alias("_r"))
     kind = df.schema[key].dataType.simpleString()
     return _shares(sides.mapInArrow(_shared_grams(n), f"`{key}` {kind}, _both long, _claimed long, _wanted long"), key)

@@ -8,47 +8,56 @@ are of whole numbers, hence exact in any order.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.operators.corpus import word_list
 
 
-def _minus(digit: Column) -> Column:
-    return F.when(digit < "8", 1).otherwise(-1)
+def projection(width: int, buckets: int, seed: int) -> np.ndarray:
+    """Signs by bucket and dimension: 1 where the MD5 of ``seed:bucket:dimension`` begins below 8."""
+    side = lambda b, d: 1 if hashlib.md5(f"{seed}:{b}:{d}".encode()).digest()[0] < 128 else -1
+    return np.array([[side(b, d) for d in range(width)] for b in range(buckets)], np.int8).reshape(buckets, width)
+
 
+def _sums(text: bytes | None, signs: np.ndarray) -> np.ndarray:
+    """The projected counts of one text, given as words with a line break between."""
+    words = text.split(b"\n") if text else []
+    grams = Counter(words)
+    grams.update(map(b" ".join, zip(words, words[1:])))
+    digests = np.frombuffer(b"".join(hashlib.md5(g).digest() for g in grams), np.uint8).reshape(-1, 16)
+    bucket = np.ascontiguousarray(digests[:, :4]).view(">u4").ravel().astype(np.int64) % len(signs)
+    signed = np.fromiter(grams.values(), np.int64, len(grams)) * np.where(digests[:, 4] < 128, 1, -1)
+    return np.bincount(bucket, signed, len(signs)) @ signs
 
-def _grams(text: str) -> Column:
-    words = F.transform(word_list(text), F.lower)
-    pairs = F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.concat(words, F.filter(pairs, lambda p: p.isNotNull()))
 
+def _vectors(signs: np.ndarray):
+    def embed(batches):
+        wide = signs.astype(np.float64)
+        for batch in batches:
+            sums = np.array([_sums(t.as_py(), wide) for t in batch.column("_words")]).reshape(-1, wide.shape[1])
+            size = np.sqrt((sums**2).sum(1, keepdims=True))
+            unit = np.divide(sums, size, out=np.zeros_like(sums), where=size > 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(unit), pa.list_(pa.float64()))], [batch.schema.names[0], "vector"])
 
-def projection(spark, width: int, buckets: int, seed: int) -> DataFrame:
-    """``bucket`` and its ``row`` of signs: where the MD5 of ``seed:bucket:dimension`` begins below 8, 1."""
-    at = F.sequence(F.lit(0), F.lit(width - 1))
-    side = lambda d: _minus(F.md5(F.concat_ws(":", F.lit(seed), "bucket", d)).substr(1, 1))
-    return spark.range(buckets).select(F.col("id").alias("bucket")).withColumn("row", F.transform(at, side))
+    return embed
 
 
 def embed_text(
     df: DataFrame, key: str, text: str = "text", width: int = 64, buckets: int = 4096, seed: int = 0
 ) -> DataFrame:
-    """``key`` and ``vector`` (``width`` doubles of length 1) of each text; ``key`` is unique.
+    """``key`` and ``vector`` (``width`` doubles of length 1) of each text.
 
-    A text without words, or null, has the zero vector. Counts of a text's buckets, at most
-    ``buckets`` rows, are what is shuffled; the projection has ``buckets`` rows and is broadcast.
+    A text without words, or null, has the zero vector. A text is hashed, summed and projected
+    where it lies, so nothing is shuffled; each task holds the signs, ``buckets`` times ``width``.
     """
-    hashed = df.select(F.col(key).alias("_key"), F.explode(_grams(text)).alias("_gram")).withColumn("_md5", F.md5("_gram"))
-    bucket = F.conv(F.col("_md5").substr(1, 8), 16, 10).cast("long") % buckets
-    counts = hashed.groupBy("_key", bucket.alias("bucket")).agg(F.sum(_minus(F.col("_md5").substr(9, 1))).alias("_n"))
-    met = counts.where("_n <> 0").join(F.broadcast(projection(df.sparkSession, width, buckets, seed)), "bucket")
-    sums = met.groupBy("_key").agg(*(F.sum(F.col("_n") * F.get("row", F.lit(d))).alias(f"_{d}") for d in range(width)))
-    raw = sums.select("_key", F.array(*(F.col(f"_{d}").cast("double") for d in range(width))).alias("_raw"))
-    size = F.sqrt(F.aggregate("_raw", F.lit(0.0), lambda a, x: a + x * x))
-    unit = raw.withColumn("_size", size).select(
-        "_key", F.transform("_raw", lambda x: F.when(F.col("_size") > 0, x / F.col("_size")).otherwise(0.0)).alias("vector")
+    words = F.array_join(F.transform(word_list(text), F.lower), "\n").cast("binary")
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, words.alias("_words")).mapInArrow(
+        _vectors(projection(width, buckets, seed)), f"`{key}` {kind}, vector array<double>"
     )
-    zero = F.array_repeat(F.lit(0.0), width)
-    joined = df.select(F.col(key).alias(key)).join(unit, F.col(key) == F.col("_key"), "left")
-    return joined.select(key, F.coalesce("vector", zero).alias("vector"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusflow.operators import corpus, embedding, html, prepare, vectors
+from corpusflow.operators.layout import spread
 from corpusflow.plans.registry import query
 from corpusflow.sources.tables import read_table
 
@@ -256,5 +257,5 @@ WITH w AS (SELECT doc_id, list_transform({_TURN}, lambda x: lower(x)) AS w FROM
 SELECT doc_id, y.dim::INT AS dim, round(CASE WHEN size > 0 THEN value / size ELSE 0 END, 6) AS value
 FROM documents CROSS JOIN range(16) y(dim) LEFT JOIN s USING (doc_id, dim) LEFT JOIN l USING (doc_id)""")
 def embed_text(spark, sf):
-    docs = embedding.embed_text(read_table(spark, sf, "documents"), "doc_id", width=16, buckets=512)
+    docs = embedding.embed_text(spread(read_table(spark, sf, "documents").select("doc_id", "text")), "doc_id", width=16, buckets=512)
     return docs.select("doc_id", F.posexplode("vector").alias("dim", "value")).withColumn("value", F.round("value", 6))

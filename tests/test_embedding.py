@@ -41,3 +41,11 @@ def test_neighbours_of_embedded_texts(spark):
     near = knn(vectors.where("doc_id = 0"), vectors, 3, "doc_id", "doc_id").collect()
     assert [(r.id, r.distance == 0) for r in sorted(near, key=lambda r: r["rank"])] == [(0, True), (1, True), (2, False)]
     assert embed_text(df.where("doc_id < 0"), "doc_id").count() == 0
+
+
+def test_nothing_is_shuffled(spark):
+    """Rows of any size stay where they lie; equal keys are rows of their own."""
+    df = spark.createDataFrame([(1, "a b"), (1, "c")], "doc_id long, text string")
+    found = embed_text(df, "doc_id", width=4, buckets=16)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r.vector) for r in found.collect()) == sorted(tuple(plain(t, 4, 16, 0)) for t in ("a b", "c"))
