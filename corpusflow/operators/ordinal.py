@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 BUCKET_BYTES = 256 << 20
 SAMPLES_PER_BUCKET = 32
+SAMPLE_SEED = 42
+HASHES_PER_BUCKET = 64
 
 APART = ("_tie", "_more", "_copy")
 COPIES = 100_000
@@ -70,9 +72,9 @@ def cut_points(
 ) -> list[dict]:
     """About evenly spaced sort keys that occur, ``buckets - 1`` of them at most.
 
-    Chooses rows by a hash of the key, so the same table gives the same cuts. The sample,
-    about ``SAMPLES_PER_BUCKET`` keys per bucket, is ranked in one task; only the chosen
-    keys reach the driver.
+    Draws rows, not keys, so a key that repeats is drawn as often as its share says and no more:
+    the sample is about ``SAMPLES_PER_BUCKET`` rows per bucket of any table. It is ranked in one
+    task; only the chosen keys reach the driver.
     """
     if total is None or buckets is None:
         total, size = _measure(df)
@@ -83,9 +85,7 @@ def cut_points(
     fields = key.schema["key"].dataType.fields
     wanted = buckets * SAMPLES_PER_BUCKET
     if total > wanted:
-        span = 1 << 62
-        limit = int(span * (wanted / total))
-        key = key.where(F.xxhash64("key").bitwiseAND(F.lit(span - 1)) < F.lit(limit))
+        key = key.where(F.rand(SAMPLE_SEED) < F.lit(wanted / total))
     ranked = key.select(
         "key",
         (F.row_number().over(Window.orderBy("key")) - 1).alias("_at"),
@@ -207,8 +207,11 @@ def aligned_ordinal(
     total, size = _measure(df)
     width = _width(df, size, buckets)
     narrow = df.select(*keys)
-    ranked = _placed(narrow, keys, "_at", cut_points(narrow, keys, width, total))
     step = unit * max(1, math.ceil(total / (unit * width)))
+    if APART[0] not in keys and _crowded(narrow, HASHES_PER_BUCKET * width, 2 * step):
+        # A bucket begins within the rows of one key anyway; they are not ranked in one task first.
+        return aligned_ordinal(_told_apart(df), [*keys, *APART], unit, name, width).drop(*APART)
+    ranked = _placed(narrow, keys, "_at", cut_points(narrow, keys, width, total))
     edges = ranked.where(((F.col("_at") % step == 0) & (F.col("_at") > 0)) | (F.col("_at") % step == step - 1))
     found = {r["_at"]: r["key"].asDict() for r in edges.select("_at", _sort_key(edges, keys).alias("key")).collect()}
     begins = [at for at in sorted(found) if at and at % step == 0]
@@ -221,6 +224,12 @@ def aligned_ordinal(
     return in_buckets(with_bucket(df, keys, cuts), cuts).withColumn(name, position)
 
 
+def _crowded(keys: DataFrame, hashes: int, most: int) -> bool:
+    """Whether more than ``most`` rows share a hash of ``hashes``: so they do where a key has that many."""
+    place = F.pmod(F.xxhash64(*[f"`{c}`" for c in keys.columns]), F.lit(hashes))
+    return (keys.groupBy(place.alias("_hash")).count().agg(F.max("count")).first()[0] or 0) > most
+
+
 def _told_apart(df: DataFrame) -> DataFrame:
     """Add the columns ``APART``, which no two rows have in common: 128 bits of hash and a number
     among equal rows.
@@ -236,8 +245,10 @@ def _told_apart(df: DataFrame) -> DataFrame:
     hashed = F.struct(*[F.struct(F.lit(k).alias("at"), c.isNull().alias("none"), c.alias("value")) for k, c in enumerate(plain)])
     tie, more = F.xxhash64(hashed), F.xxhash64(F.lit("more"), hashed)
     counted = df.groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
+    # Few runs make many rows: a number that is given is not made smaller by their size.
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     runs = counted.withColumn("_run", F.explode(F.sequence(F.lit(0), F.col("_n") - 1, F.lit(COPIES))))
-    runs = runs.withColumns({"_tie": tie, "_more": more}).repartition("_tie", "_run")
+    runs = runs.withColumns({"_tie": tie, "_more": more}).repartition(parts, "_tie", "_run")
     last = F.least(F.col("_run") + COPIES, F.col("_n")) - 1
     return runs.withColumn("_copy", F.explode(F.sequence(F.col("_run"), last))).select(*names, *APART)
 

@@ -208,3 +208,22 @@ def test_shards_and_batches_of_equal_rows(spark, tmp_path):
     ids = spark.range(1_000).select(F.array(F.lit(1), F.lit(2)).alias("input_ids"), F.lit("t").alias("k"))
     batches = collate_batches(ids, ["k"], {"input_ids": 0}, 16).groupBy("batch").count().collect()
     assert sorted(r["count"] for r in batches) == [8] + [16] * 62
+
+
+def test_hot_keys_are_told_apart_before_any_ranking(spark, monkeypatch):
+    """Rows of one key are never ranked by that key alone, which would be one task's work."""
+    df = spark.range(4000).select((F.col("id") % 3).alias("k")).repartition(4)
+    ranked, placed = [], O._placed
+    monkeypatch.setattr(O, "_placed", lambda rows, keys, *more: ranked.append(list(keys)) or placed(rows, keys, *more))
+    found = O.aligned_ordinal(df, ["k"], 10, buckets=8)
+    assert ranked and all("_copy" in keys for keys in ranked)
+    assert sorted(r.ord for r in found.collect()) == list(range(4000))
+    assert max(r["count"] for r in found.groupBy("_bucket").count().collect()) <= 500
+    assert O._crowded(df, 512, 1000) and not O._crowded(spark.range(4000).select("id"), 512, 1000)
+
+
+def test_a_hot_key_is_drawn_by_its_share(spark):
+    """Three values, a third of the rows each: all are cut points, whatever their hashes are."""
+    for first in range(0, 30, 3):
+        df = spark.range(3000).select((F.col("id") % 3 + first).alias("k")).coalesce(1)
+        assert {c["k0"] for c in O.cut_points(df, ["k"], 8)} >= {first + 1, first + 2}
