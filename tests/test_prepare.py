@@ -191,3 +191,13 @@ def test_one_pass_forms_agree_with_both_sides(spark):
     assert good.count() == 1 and bad.count() == 2 and [r["code"] for r in checked] == [None, 400, 400]
     sized = P.sized_payloads(spark.createDataFrame([("abc",), ("abcdef",), (None,)], "payload string"), limit=4)
     assert [(r["encoded_length"], r["accepted"]) for r in sized.collect()] == [(4, True), (8, False), (None, True)]
+
+
+def test_a_table_of_many_rows_is_dealt_out_by_rows(spark, monkeypatch):
+    """Two partitions are a quarter of eight cores; 800 rows at 50 a task still want 16 tasks."""
+    from corpusflow.operators import layout
+
+    monkeypatch.setattr(layout, "SPREAD_ROWS", 50, raising=False)
+    rows = spark.range(800, numPartitions=2)
+    assert layout.spread(rows).rdd.getNumPartitions() == 16
+    assert layout.spread(spark.range(800, numPartitions=8)).rdd.getNumPartitions() == 8
