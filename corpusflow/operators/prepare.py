@@ -6,9 +6,9 @@ import math
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 from corpusflow.functions import text as X
 from corpusflow.operators.ordinal import aligned_ordinal, keys_at, rank_slice, tail_where
@@ -20,6 +20,7 @@ NO_QUESTION = "question cannot be empty"
 NO_CONTEXT = "context (CREATE TABLE) cannot be empty"
 
 SPLITS = ("train", "val", "test")
+ENCODED_ROWS = 128  # texts in one call of an encoder
 PREFIX_ROWS = 50_000  # rows that share a hash prefix, about
 
 
@@ -176,16 +177,19 @@ def code_points(texts: Sequence[str]) -> list[list[int]]:
 def encoder_udf(load: Callable[[], Callable], length: int):
     """Arrow UDF from ``load() -> encode(list[str]) -> list[list[int]]``.
 
-    ``load`` runs once per Python worker task. The encoder sees the whole text; its
-    ids are cut to ``length`` before they leave the worker.
+    ``load`` runs once per Python worker task. The encoder sees whole texts, ``ENCODED_ROWS`` at
+    most in one call; its ids are cut to ``length`` before the next call.
     """
 
-    @pandas_udf("array<int>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @arrow_udf("array<int>")
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = load()
         for texts in batches:
-            ids = encoder(["None" if t is None else t for t in texts])
-            yield pd.Series([list(i[:length]) for i in ids], index=texts.index, dtype=object)
+            parts = []
+            for start in range(0, len(texts), ENCODED_ROWS):
+                given = ["None" if t is None else t for t in texts.slice(start, ENCODED_ROWS).to_pylist()]
+                parts.append(pa.array([list(i[:length]) for i in encoder(given)], pa.list_(pa.int32())))
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
     return encode
 

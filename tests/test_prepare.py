@@ -201,3 +201,11 @@ def test_a_table_of_many_rows_is_dealt_out_by_rows(spark, monkeypatch):
     rows = spark.range(800, numPartitions=2)
     assert layout.spread(rows).rdd.getNumPartitions() == 16
     assert layout.spread(spark.range(800, numPartitions=8)).rdd.getNumPartitions() == 8
+
+
+def test_encoder_sees_few_texts_at_once(spark):
+    """What a call holds does not follow the size of an Arrow batch."""
+    sizes = lambda: lambda texts: [[len(texts)] for _ in texts]
+    df = spark.range(1000, numPartitions=1).select(F.lit("a").alias("input_text"), F.lit("b").alias("target_text"))
+    found = [r.input_ids[0] for r in P.encode_text(df, sizes, source_length=1, target_length=1).collect()]
+    assert len(found) == 1000 and max(found) <= 128
