@@ -27,6 +27,11 @@ NO_SEQ = -(1 << 63)  # stands for a null ``seq`` in state: before all others
 Fold = Callable[[tuple, list[tuple], int], tuple[list[tuple], tuple, int | None]]
 
 
+def _cells(column: pd.Series) -> list:
+    """Plain values with None for nulls; a group is small, so whole-column calls cost more than its rows."""
+    return [None if v is pd.NaT or v is pd.NA or v != v else v for v in column.tolist()]
+
+
 class InOrder(StatefulProcessor):
     """Fold the rows of each key once the watermark has passed them.
 
@@ -57,11 +62,11 @@ class InOrder(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         first = None
         for part in rows:
-            if part[TICK].any():
-                part = part[~part[TICK].astype(bool)]
+            ticks = part[TICK].to_numpy(dtype=bool)
+            if ticks.any():
+                part = part[~ticks]
             if len(part):
-                columns = [part[c].astype(object).where(part[c].notna(), None) for c in self.columns]
-                new = list(zip(*columns))
+                new = list(zip(*(_cells(part[c]) for c in self.columns)))
                 self.rows.appendList([(int(us), int(seq), *more) for us, seq, *more in new])
                 least = int(part["us"].min())
                 first = least if first is None else min(first, least)
@@ -86,7 +91,7 @@ class InOrder(StatefulProcessor):
         self._keep(None, min(waits, default=None), carried)
         if out:
             names = [f.name for f in self.output]
-            yield pd.DataFrame([(*key, *row) for row in out], columns=names).astype(object)
+            yield pd.DataFrame([(*key, *row) for row in out], columns=names, dtype=object)
 
     def close(self) -> None:
         pass

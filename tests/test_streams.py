@@ -1,6 +1,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 
 from corpusflow.operators import activity as A, pool as P
@@ -186,3 +187,10 @@ def test_stateless_streams(spark, tmp_path):
     assert [(r["sql"], r["prompt"]) for r in rows] == [
         ("TRANSLATE ENGLISH TO SQL: Q </S> TABLES: C", "translate English to SQL: q </s> Tables: c")
     ]
+
+
+def test_cells_are_plain_values():
+    from corpusflow.streaming.stateful import _cells
+
+    assert _cells(pd.Series([1.0, None])) == [1.0, None] and _cells(pd.Series([True, False]))[0] is True
+    assert _cells(pd.Series([True, None, pd.NA, pd.NaT, "a"], dtype=object)) == [True, None, None, None, "a"]
