@@ -277,11 +277,12 @@ def gradients(p: Parameters, counts: Counts, x: np.ndarray, y: np.ndarray, real:
 
 
 def train(
-    p: Parameters, texts: list[np.ndarray], cells: Cells, every: int = 1, first: int = 0, rate: float = RATE
+    p: Parameters, texts: list[np.ndarray], cells: Cells, every: int = 1, first: int = 0, rate: float = RATE, turns: int = 1
 ) -> tuple[Parameters, int]:
     """One pass of Adam over windows of some counted texts: the weights, and how many windows there were.
 
-    Of all windows those numbered ``first``, ``first + every`` and so on are taken. They are seen
+    Of all windows those numbered ``first``, ``first + every`` and so on are taken, then in as many
+    turns as asked for those that begin at the numbers after ``first``. They are seen
     with counts that leave their texts out, so that the weights learn to correct counts as they are
     for texts that were not counted. Texts that are much of all are left out in two parts.
     """
@@ -291,27 +292,30 @@ def train(
     done = seen = passed = 0
     much = sum(map(len, texts)) > MUCH * cells.single.sum()
     for own in (texts[::2], texts[1::2]) if much else (texts,):
-        taken = []
-        for text in own:
-            made = windows(cells.classes[text])
-            taken.append([z[(first - passed) % every :: every] for z in made])
-            passed += len(made[0])
-        if not sum(len(t[0]) for t in taken):
-            continue
-        x, y, real = (np.concatenate(z) for z in zip(*taken))
-        counts, y = cells.without(own), np.where(real, y, 0)
-        order = rng.permutation(len(x))
-        seen += len(x)
-        for at in range(0, len(order), BATCH):
-            rows = order[at : at + BATCH]
-            _, grads = gradients(p, counts, x[rows], y[rows], real[rows])
-            done += 1
-            warm = rate * min(1.0, done / 50)
-            for name, g in grads.items():
-                mean[name] += 0.1 * (g - mean[name])
-                square[name] += 0.02 * (g * g - square[name])
-                unbiased = mean[name] / (1 - 0.9**done)
-                p[name] = (p[name] - warm * unbiased / (np.sqrt(square[name] / (1 - 0.98**done)) + 1e-8)).astype(np.float32)
+        counts, start = None, passed
+        for turn in range(first, first + turns):
+            taken, passed = [], start
+            for text in own:
+                made = windows(cells.classes[text])
+                taken.append([z[(turn - passed) % every :: every] for z in made])
+                passed += len(made[0])
+            if not sum(len(t[0]) for t in taken):
+                continue
+            x, y, real = (np.concatenate(z) for z in zip(*taken))
+            counts = cells.without(own) if counts is None else counts
+            y = np.where(real, y, 0)
+            order = rng.permutation(len(x))
+            seen += len(x)
+            for at in range(0, len(order), BATCH):
+                rows = order[at : at + BATCH]
+                _, grads = gradients(p, counts, x[rows], y[rows], real[rows])
+                done += 1
+                warm = rate * min(1.0, done / 50)
+                for name, g in grads.items():
+                    mean[name] += 0.1 * (g - mean[name])
+                    square[name] += 0.02 * (g * g - square[name])
+                    unbiased = mean[name] / (1 - 0.9**done)
+                    p[name] = (p[name] - warm * unbiased / (np.sqrt(square[name] / (1 - 0.98**done)) + 1e-8)).astype(np.float32)
     return p, seen
 
 

@@ -10,9 +10,9 @@ take their counts from all training documents:
   are held in tasks. An id within its class follows from the two ids before: such cells are a
   table that grows with the corpus, and the cells of the texts meet it by a shuffle of both.
   The weights are fitted where the training ids lie: in every round each task passes over
-  windows of all its texts, and the weights of all tasks are averaged by windows. A round takes
-  each TRAIN_EVERYth window, other ones than the round before; a corpus too small to give
-  TRAIN_WINDOWS so takes more of them and more rounds. What is learned from grows with the corpus.
+  windows of all its texts, and the weights of all tasks are averaged by windows. The rounds share
+  all windows out among them, and each goes through its own in up to TRAIN_EVERY portions; a corpus
+  of fewer than TRAIN_WINDOWS is gone through in more rounds. Every window is learned from.
 
 The text that is scored is the sequence of lower-case words with single spaces, as for the
 base, so both models spread one probability over the same texts.
@@ -232,7 +232,13 @@ def schedule(tokens: float) -> tuple[int, int]:
     return int(min(MOST_ROUNDS, max(FEWEST_ROUNDS, wanted))), every
 
 
-def _train(cells, weights: np.ndarray, every: int, turn: int, rate: float):
+def turns(rounds: int, every: int, turn: int) -> tuple[int, int]:
+    """The first window of ``every`` that a round takes and how many more follow it: all rounds take all."""
+    share = -(-every // rounds)
+    return turn * share % every, share
+
+
+def _train(cells, weights: np.ndarray, every: int, first: int, share: int, rate: float):
     """One pass over windows of the task's texts; the weights times the windows they have seen."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,7 +246,7 @@ def _train(cells, weights: np.ndarray, every: int, turn: int, rate: float):
 
         def learn() -> None:
             nonlocal p, seen
-            p, windows = attention.train(p, texts, cells.value, every, turn % every, rate)
+            p, windows = attention.train(p, texts, cells.value, every, first, rate, share)
             seen += windows
 
         for batch in batches:
@@ -281,7 +287,7 @@ def fit(encoded: DataFrame, cells) -> attention.Parameters:
     rounds, every = schedule(cells.value.single.sum())
     for turn in range(rounds):
         rate = attention.RATE * 0.1 ** (turn / (rounds - 1))
-        parts = training.mapInArrow(_train(cells, weights, every, turn, rate), schema)
+        parts = training.mapInArrow(_train(cells, weights, every, *turns(rounds, every, turn), rate), schema)
         # One row a task, summed in as many tasks as the root of their number before the driver sees them.
         groups = max(1, int(training.rdd.getNumPartitions() ** 0.5))
         found = parts.repartition(groups).mapInArrow(_sum, schema).collect()

@@ -260,3 +260,18 @@ def test_long_texts_are_cut_between_words():
     whole = encode(" abcdef ghij")[:-1].tolist() * 20_000 + [lm.END]
     assert encode(text).tolist() == whole
     assert len(encode("x" * 200_000)) > 1 and encode("").tolist() == [lm.END]
+
+
+@pytest.mark.parametrize("tokens", [0, attention.STRIDE * 1_000_000, 1e12])
+def test_rounds_share_all_windows(tokens):
+    """Every window of a text belongs to some round, however many there are."""
+    rounds, every = lm.schedule(tokens)
+    taken = [lm.turns(rounds, every, turn) for turn in range(rounds)]
+    assert {(first + k) % every for first, share in taken for k in range(share)} == set(range(every))
+
+
+def test_turns_see_every_window_once():
+    cells, texts = some_cells()
+    p = attention.initial()
+    whole = attention.train(p, texts[:9], cells)[1]
+    assert whole == sum(attention.train(p, texts[:9], cells, 16, first, turns=8)[1] for first in (0, 8)) > 0
