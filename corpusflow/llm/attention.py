@@ -62,17 +62,18 @@ class Cells:
         """Counts as if some of the counted texts had not been there."""
         if not texts:
             return self.counts()
-        cells, n = np.unique(np.concatenate([class_cells(t, self.classes) for t in texts]), return_counts=True)
+        cells = np.concatenate([class_cells(t, self.classes).astype(np.int32) for t in texts])
+        cells, n = np.unique(cells, return_counts=True)
         return Counts(self, cells, n, np.bincount(np.concatenate(texts), minlength=len(self.single)))
 
     def __getstate__(self) -> dict:
         # Most cells of the table are 0, so tasks are sent a small part of its size.
         packed = zlib.compress(self.table.tobytes(), 1)
-        return self.__dict__ | {"_counts": None, "table": (self.table.dtype, packed)}
+        return self.__dict__ | {"_counts": None, "table": (self.table.dtype, self.table.nbytes, packed)}
 
     def __setstate__(self, state: dict) -> None:
-        dtype, packed = state["table"]
-        self.__dict__ |= state | {"table": np.frombuffer(zlib.decompress(packed), dtype)}
+        dtype, size, packed = state["table"]
+        self.__dict__ |= state | {"table": np.frombuffer(zlib.decompress(packed, bufsize=size), dtype)}
 
 
 def table_of(cells: list[np.ndarray], n: list[np.ndarray]) -> np.ndarray:
@@ -165,19 +166,41 @@ def initial(seed: int = 7) -> Parameters:
     }
 
 
-def windows(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Inputs and targets of a text's windows, and which targets are tokens of the text.
+class Windows:
+    """The windows of some texts, cut where they are asked for.
 
-    The token at position p is the target of the input before it. Window k scores the
-    tokens from k x STRIDE on; rows of the inputs end one token before their last target.
+    The token at position p is the target of the input before it. Window k of a text scores the
+    tokens from k x STRIDE on; rows of the inputs end one token before their last target. The
+    classes of all texts lie in one row of two bytes each; a window is known by its place there.
     """
-    n = len(classes)
-    count = -(-n // STRIDE)
-    padded = np.full(CONTEXT + count * STRIDE, BEGIN, np.int64)
-    padded[CONTEXT : CONTEXT + n] = classes
-    at = np.arange(count)[:, None] * STRIDE + np.arange(STRIDE)
-    inputs = np.arange(count)[:, None] * STRIDE + np.arange(CONTEXT) + STRIDE - 1
-    return padded[inputs], padded[np.minimum(CONTEXT + at, len(padded) - 1)], at < n
+
+    def __init__(self, texts: list[np.ndarray], classes: np.ndarray):
+        size = np.array([len(t) for t in texts], np.int64)
+        #: how many windows each text has
+        self.count = -(-size // STRIDE)
+        room = CONTEXT + self.count * STRIDE
+        begins = np.cumsum(room) - room
+        self.row = np.full(room.sum(), BEGIN, np.uint16)
+        for text, at in zip(texts, begins.tolist()):
+            self.row[at + CONTEXT : at + CONTEXT + len(text)] = classes[text]
+        k = np.arange(self.count.sum()) - np.repeat(np.cumsum(self.count) - self.count, self.count)
+        self.starts = np.repeat(begins, self.count) + k * STRIDE
+        self.left = np.minimum(np.repeat(size, self.count) - k * STRIDE, STRIDE).astype(np.int8)
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def cut(self, which) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Inputs and targets of windows, and which targets are tokens of the text."""
+        at = self.starts[which][:, None]
+        x = self.row[at + np.arange(STRIDE - 1, STRIDE - 1 + CONTEXT)].astype(np.int64)
+        y = self.row[at + np.arange(CONTEXT, CONTEXT + STRIDE)].astype(np.int64)
+        return x, y, np.arange(STRIDE) < self.left[which][:, None]
+
+
+def windows(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Inputs, targets and which of them are tokens, of all windows of one text's classes."""
+    return Windows([classes], np.arange(BEGIN + 1)).cut(slice(None))
 
 
 def _mask() -> np.ndarray:
@@ -213,14 +236,22 @@ def forward(p: Parameters, x: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def _alternatives(p: Parameters, counts: Counts, x: np.ndarray, y: np.ndarray, g: np.ndarray):
-    """Logits of the groups, and of the members of each target's group, one row per token."""
-    context = (x[:, CONTEXT - STRIDE - 1 : -1] * (CLASSES + 1) + x[:, CONTEXT - STRIDE :]).ravel()
+    """Logits of the groups, and of the members of each target's group, one row per token.
+
+    The tokens stand in order of their group: their order comes third, then their activations
+    ``g`` and the groups that are there with their rows.
+    """
     group = y.ravel() // MEMBERS
-    flat = g.reshape(-1, DIM)
+    order = np.argsort(group.astype(np.uint8), kind="stable")
+    group, flat = group[order], g.reshape(-1, DIM)[order]
+    cuts = np.searchsorted(group, np.arange(GROUPS + 1)).tolist()
+    parts = [(slice(k * MEMBERS, (k + 1) * MEMBERS), slice(a, b)) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
+    context = (x[:, CONTEXT - STRIDE - 1 : -1] * (CLASSES + 1) + x[:, CONTEXT - STRIDE :]).ravel()[order]
     of_groups = flat @ p["group"] + counts.groups[context]
-    every = (flat @ p["member"]).reshape(-1, MEMBERS)
-    rows = np.arange(len(group)) * GROUPS + group
-    return of_groups, every[rows] + counts.members[context * GROUPS + group], rows
+    of_members = counts.members[context * GROUPS + group]
+    for own, rows in parts:
+        of_members[rows] += flat[rows] @ p["member"][:, own]
+    return of_groups, of_members, order, flat, parts
 
 
 def _chosen(logits: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -237,23 +268,27 @@ def _chosen(logits: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def gradients(p: Parameters, counts: Counts, x: np.ndarray, y: np.ndarray, real: np.ndarray) -> tuple[float, Parameters]:
     """Mean loss in nats and its gradients."""
     a = forward(p, x)
-    of_groups, of_members, rows = _alternatives(p, counts, x, y, a["g"])
-    group, member = y.ravel() // MEMBERS, y.ravel() % MEMBERS
+    of_groups, of_members, order, g, parts = _alternatives(p, counts, x, y, a["g"])
+    y, real = y.ravel()[order], real.ravel()[order]
+    group, member = y // MEMBERS, y % MEMBERS
     log_group, d_group = _chosen(of_groups, group)
     log_member, d_member = _chosen(of_members, member)
     n = max(1, int(real.sum()))
-    loss = -float((log_group + log_member)[real.ravel()].sum()) / n
-    at, weight = np.arange(len(group)), (real.ravel() / n).astype(d_group.dtype)[:, None]
+    loss = -float((log_group + log_member)[real].sum()) / n
+    at, weight = np.arange(len(group)), (real / n).astype(d_group.dtype)[:, None]
     d_group[at, group] -= 1
     d_member[at, member] -= 1
     d_group *= weight
-    d_every = np.zeros((len(group) * GROUPS, MEMBERS), d_member.dtype)
-    d_every[rows] = d_member * weight
-    d_every = d_every.reshape(-1, CLASSES)
+    d_member *= weight
     flat = lambda z: z.reshape(-1, z.shape[-1])
-    g = flat(a["g"])
-    out = {"group": g.T @ d_group, "member": g.T @ d_every}
-    dg = (d_group @ p["group"].T + d_every @ p["member"].T).reshape(a["g"].shape)
+    out = {"group": g.T @ d_group, "member": np.zeros_like(p["member"])}
+    dg_ordered = d_group @ p["group"].T
+    for own, rows in parts:
+        out["member"][:, own] = g[rows].T @ d_member[rows]
+        dg_ordered[rows] += d_member[rows] @ p["member"][:, own].T
+    dg = np.empty_like(dg_ordered)
+    dg[order] = dg_ordered
+    dg = dg.reshape(a["g"].shape)
     out["down"] = flat(a["up"]).T @ flat(dg)
     dup = _times(dg, p["down"].T) * (a["up"] > 0)
     out["up"], out["up_bias"] = flat(a["h"]).T @ flat(dup), flat(dup).sum(0)
@@ -271,8 +306,11 @@ def gradients(p: Parameters, counts: Counts, x: np.ndarray, y: np.ndarray, real:
     de = _times(dk, p["key"].T) + _times(dv, p["value"].T)
     de[:, CONTEXT - STRIDE :] += dh + _times(dq, p["query"].T)
     out["place"] = de.sum(0)
+    order = np.argsort(x.ravel().astype(np.uint16), kind="stable")
+    known = x.ravel()[order]
+    new = np.flatnonzero(np.append(True, known[1:] != known[:-1]))
     out["embed"] = np.zeros_like(p["embed"])
-    np.add.at(out["embed"], x.ravel(), flat(de))
+    out["embed"][known[new]] = np.add.reduceat(flat(de)[order], new)
     return loss, out
 
 
@@ -286,36 +324,32 @@ def train(
     with counts that leave their texts out, so that the weights learn to correct counts as they are
     for texts that were not counted. Texts that are much of all are left out in two parts.
     """
-    p, rng = dict(p), np.random.default_rng(first)
-    mean = {k: np.zeros_like(v) for k, v in p.items()}
-    square = {k: np.zeros_like(v) for k, v in p.items()}
+    rng, like = np.random.default_rng(first), initial()
+    row = packed(p).astype(np.float32)
+    p, mean, square = unpacked(row, like), np.zeros_like(row), np.zeros_like(row)
     done = seen = passed = 0
     much = sum(map(len, texts)) > MUCH * cells.single.sum()
     for own in (texts[::2], texts[1::2]) if much else (texts,):
-        counts, start = None, passed
+        every_one = Windows(own, cells.classes)
+        counts, numbers = None, np.arange(passed, passed + len(every_one))
+        passed += len(every_one)
         for turn in range(first, first + turns):
-            taken, passed = [], start
-            for text in own:
-                made = windows(cells.classes[text])
-                taken.append([z[(turn - passed) % every :: every] for z in made])
-                passed += len(made[0])
-            if not sum(len(t[0]) for t in taken):
+            order = np.flatnonzero(numbers % every == turn % every)
+            if not len(order):
                 continue
-            x, y, real = (np.concatenate(z) for z in zip(*taken))
             counts = cells.without(own) if counts is None else counts
-            y = np.where(real, y, 0)
-            order = rng.permutation(len(x))
-            seen += len(x)
+            rng.shuffle(order)
+            seen += len(order)
             for at in range(0, len(order), BATCH):
-                rows = order[at : at + BATCH]
-                _, grads = gradients(p, counts, x[rows], y[rows], real[rows])
+                x, y, real = every_one.cut(order[at : at + BATCH])
+                _, grads = gradients(p, counts, x, np.where(real, y, 0), real)
+                g = np.concatenate([grads[name].ravel() for name in like])
                 done += 1
                 warm = rate * min(1.0, done / 50)
-                for name, g in grads.items():
-                    mean[name] += 0.1 * (g - mean[name])
-                    square[name] += 0.02 * (g * g - square[name])
-                    unbiased = mean[name] / (1 - 0.9**done)
-                    p[name] = (p[name] - warm * unbiased / (np.sqrt(square[name] / (1 - 0.98**done)) + 1e-8)).astype(np.float32)
+                mean += 0.1 * (g - mean)
+                square += 0.02 * (g * g - square)
+                unbiased = mean / (1 - 0.9**done)
+                row -= warm * unbiased / (np.sqrt(square / (1 - 0.98**done)) + 1e-8)
     return p, seen
 
 
@@ -324,28 +358,26 @@ def packed(p: Parameters) -> np.ndarray:
     return np.concatenate([p[name].ravel() for name in initial()])
 
 
-def unpacked(row: np.ndarray) -> Parameters:
+def unpacked(row: np.ndarray, like: Parameters | None = None) -> Parameters:
+    """The weights of a row; where its numbers have four bytes, they are those of the row itself."""
     p, at = {}, 0
-    for name, like in initial().items():
-        p[name] = row[at : at + like.size].reshape(like.shape).astype(np.float32)
-        at += like.size
+    for name, form in (like or initial()).items():
+        p[name] = row[at : at + form.size].reshape(form.shape).astype(np.float32, copy=False)
+        at += form.size
     return p
 
 
 def score(p: Parameters, counts: Counts, texts: list[np.ndarray]) -> np.ndarray:
     """log10 probability of the classes of each text, an array of ids."""
     total = np.zeros(len(texts))
-    if not texts:
-        return total
-    made = [windows(counts.classes[t]) for t in texts]
-    x, y, real = (np.concatenate(z) for z in zip(*made))
-    owner = np.repeat(np.arange(len(texts)), [len(m[0]) for m in made])
-    y = np.where(real, y, 0)
-    for a in range(0, len(x), SCORED):
-        b = a + SCORED
-        of_groups, of_members, _ = _alternatives(p, counts, x[a:b], y[a:b], forward(p, x[a:b])["g"])
-        target = y[a:b].ravel()
-        logs = _chosen(of_groups, target // MEMBERS)[0] + _chosen(of_members, target % MEMBERS)[0]
-        part = np.where(real[a:b], logs.reshape(-1, STRIDE), 0).sum(-1, dtype=np.float64)
-        total += np.bincount(owner[a:b], part, minlength=len(texts)) / np.log(10)
+    made = Windows(texts, counts.classes)
+    owner = np.repeat(np.arange(len(texts)), made.count)
+    for a in range(0, len(made), SCORED):
+        x, y, real = made.cut(slice(a, a + SCORED))
+        y = np.where(real, y, 0)
+        of_groups, of_members, order, _, _ = _alternatives(p, counts, x, y, forward(p, x)["g"])
+        target, logs = y.ravel()[order], np.empty(y.size)
+        logs[order] = _chosen(of_groups, target // MEMBERS)[0] + _chosen(of_members, target % MEMBERS)[0]
+        part = np.where(real, logs.reshape(-1, STRIDE), 0).sum(-1, dtype=np.float64)
+        total += np.bincount(owner[a : a + SCORED], part, minlength=len(texts)) / np.log(10)
     return total

@@ -251,7 +251,7 @@ def _train(cells, weights: np.ndarray, every: int, first: int, share: int, rate:
 
         for batch in batches:
             for ids in _arrays(batch):
-                texts.append(ids)
+                texts.append(ids.astype(np.uint16))
                 size += len(ids)
                 if size >= TRAIN_IDS:
                     learn()

@@ -1,5 +1,6 @@
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -275,3 +276,19 @@ def test_turns_see_every_window_once():
     p = attention.initial()
     whole = attention.train(p, texts[:9], cells)[1]
     assert whole == sum(attention.train(p, texts[:9], cells, 16, first, turns=8)[1] for first in (0, 8)) > 0
+
+
+def test_windows_are_held_in_a_few_bytes_a_token(monkeypatch):
+    """Beside the class tables, training and scoring a long text take little more than its ids."""
+    cells, texts = some_cells()
+    monkeypatch.setattr(attention.Cells, "without", lambda self, own: self.counts())
+    long, counts = np.tile(np.concatenate(texts), 400)[:400_000].astype(np.uint16), cells.counts()
+    for run in (
+        lambda: attention.score(attention.initial(), counts, [long]),
+        lambda: attention.train(attention.initial(), [long], cells, 4, turns=1),
+    ):
+        tracemalloc.start()
+        run()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 12e6
