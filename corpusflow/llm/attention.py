@@ -24,10 +24,11 @@ OWN_CLASSES = 224
 GROUPS, MEMBERS = 16, 16
 CLASSES = GROUPS * MEMBERS
 BEGIN = CLASSES  # input class in front of a text
+CONTEXT_CELLS = (CLASSES + 1) * CLASSES  # class cells behind one class two before
 DIM = 24
 HIDDEN = 48
 BATCH = 64  # windows of a training step
-SCORED = 64  # windows scored at once
+SCORED = 128  # windows scored at once
 RATE = 8e-3
 MUCH = 0.1
 
@@ -128,10 +129,12 @@ class Counts:
         for k in range(CLASSES + 1):  # the class two before
             # A class may have no ids in a small vocabulary; it is next to impossible then.
             grouped = np.maximum(_smoothed(seen(k), shares), 1e-30).astype(np.float32).reshape(-1, GROUPS, MEMBERS)
-            whole = grouped.sum(-1, keepdims=True)
+            whole = np.log(grouped @ np.ones(MEMBERS, np.float32))
             rows = slice(k * (CLASSES + 1), (k + 1) * (CLASSES + 1))
-            self.groups[rows] = np.log(whole[..., 0])
-            self.members.reshape(-1, CLASSES)[rows] = np.log(grouped / whole).reshape(-1, CLASSES)
+            self.groups[rows] = whole
+            within = np.log(grouped, out=grouped)
+            within -= whole[..., None]
+            self.members.reshape(-1, CLASSES)[rows] = within.reshape(-1, CLASSES)
 
 
 def _smoothed(table: np.ndarray, less: np.ndarray) -> np.ndarray:
@@ -204,12 +207,13 @@ def windows(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _mask() -> np.ndarray:
-    """0 where a scored position may look, else a large negative number."""
-    seen = np.arange(CONTEXT)[None, :] <= (CONTEXT - STRIDE + np.arange(STRIDE))[:, None]
-    return np.where(seen, 0, -1e9).astype(np.float32)
+    """1 where a scored position may look, else 0; a row for each place that is looked at."""
+    seen = np.arange(CONTEXT)[:, None] <= (CONTEXT - STRIDE + np.arange(STRIDE))[None, :]
+    return seen.astype(np.float32)
 
 
 MASK = _mask()
+STEADY = 60.0  # logits up to this size need no shift before exp
 
 
 def _times(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -217,22 +221,56 @@ def _times(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return (x.reshape(-1, x.shape[-1]) @ weights).reshape(*x.shape[:-1], weights.shape[-1])
 
 
+def _rows(table: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Rows of a table; ``take`` copies short rows several times faster than an index does."""
+    return np.take(table, which.ravel(), axis=0).reshape(*which.shape, -1)
+
+
+def _turned(x: np.ndarray) -> np.ndarray:
+    """The last two axes changed over, as an array of its own: many small products are faster so."""
+    return np.ascontiguousarray(x.transpose(0, 2, 1))
+
+
+def _looks(q: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How much each place (rows) is looked at from each scored one, and the sums of that by scored place."""
+    looks = k @ _turned(q)
+    if -STEADY < looks.min(initial=0) and looks.max(initial=0) < STEADY:
+        np.exp(looks, out=looks)
+    else:
+        looks -= np.where(MASK > 0, looks, -np.inf).max(1, keepdims=True)
+        np.exp(np.minimum(looks, 0, out=looks), out=looks)
+    looks *= MASK
+    return looks, (np.ones(CONTEXT, looks.dtype) @ looks).reshape(-1, 1)
+
+
+def _keys(p: Parameters) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of keys and values side by side, and those of scaled queries."""
+    return np.concatenate([p["key"], p["value"]], 1), p["query"] * np.float32(DIM**-0.5)
+
+
+def _over(p: Parameters, tail: np.ndarray, mixed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hidden layer over inputs and what attention adds to them: h, up, g, one row per token."""
+    h = tail + mixed
+    up = h @ p["up"]
+    up += p["up_bias"]
+    np.maximum(up, 0, out=up)
+    g = up @ p["down"]
+    g += h
+    return h, up, g
+
+
 def forward(p: Parameters, x: np.ndarray) -> dict[str, np.ndarray]:
     """Activations for inputs ``x`` (windows x CONTEXT); ``g`` for the last STRIDE places."""
-    e = p["embed"][x] + p["place"]
+    e = _rows(p["embed"], x)
+    e += p["place"]
     tail = np.ascontiguousarray(e[:, CONTEXT - STRIDE :])
-    q, k, v = _times(tail, p["query"]), _times(e, p["key"]), _times(e, p["value"])
-    scores = q @ k.transpose(0, 2, 1)
-    scores *= np.float32(DIM**-0.5)
-    scores += MASK
-    scores -= scores.max(-1, keepdims=True)
-    weights = np.exp(scores, out=scores)
-    weights /= weights.sum(-1, keepdims=True)
-    seen = weights @ v
-    h = tail + _times(seen, p["mix"])
-    up = np.maximum(_times(h, p["up"]) + p["up_bias"], 0)
-    g = h + _times(up, p["down"])
-    return {"e": e, "q": q, "k": k, "v": v, "weights": weights, "seen": seen, "h": h, "up": up, "g": g}
+    keys, query = _keys(p)
+    kv, q = _times(e, keys), _times(tail, query)
+    looks, total = _looks(q, kv[..., :DIM])
+    seen = (looks.transpose(0, 2, 1) @ kv[..., DIM:]).reshape(-1, DIM)
+    seen /= total
+    h, up, g = _over(p, tail.reshape(-1, DIM), seen @ p["mix"])
+    return {"e": e, "tail": tail, "q": q, "kv": kv, "looks": looks, "total": total, "seen": seen, "h": h, "up": up, "g": g.reshape(tail.shape)}
 
 
 def _alternatives(p: Parameters, counts: Counts, x: np.ndarray, y: np.ndarray, g: np.ndarray):
@@ -243,74 +281,91 @@ def _alternatives(p: Parameters, counts: Counts, x: np.ndarray, y: np.ndarray, g
     """
     group = y.ravel() // MEMBERS
     order = np.argsort(group.astype(np.uint8), kind="stable")
-    group, flat = group[order], g.reshape(-1, DIM)[order]
+    group, flat = group[order], _rows(g.reshape(-1, DIM), order)
     cuts = np.searchsorted(group, np.arange(GROUPS + 1)).tolist()
     parts = [(slice(k * MEMBERS, (k + 1) * MEMBERS), slice(a, b)) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
     context = (x[:, CONTEXT - STRIDE - 1 : -1] * (CLASSES + 1) + x[:, CONTEXT - STRIDE :]).ravel()[order]
-    of_groups = flat @ p["group"] + counts.groups[context]
-    of_members = counts.members[context * GROUPS + group]
+    of_groups = flat @ p["group"]
+    of_groups += _rows(counts.groups, context)
+    of_members = _rows(counts.members, context * GROUPS + group)
     for own, rows in parts:
         of_members[rows] += flat[rows] @ p["member"][:, own]
     return of_groups, of_members, order, flat, parts
 
 
-def _chosen(logits: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Natural logs of the share of the chosen alternatives, and all shares.
+def _chosen(logits: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Natural logs of the share of the chosen alternatives, and all shares times a sum by row.
 
     The logits are logs of shares with corrections, so they need no shift before exp.
     """
-    picked = logits[np.arange(len(at)), at]
+    picked = logits.ravel()[np.arange(0, logits.size, logits.shape[1]) + at]
     shares = np.exp(logits, out=logits)
-    total = shares.sum(-1)
-    return picked - np.log(total), shares / total[:, None]
+    total = shares @ np.ones(shares.shape[1], shares.dtype)
+    return picked - np.log(total), shares, total
 
 
-def gradients(p: Parameters, counts: Counts, x: np.ndarray, y: np.ndarray, real: np.ndarray) -> tuple[float, Parameters]:
-    """Mean loss in nats and its gradients."""
+def gradients(
+    p: Parameters, counts: Counts, x: np.ndarray, y: np.ndarray, real: np.ndarray, out: Parameters | None = None
+) -> tuple[float, Parameters]:
+    """Mean loss in nats and its gradients, in the arrays of ``out`` if they are given."""
+    out = {name: np.empty_like(part) for name, part in p.items()} if out is None else out
     a = forward(p, x)
     of_groups, of_members, order, g, parts = _alternatives(p, counts, x, y, a["g"])
     y, real = y.ravel()[order], real.ravel()[order]
     group, member = y // MEMBERS, y % MEMBERS
-    log_group, d_group = _chosen(of_groups, group)
-    log_member, d_member = _chosen(of_members, member)
+    log_group, d_group, of_group = _chosen(of_groups, group)
+    log_member, d_member, of_member = _chosen(of_members, member)
     n = max(1, int(real.sum()))
     loss = -float((log_group + log_member)[real].sum()) / n
-    at, weight = np.arange(len(group)), (real / n).astype(d_group.dtype)[:, None]
-    d_group[at, group] -= 1
-    d_member[at, member] -= 1
-    d_group *= weight
-    d_member *= weight
+    weight = (real / n).astype(d_group.dtype)
+    for shares, total, chosen in ((d_group, of_group, group), (d_member, of_member, member)):
+        shares *= (weight / total)[:, None]
+        shares.ravel()[np.arange(0, shares.size, shares.shape[1]) + chosen] -= weight
     flat = lambda z: z.reshape(-1, z.shape[-1])
-    out = {"group": g.T @ d_group, "member": np.zeros_like(p["member"])}
+    np.matmul(g.T, d_group, out=out["group"])
+    out["member"][...] = 0
     dg_ordered = d_group @ p["group"].T
     for own, rows in parts:
         out["member"][:, own] = g[rows].T @ d_member[rows]
         dg_ordered[rows] += d_member[rows] @ p["member"][:, own].T
-    dg = np.empty_like(dg_ordered)
-    dg[order] = dg_ordered
-    dg = dg.reshape(a["g"].shape)
-    out["down"] = flat(a["up"]).T @ flat(dg)
-    dup = _times(dg, p["down"].T) * (a["up"] > 0)
-    out["up"], out["up_bias"] = flat(a["h"]).T @ flat(dup), flat(dup).sum(0)
-    dh = dg + _times(dup, p["up"].T)
-    out["mix"] = flat(a["seen"]).T @ flat(dh)
-    dseen = _times(dh, p["mix"].T)
-    dv = a["weights"].transpose(0, 2, 1) @ dseen
-    dw = dseen @ a["v"].transpose(0, 2, 1)
-    ds = a["weights"] * (dw - (dw * a["weights"]).sum(-1, keepdims=True)) * np.float32(DIM**-0.5)
-    dq, dk = ds @ a["k"], ds.transpose(0, 2, 1) @ a["q"]
-    tail = a["e"][:, CONTEXT - STRIDE :]
-    out["query"] = flat(tail).T @ flat(dq)
-    out["key"] = flat(a["e"]).T @ flat(dk)
-    out["value"] = flat(a["e"]).T @ flat(dv)
-    de = _times(dk, p["key"].T) + _times(dv, p["value"].T)
-    de[:, CONTEXT - STRIDE :] += dh + _times(dq, p["query"].T)
-    out["place"] = de.sum(0)
+    back = np.empty_like(order)
+    back[order] = np.arange(len(order))
+    dg = _rows(dg_ordered, back)
+    np.matmul(a["up"].T, dg, out=out["down"])
+    dup = dg @ p["down"].T
+    dup *= a["up"] > 0
+    np.matmul(a["h"].T, dup, out=out["up"])
+    np.matmul(np.ones(len(dup), dup.dtype), dup, out=out["up_bias"])
+    dh = dg
+    dh += dup @ p["up"].T
+    np.matmul(a["seen"].T, dh, out=out["mix"])
+    # Through the sums of looks: their share of a row is what the row as a whole says.
+    dseen = dh @ p["mix"].T
+    dseen /= a["total"]
+    whole = np.einsum("ij,ij->i", dseen, a["seen"]).reshape(len(x), 1, STRIDE)
+    dseen = dseen.reshape(len(x), STRIDE, DIM)
+    k, v = a["kv"][..., :DIM], a["kv"][..., DIM:]
+    dlooks = v @ _turned(dseen)
+    dlooks -= whole
+    dlooks *= a["looks"]
+    dkv = np.empty_like(a["kv"])
+    np.matmul(dlooks, a["q"], out=dkv[..., :DIM])
+    np.matmul(a["looks"], dseen, out=dkv[..., DIM:])
+    dq = dlooks.transpose(0, 2, 1) @ k
+    keys, query = _keys(p)
+    np.matmul(flat(a["tail"]).T, flat(dq), out=out["query"])
+    out["query"] *= np.float32(DIM**-0.5)
+    dkeys = flat(a["e"]).T @ flat(dkv)
+    out["key"][...], out["value"][...] = dkeys[:, :DIM], dkeys[:, DIM:]
+    de = _times(dkv, keys.T)
+    dh += flat(dq) @ query.T
+    de[:, CONTEXT - STRIDE :] += dh.reshape(dq.shape)
+    np.matmul(np.ones(len(x), de.dtype), de.reshape(len(x), -1), out=out["place"].reshape(-1))
     order = np.argsort(x.ravel().astype(np.uint16), kind="stable")
     known = x.ravel()[order]
     new = np.flatnonzero(np.append(True, known[1:] != known[:-1]))
-    out["embed"] = np.zeros_like(p["embed"])
-    out["embed"][known[new]] = np.add.reduceat(flat(de)[order], new)
+    out["embed"][...] = 0
+    out["embed"][known[new]] = np.add.reduceat(_rows(flat(de), order), new)
     return loss, out
 
 
@@ -327,6 +382,8 @@ def train(
     rng, like = np.random.default_rng(first), initial()
     row = packed(p).astype(np.float32)
     p, mean, square = unpacked(row, like), np.zeros_like(row), np.zeros_like(row)
+    g, step = np.empty_like(row), np.empty_like(row)
+    grads = unpacked(g, like)
     done = seen = passed = 0
     much = sum(map(len, texts)) > MUCH * cells.single.sum()
     for own in (texts[::2], texts[1::2]) if much else (texts,):
@@ -342,14 +399,20 @@ def train(
             seen += len(order)
             for at in range(0, len(order), BATCH):
                 x, y, real = every_one.cut(order[at : at + BATCH])
-                _, grads = gradients(p, counts, x, np.where(real, y, 0), real)
-                g = np.concatenate([grads[name].ravel() for name in like])
+                y *= real
+                gradients(p, counts, x, y, real, grads)
                 done += 1
                 warm = rate * min(1.0, done / 50)
-                mean += 0.1 * (g - mean)
-                square += 0.02 * (g * g - square)
-                unbiased = mean / (1 - 0.9**done)
-                row -= warm * unbiased / (np.sqrt(square / (1 - 0.98**done)) + 1e-8)
+                mean *= 0.9
+                mean += np.multiply(g, 0.1, out=step)
+                g *= g
+                square *= 0.98
+                square += np.multiply(g, 0.02, out=step)
+                np.sqrt(np.divide(square, 1 - 0.98**done, out=step), out=step)
+                step += 1e-8
+                np.divide(mean, step, out=step)
+                step *= warm / (1 - 0.9**done)
+                row -= step
     return p, seen
 
 
@@ -367,17 +430,41 @@ def unpacked(row: np.ndarray, like: Parameters | None = None) -> Parameters:
     return p
 
 
+class Placed:
+    """Weights that no longer change, multiplied out for each class at each place of a window."""
+
+    def __init__(self, p: Parameters):
+        self.p = p
+        e = p["embed"][:, None] + p["place"]
+        keys, query = _keys(p)
+        keys[:, DIM:] = keys[:, DIM:] @ p["mix"]
+        tail = e[:, CONTEXT - STRIDE :]
+        #: keys and mixed values by class and place, inputs and queries by class and scored place
+        self.keys = _times(e, keys).reshape(-1, 2 * DIM)
+        self.tail = np.concatenate([tail, _times(tail, query)], -1).reshape(-1, 2 * DIM)
+
+    def forward(self, x: np.ndarray) -> np.ndarray:
+        """What ``g`` of :func:`forward` is, one row per token."""
+        kv = _rows(self.keys, x * CONTEXT + np.arange(CONTEXT))
+        tail = _rows(self.tail, x[:, CONTEXT - STRIDE :] * STRIDE + np.arange(STRIDE))
+        looks, total = _looks(tail[..., DIM:], kv[..., :DIM])
+        mixed = (looks.transpose(0, 2, 1) @ kv[..., DIM:]).reshape(-1, DIM)
+        mixed /= total
+        return _over(self.p, tail[..., :DIM].reshape(-1, DIM), mixed)[2]
+
+
 def score(p: Parameters, counts: Counts, texts: list[np.ndarray]) -> np.ndarray:
     """log10 probability of the classes of each text, an array of ids."""
-    total = np.zeros(len(texts))
+    total, placed = np.zeros(len(texts)), Placed(p)
     made = Windows(texts, counts.classes)
     owner = np.repeat(np.arange(len(texts)), made.count)
     for a in range(0, len(made), SCORED):
         x, y, real = made.cut(slice(a, a + SCORED))
-        y = np.where(real, y, 0)
-        of_groups, of_members, order, _, _ = _alternatives(p, counts, x, y, forward(p, x)["g"])
+        y *= real
+        of_groups, of_members, order, _, _ = _alternatives(p, counts, x, y, placed.forward(x))
         target, logs = y.ravel()[order], np.empty(y.size)
         logs[order] = _chosen(of_groups, target // MEMBERS)[0] + _chosen(of_members, target % MEMBERS)[0]
-        part = np.where(real, logs.reshape(-1, STRIDE), 0).sum(-1, dtype=np.float64)
+        logs *= real.ravel()
+        part = logs.reshape(-1, STRIDE).sum(-1)
         total += np.bincount(owner[a : a + SCORED], part, minlength=len(texts)) / np.log(10)
     return total

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.llm import attention, wordbytes
-from corpusflow.llm.store import stored
+from corpusflow.llm.store import released, stored
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed values of that tokenizer: how texts are split, the size of its vocabulary, a free id.
@@ -83,10 +83,11 @@ def encoder(path: str):
 
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         encode = encoder(path)
         for batch in batches:
-            words = (b"".join(b" " + w for w in t.lower().split()) for t in wordbytes.texts_of(batch.column("text")))
-            ids = [encode(t.decode()).tobytes() for t in words]
+            words = (t.lower().split() for t in wordbytes.texts_of(batch.column("text")))
+            ids = [encode((b" " + b" ".join(w) if w else b"").decode()).tobytes() for w in words]
             kept = [n for n in batch.schema.names if n != "text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(ids, pa.binary())], [*kept, "ids"])
 
@@ -109,32 +110,92 @@ def _count_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 HELD_CELLS = 4_000_000
 SCORED_IDS = 200_000  # ids scored at once
+SENT_ROWS = 1 << 17  # rows of numbers that leave a task at once
+SENT_CONTEXTS = 16  # and packed rows of class cells
+MOST_COUNTED = 1 << 31  # ids that a task counts in four bytes
 
 
-def _count_cells(classes, cells_of):
-    """Cells of the texts with their counts, combined within a task."""
+def _sliced(columns: list[np.ndarray], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Number columns in batches that need little room on their way."""
+    for k in range(0, len(columns[0]), SENT_ROWS):
+        yield pa.RecordBatch.from_arrays([pa.array(c[k : k + SENT_ROWS]) for c in columns], names)
+
+
+def _held(batches: Iterator[pa.RecordBatch], cells_of) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Cells of many texts at a time, each once, with their counts."""
+    held: list[np.ndarray] = []
+    size = 0
+    for batch in batches:
+        for ids in _arrays(batch):
+            held.append(cells_of(ids))
+            size += len(held[-1])
+            if size >= HELD_CELLS:
+                yield np.unique(np.concatenate(held), return_counts=True)
+                held, size = [], 0
+    if held:
+        yield np.unique(np.concatenate(held), return_counts=True)
+
+
+def _count_id_cells(classes):
+    """Cells of ids with their counts, combined within a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
+        for found in _held(batches, lambda ids: attention.id_cells(ids, classes.value)):
+            yield from _sliced(list(found), ["cell", "n"])
 
-        def cells() -> pa.RecordBatch:
-            found, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], ["cell", "n"])
+    return run
 
-        for batch in batches:
-            for ids in _arrays(batch):
-                held.append(cells_of(ids, classes.value))
-                size += len(held[-1])
-                if size >= HELD_CELLS:
-                    yield cells()
-                    held, size = [], 0
-        if held:
-            yield cells()
+
+def _count_class_cells(classes):
+    """Cells of classes with their counts, combined in one table of fixed size.
+
+    A row has those behind one class two before: ``two``, places and counts in four bytes each.
+    """
+    size = attention.CONTEXT_CELLS
+
+    def rows(table: np.ndarray) -> Iterator[pa.RecordBatch]:
+        parts = []
+        for two, part in enumerate(table.reshape(-1, size)):
+            places = np.flatnonzero(part)
+            if len(places):
+                parts.append((two, places.astype(np.uint32).tobytes(), part[places].tobytes()))
+        for k in range(0, len(parts), SENT_CONTEXTS):
+            two, places, n = zip(*parts[k : k + SENT_CONTEXTS])
+            columns = [pa.array(two, pa.int64()), pa.array(places, pa.binary()), pa.array(n, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["two", "places", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
+        table, counted = np.zeros((attention.CLASSES + 1) * size, np.uint32), 0
+        for found, n in _held(batches, lambda ids: attention.class_cells(ids, classes.value).astype(np.int32)):
+            if counted + n.sum() > MOST_COUNTED:
+                yield from rows(table)
+                table[:], counted = 0, 0
+            table[found] += n.astype(np.uint32)
+            counted += n.sum()
+        yield from rows(table)
 
     return run
 
 
+def _sum_class_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cells and counts of rows of :func:`_count_class_cells`, which come in order of ``two``."""
+    size, last, table = attention.CONTEXT_CELLS, -1, np.zeros(attention.CONTEXT_CELLS, np.int64)
+
+    def cells() -> Iterator[pa.RecordBatch]:
+        found = np.flatnonzero(table)
+        return _sliced([last * size + found, table[found]], ["cell", "n"])
+
+    for batch in batches:
+        for two, places, n in zip(batch.column("two").to_pylist(), batch.column("places"), batch.column("n")):
+            if two != last:
+                yield from cells()
+                last = two
+                table[:] = 0
+            table[np.frombuffer(places.as_buffer(), np.uint32)] += np.frombuffer(n.as_buffer(), np.uint32)
+    yield from cells()
+
+
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Two number columns as one row of bytes per batch."""
     for batch in batches:
@@ -164,12 +225,11 @@ def count(encoded: DataFrame) -> tuple[attention.Cells, DataFrame]:
     classes = attention.classes_of(single)
     held = encoded.sparkSession.sparkContext.broadcast(classes)
 
-    def counted(cells_of) -> DataFrame:
-        cells = training.mapInArrow(_count_cells(held, cells_of), "cell long, n long")
-        return cells.groupBy("cell").agg(F.sum("n").alias("n"))
-
-    table = attention.table_of(*packed(counted(attention.class_cells)))
-    return attention.Cells(single, table, classes), stored(counted(attention.id_cells), "follower-cells")
+    of_classes = training.mapInArrow(_count_class_cells(held), "two long, places binary, n binary")
+    of_classes = of_classes.repartition("two").sortWithinPartitions("two").mapInArrow(_sum_class_cells, "cell long, n long")
+    of_classes = stored(of_classes, "class-cells")  # packed at once, each task would take two Python workers
+    of_ids = training.mapInArrow(_count_id_cells(held), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    return attention.Cells(single, attention.table_of(*packed(of_classes)), classes), stored(of_ids, "follower-cells")
 
 
 def _document_cells(classes):
@@ -182,8 +242,7 @@ def _document_cells(classes):
                 cell, n = np.unique(attention.id_cells(ids, classes.value), return_counts=True)
                 parts.append((np.full(len(cell), row, np.int64), cell, n))
             if parts:
-                columns = [pa.array(np.concatenate(c)) for c in zip(*parts)]
-                yield pa.RecordBatch.from_arrays(columns, ["row", "cell", "n"])
+                yield from _sliced([np.concatenate(c) for c in zip(*parts)], ["row", "cell", "n"])
 
     return run
 
@@ -242,12 +301,14 @@ def _train(cells, weights: np.ndarray, every: int, first: int, share: int, rate:
     """One pass over windows of the task's texts; the weights times the windows they have seen."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         p, seen, texts, size = attention.unpacked(weights), 0, [], 0
 
         def learn() -> None:
             nonlocal p, seen
             p, windows = attention.train(p, texts, cells.value, every, first, rate, share)
             seen += windows
+            released()
 
         for batch in batches:
             for ids in _arrays(batch):
@@ -298,6 +359,7 @@ def fit(encoded: DataFrame, cells) -> attention.Parameters:
 
 def _score(cells, parameters: attention.Parameters):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         for batch in batches:
             found, texts, size = [], [], 0
             for ids in _arrays(batch):

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from corpusflow.llm import attention, lm
@@ -292,3 +293,61 @@ def test_windows_are_held_in_a_few_bytes_a_token(monkeypatch):
         peak = tracemalloc.get_traced_memory()[1]
         tracemalloc.stop()
         assert peak < 12e6
+
+
+class Held:
+    def __init__(self, value):
+        self.value = value
+
+
+def test_a_task_sends_class_cells_once(monkeypatch):
+    """However often its texts fill what it holds, and whatever four bytes can count."""
+    cells, texts = some_cells(5)
+    monkeypatch.setattr(lm, "HELD_CELLS", 200)
+    batch = pa.RecordBatch.from_arrays([pa.array([t.astype(np.uint16).tobytes() for t in texts], pa.binary())], ["ids"])
+    for most, times in ((1 << 31, 1), (900, 4)):
+        monkeypatch.setattr(lm, "MOST_COUNTED", most)
+        sent = list(lm._count_class_cells(Held(cells.classes))(iter([batch, batch])))
+        twos = np.concatenate([b.column("two").to_numpy() for b in sent])
+        assert max(Counter(twos.tolist()).values()) in range(times, 10 * times if times > 1 else 2)
+        rows = pa.Table.from_batches(sent).sort_by("two").to_batches()
+        summed = list(lm._sum_class_cells(iter(rows)))
+        assert sum(b.num_rows for b in summed) == (cells.table > 0).sum()
+        for b in summed:
+            assert (b.column("n").to_numpy() == 2 * cells.table[b.column("cell").to_numpy()]).all()
+    assert list(lm._sum_class_cells(iter([]))) == []
+
+
+def test_numbers_leave_a_task_in_small_batches():
+    columns = [np.arange(lm.SENT_ROWS * 2 + 5), np.arange(lm.SENT_ROWS * 2 + 5) * 3]
+    sent = list(lm._sliced(columns, ["cell", "n"]))
+    assert [b.num_rows for b in sent] == [lm.SENT_ROWS, lm.SENT_ROWS, 5]
+    assert (np.concatenate([b.column("n").to_numpy() for b in sent]) == columns[1]).all()
+
+
+def plain_forward(p, x):
+    """Attention and the hidden layer, written out for one window at a time."""
+    out = []
+    for row in x:
+        e = p["embed"][row] + p["place"]
+        tail = e[-attention.STRIDE :]
+        logits = (tail @ p["query"]) @ (e @ p["key"]).T / attention.DIM**0.5
+        ahead = np.arange(attention.CONTEXT)[None] > (attention.CONTEXT - attention.STRIDE + np.arange(attention.STRIDE))[:, None]
+        logits[ahead] = -np.inf
+        weights = np.exp(logits - logits.max(-1, keepdims=True))
+        weights /= weights.sum(-1, keepdims=True)
+        h = tail + weights @ (e @ p["value"]) @ p["mix"]
+        out.append(h + np.maximum(h @ p["up"] + p["up_bias"], 0) @ p["down"])
+    return np.array(out)
+
+
+@pytest.mark.parametrize("much", [1, 30])
+def test_fast_forms_equal_the_plain_one(much):
+    """Also where logits are too large for exp: with much larger queries."""
+    cells, texts = some_cells(6)
+    p, _ = attention.train(attention.initial(), texts[:20], cells)
+    p["query"] = p["query"] * much**2
+    x, _, _ = attention.windows(cells.classes[np.concatenate(texts[:9])])
+    wanted = plain_forward({k: v.astype(np.float64) for k, v in p.items()}, x)
+    assert np.allclose(attention.forward(p, x)["g"], wanted, atol=2e-3 * much)
+    assert np.allclose(attention.Placed(p).forward(x).reshape(wanted.shape), wanted, atol=2e-3 * much)
